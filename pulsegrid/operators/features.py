@@ -40,3 +40,17 @@ def feature_family(name: Column) -> tuple[Column, Column]:
               .when(name.isin("mean_day", "sd_day"), "last day")
               .when(name == "h", "horizon"))
     return family, F.when(step != "", step.cast("int"))
+
+
+def longest_day_gap(observed: DataFrame, day_keys: Sequence[str], minute: str, days: DataFrame | None = None, minutes: int = 1440) -> DataFrame:
+    """Longest stretch of a day without a reading, counted from both day edges.
+
+    Minutes are made distinct first, so a day has at most `minutes` rows.
+    """
+    from pyspark.sql import Window as W
+
+    seen = observed.select(*day_keys, F.col(minute).cast("int").alias("_m")).distinct()
+    edges = (seen if days is None else days).select(*day_keys).distinct().withColumn("_m", F.explode(F.array(F.lit(-1), F.lit(minutes))))
+    w = W.partitionBy(*day_keys).orderBy("_m")
+    steps = seen.unionByName(edges).withColumn("_d", F.col("_m") - F.lag("_m").over(w))
+    return steps.groupBy(*day_keys).agg((F.max("_d") - 1).alias("longest_gap"))
