@@ -36,9 +36,10 @@ ON = f"""{S.STRETCHES}, fl as (select distinct pid, unnest(range(cast(floor(epoc
 
 @query("e04_blocks", "pid:l block:l first_minute:l minutes:l", f"with {ON} select pid, row_number() over (partition by pid order by a) as block, a as first_minute, minutes from blocks")
 def e04(spark, sf):
-    from pulsegrid.catalog.rollups import minute_hub
-    b = segments.flag_blocks(minute_hub(spark, sf).select("pid", "slot", "rest"), ["pid"], "rest")
-    return b.groupBy("pid", "block").agg(F.min("slot").alias("first_minute"), F.count(F.lit(1)).alias("minutes"))
+    st = S.stretches(spark, sf).where("vital = 'rest'")
+    on = timeline.covered_minutes(st, ["pid"]).withColumn("rest", F.lit(1))
+    blocks = segments.flag_blocks(on, ["pid"], "rest").groupBy("pid", "a").agg(F.count(F.lit(1)).alias("minutes"))
+    return segments.number_blocks(blocks, ["pid"]).withColumnRenamed("a", "first_minute")
 
 
 @query("e05_chronological_split", "pid:l slot:l split:s", f"with {S.SEGMENTS} select pid, slot, split from labelled where segment is not null")

@@ -108,12 +108,16 @@ def threshold_scan(grid: DataFrame, keys: Sequence[str], candidates: Sequence[in
 
 
 def flag_blocks(minutes: DataFrame, keys: Sequence[str], flag: str, slot: str = "slot", size: int = CHUNK) -> DataFrame:
-    """Rows inside a flag with the number of their block, from 1 per key (dense minutes)."""
-    on = F.coalesce(F.col(flag), F.lit(0)) == 1
-    m = sweep(minutes, keys, slot, before={"_p": Seen(F.col(flag).isNotNull(), (flag,))}, size=size)
-    was_on = F.coalesce(F.col(f"_p.{flag}"), F.lit(0)) == 1
-    m = m.withColumn("_begin", (on & ~was_on).cast("int")).drop("_p")
-    return sweep(m, keys, slot, sums={"block": F.col("_begin")}, size=size).where(on).drop("_begin", "block_total")
+    """Rows inside a flag with `a`, the first slot of their unbroken block.
+
+    Only flagged rows are read; a block starts where the slot before is not one.
+    """
+    return islands(minutes.where(F.col(flag) == 1), keys, slot, F.lit(0), "a", size)
+
+
+def number_blocks(blocks: DataFrame, keys: Sequence[str], start: str = "a", size: int = CHUNK) -> DataFrame:
+    """Number the blocks of each key from 1 in time order."""
+    return sweep(blocks, keys, start, sums={"block": F.lit(1)}, size=size).drop("block_total")
 
 
 def split_days(daily: DataFrame, keys: Sequence[str], date: str = "date", train_pct: int = 80) -> DataFrame:
@@ -140,3 +144,33 @@ def practice_forecast(labelled: DataFrame, keys: Sequence[str], slot: str = "slo
     has = t.where((F.col("place") >= F.col("_cut")) & F.col(value).isNotNull()).select("segment").distinct()
     t = t.where((F.col("_cut") >= min_train) & (F.col("_n") - F.col("_cut") >= min_val)).join(has, "segment", "left_semi")
     return t.withColumn("part", F.when(F.col("place") < F.col("_cut"), "learn").otherwise("validate")).drop("_n", "_cut")
+
+
+# --------------------------------------------------------------- staged blocks
+def block_stages(minutes: DataFrame, keys: Sequence[str], stages: Sequence[str], value: str, start: str = "a") -> DataFrame:
+    """Per block: stage minutes, readings, their mean, length, and stage shares; blocks without stages go."""
+    b = minutes.groupBy(*keys, start).agg(
+        *[F.coalesce(F.sum(s), F.lit(0.0)).alias(s) for s in stages], F.count(value).alias(f"n_{value}"), F.avg(value).alias(value),
+        F.count(F.lit(1)).alias("minutes"))
+    total = sum((F.col(s) for s in stages[1:]), F.col(stages[0]))
+    b = b.withColumn("scored", total).where("scored > 0")
+    return b.withColumns({f"{s}_pct": 100 * F.col(s) / F.col("scored") for s in stages})
+
+
+def stage_shares(blocks: DataFrame, pid: str, stages: Sequence[str]) -> DataFrame:
+    """Share of each stage per subject and, with a null subject, over all."""
+    t = blocks.rollup(pid).agg(*[F.sum(s).alias(s) for s in stages], F.sum("scored").alias("scored"))
+    return t.select(pid, *[(100 * F.col(s) / F.col("scored")).alias(f"{s}_pct") for s in stages])
+
+
+def dominant_contrast(blocks: DataFrame, pid: str, stages: Sequence[str], value: str, min_pct: float, min_readings: int) -> DataFrame:
+    """Median value in blocks dominated by each of two stages, for subjects that have both."""
+    from pulsegrid.operators.core import exact_quantiles
+
+    name = F.lit(None).cast("string")
+    for s in reversed(stages):
+        name = F.when(F.col(f"{s}_pct") >= min_pct, s).otherwise(name)
+    d = blocks.where(F.col(f"n_{value}") >= min_readings).withColumn("dominant", name).where("dominant is not null")
+    m = exact_quantiles(d, [pid, "dominant"], value, {"m": 0.5})
+    wide = m.groupBy(pid).pivot("dominant", list(stages)).agg(F.first("m")).dropna(subset=list(stages))
+    return wide.withColumn("diff", F.col(stages[0]) - F.col(stages[1]))
