@@ -202,7 +202,7 @@ def d22(spark, sf):
 
 
 @query("d23_category_counts", "category:s n:l place:l", """with c as (select case trim(case when o_orderkey % 10 = 0 then '' else o_orderstatus end) when 'F' then 'finished' when 'O' then 'open' when '' then 'not recorded' end as category from orders)
-select category, count(*) as n, case category when 'finished' then 0 when 'open' then 1 else 2 end as place from c where category is not null group by 1""")
+select category, count(*) as n, case category when 'finished' then 0 when 'open' then 1 else 3 end as place from c where category is not null group by 1""")
 def d23(spark, sf):
     o = S.table(spark, sf, "orders").select(F.when(F.col("o_orderkey") % 10 == 0, "").otherwise(F.lower("o_orderstatus")).alias("s"))
     return cohort.category_counts(o, F.col("s"), {"F": "finished", "O": "open", "X": "none of them"})

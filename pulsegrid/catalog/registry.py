@@ -24,6 +24,10 @@ class Query:
 
 REGISTRY: dict[str, Query] = {}
 
+NUDGE = 1e-9
+"""Added on both sides before rounding. Means of short decimals often lie exactly
+half-way between two roundings, where the order of a sum would decide."""
+
 
 def _spark_cast(name: str, kind: str):
     c = F.col(name)
@@ -31,7 +35,7 @@ def _spark_cast(name: str, kind: str):
         return c.cast("long").alias(name)
     if kind == "f":
         d = c.cast("double")
-        return F.when(~F.isnan(d), F.round(d, 6) + F.lit(0.0)).alias(name)
+        return F.when(~F.isnan(d), F.round(d + F.lit(NUDGE), 6) + F.lit(0.0)).alias(name)
     if kind == "d":
         return c.cast("date").cast("string").alias(name)
     return c.cast("string").alias(name)
@@ -42,7 +46,7 @@ def _sql_cast(name: str, kind: str) -> str:
         return f"cast({name} as bigint) as {name}"
     if kind == "f":
         return (f"case when isnan(cast({name} as double)) then null "
-                f"else round(cast({name} as double), 6) + 0.0 end as {name}")
+                f"else round(cast({name} as double) + {NUDGE}, 6) + 0.0 end as {name}")
     if kind == "d":
         return f"cast(cast({name} as date) as varchar) as {name}"
     return f"cast({name} as varchar) as {name}"

@@ -113,7 +113,8 @@ def as_of_hours(tokens: DataFrame, day_keys: Sequence[str], minute: str, value:
     One latest token per hour is taken first, so only `hours` rows per day are ordered.
     """
     per = tokens.where(F.col(value).isNotNull()).groupBy(*day_keys, floor_div(minute, 60).alias("hour")).agg(F.max_by(value, minute).alias("_v"))
-    axis = tokens.select(*day_keys).distinct().withColumn("hour", F.explode(F.sequence(F.lit(0), F.lit(hours - 1))).cast("long"))
+    axis = tokens.select(*day_keys).distinct().withColumn(
+        "hour", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(hours - 1).cast("long"))))
     w = W.partitionBy(*day_keys).orderBy("hour").rowsBetween(W.unboundedPreceding, 0)
     return axis.join(per, [*day_keys, "hour"], "left").select(*day_keys, "hour", F.last("_v", ignorenulls=True).over(w).alias("state"))
 

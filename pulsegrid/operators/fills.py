@@ -112,8 +112,8 @@ def hourly_state(tokens: DataFrame, day_keys: Sequence[str], minute: str, value:
     to_end = hour * 60 + 59 - F.col(minute)
     per = tokens.where(F.col(value).isNotNull()).groupBy(*day_keys, hour.alias("hour")).agg(
         F.sum(F.col(value) * F.exp(-rate * to_end)).alias("_add"))
-    axis = tokens.select(*day_keys).distinct().withColumn("hour", F.explode(F.sequence(F.lit(0), F.lit(hours - 1)))).withColumn(
-        "hour", F.col("hour").cast("long"))
+    axis = tokens.select(*day_keys).distinct().withColumn(
+        "hour", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(hours - 1).cast("long"))))
     h = axis.join(per, [*day_keys, "hour"], "left")
     upto = W.partitionBy(*day_keys).orderBy("hour").rowsBetween(W.unboundedPreceding, 0)
     grown = F.sum(F.col("_add") * F.exp(F.lit(rate * 60) * F.col("hour"))).over(upto)

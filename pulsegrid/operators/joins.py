@@ -87,5 +87,5 @@ def same_tables(left: DataFrame, right: DataFrame, keys: Sequence[str], values:
         a, b = F.col(f"_l.{c}"), F.col(f"_r.{c}")
         return both & ~F.coalesce(F.when(a.isNull() & b.isNull(), True).otherwise(F.abs(a - b) <= tol), F.lit(False))
 
-    return j.agg(F.count_if(both).alias("both"), F.count_if(F.col("_hr").isNull()).alias("left_only"),
+    return j.agg(F.count_if(both).alias("matched"), F.count_if(F.col("_hr").isNull()).alias("left_only"),
                  F.count_if(F.col("_hl").isNull()).alias("right_only"), *[F.count_if(differs(c)).alias(f"diff_{c}") for c in values])

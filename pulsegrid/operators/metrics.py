@@ -23,3 +23,184 @@ def score_table(rows: DataFrame, keys: Sequence[str], score: str = "score", labe
         F.col("pos_upto_total").alias("positives"), F.col("cnt_upto_total").alias("rows"),
         (F.col("pos_upto_total") - F.col("pos_upto") + F.col("pos")).alias("tp"),
         (F.col("cnt_upto_total") - F.col("cnt_upto") + F.col("cnt")).alias("flagged"))
+
+
+def detection_scores(rows: DataFrame, keys: Sequence[str], threshold: float = 0.5, score: str = "score", label: str = "label",
+                     weight: Column | None = None) -> DataFrame:
+    """All row-level scores per key from the score table, in one aggregation.
+
+    AUROC gives ties half and is null for one class; AUPRC is the step sum of
+    precision over the distinct scores; rates with an empty base are null.
+    """
+    t = score_table(rows, keys, score, label, weight)
+    hit = F.col("score") >= threshold
+    pick = lambda c, e: F.coalesce(F.sum(F.when(c, e)), F.lit(0))
+    neg = F.col("cnt") - F.col("pos")
+    a = t.groupBy(*keys).agg(
+        F.sum("cnt").alias("n"), F.sum("pos").alias("n_pos"), pick(hit, F.col("pos")).alias("tp"), pick(hit, neg).alias("fp"),
+        pick(~hit, neg).alias("tn"), pick(~hit, F.col("pos")).alias("fn"),
+        F.sum(F.col("pos") * (F.col("cnt_upto") - (F.col("cnt") - 1) / 2)).alias("_ranks"),
+        F.sum(F.try_divide(F.col("pos"), F.col("positives")) * F.try_divide(F.col("tp"), F.col("flagged"))).alias("auprc"),
+        (F.sum(F.col("pos") * F.pow(F.col("score") - 1, 2) + neg * F.pow("score", F.lit(2.0))) / F.sum("cnt")).alias("brier"))
+    n1, n0 = F.col("n_pos"), F.col("n") - F.col("n_pos")
+    sens, spec = F.try_divide("tp", n1), F.try_divide("tn", n0)
+    return a.select(
+        *keys, "n", "n_pos", "tp", "fp", "tn", "fn", F.try_divide(F.col("tp") + F.col("tn"), F.col("n")).alias("accuracy"),
+        ((sens + spec) / 2).alias("balanced_accuracy"), sens.alias("sensitivity"), spec.alias("specificity"),
+        F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")).alias("ppv"), F.try_divide(F.col("tn"), F.col("tn") + F.col("fn")).alias("npv"),
+        F.try_divide(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f1"),
+        F.try_divide(F.col("_ranks") - n1 * (n1 + 1) / 2, n1 * n0).alias("auroc"), "auprc", "brier",
+        F.try_divide(30 * F.col("fp"), n0).alias("false_alarms_per_30"))
+
+
+def event_scores(rows: DataFrame, keys: Sequence[str], threshold: float = 0.5, score: str = "score", label: str = "label", event: str = "event") -> DataFrame:
+    """Events, events with at least one flagged positive day, and their ratio."""
+    ev = rows.where(F.col(label) == 1).groupBy(*keys, event).agg(F.max((F.col(score) >= threshold).cast("int")).alias("_hit"))
+    e = ev.groupBy(*keys).agg(F.count(F.lit(1)).alias("events"), F.sum("_hit").alias("events_caught"))
+    return e.withColumn("event_sensitivity", F.try_divide("events_caught", "events"))
+
+
+def lead_times(rows: DataFrame, keys: Sequence[str], threshold: float = 0.5, score: str = "score", label: str = "label", event: str = "event",
+               date: str = "date") -> DataFrame:
+    """Median days between the first flagged positive day of an event and its onset."""
+    from pulsegrid.functions.dates import id_date
+
+    first = rows.where((F.col(label) == 1) & (F.col(score) >= threshold)).groupBy(*keys, event).agg(F.min(date).alias("_d"))
+    return exact_quantiles(first.withColumn("_lead", F.datediff(id_date(F.col(event)), "_d")), keys, "_lead", {"lead_days_median": 0.5}).withColumnRenamed("n", "events_caught")
+
+
+def with_all(rows: DataFrame, group: str, everything: str = "all") -> DataFrame:
+    """Every row once under its group and once under `all`."""
+    return rows.withColumn(group, F.explode(F.array(F.lit(everything), F.col(group).cast("string"))))
+
+
+def calibration(rows: DataFrame, keys: Sequence[str], score: str = "score", label: str = "label", bands: int = 10) -> DataFrame:
+    """Mean score and share of positives in equal score bands, empty bands included."""
+    band = F.least(F.floor(F.col(score) * bands + 1e-9), F.lit(bands - 1)).cast("int")
+    got = rows.groupBy(*keys, band.alias("band")).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(score).alias("predicted"), F.avg(F.col(label).cast("double")).alias("observed"))
+    axis = got.select(*keys).distinct() if keys else got.sparkSession.range(1).drop("id")
+    axis = axis.withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))))
+    return axis.join(got, [*keys, "band"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+def pooled_calibration(rows: DataFrame, keys: Sequence[str], split: str, score: str = "score", label: str = "label", bands: int = 10) -> DataFrame:
+    """Bands merged over all splits: every split's bands, added up by their counts."""
+    per = calibration(rows, [*keys, split], score, label, bands)
+    n = F.sum("n")
+    return per.groupBy(*keys, "band").agg(n.alias("n"), F.try_divide(F.sum(F.col("predicted") * F.col("n")), n).alias("predicted"),
+                                          F.try_divide(F.sum(F.col("observed") * F.col("n")), n).alias("observed"),
+                                          F.count_if(F.col("n") > 0).alias("splits"))
+
+
+def thirds(rows: DataFrame, infos: Sequence[str]) -> DataFrame:
+    """Rows repeated per information column, with the third (0, 1, 2) its value falls into.
+
+    Equal cut points merge into one; a value on a cut point belongs above it.
+    """
+    long = rows.withColumn("_i", F.explode(F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).cast("double").alias("info")) for c in infos]))).select(
+        *rows.columns, "_i.kind", "_i.info")
+    cuts = exact_quantiles(long, ["kind"], "info", {"_c1": 1 / 3, "_c2": 2 / 3}).drop("n")
+    part = F.when(F.col("_c1") == F.col("_c2"), (F.col("info") >= F.col("_c1")).cast("int")).otherwise(
+        (F.col("info") >= F.col("_c1")).cast("int") + (F.col("info") >= F.col("_c2")).cast("int"))
+    return long.join(cuts, "kind").withColumn("part", part).drop("_c1", "_c2")
+
+
+def slices(rows: DataFrame, infos: Sequence[str], threshold: float = 0.5) -> DataFrame:
+    t = thirds(rows, infos)
+    span = t.groupBy("kind", "part").agg(F.min("info").alias("low"), F.max("info").alias("high"))
+    s = detection_scores(t, ["kind", "part"], threshold).select("kind", "part", "n", "n_pos", "auroc", F.coalesce("sensitivity", F.lit(0.0)).alias("sensitivity"),
+                                                               F.coalesce("specificity", F.lit(0.0)).alias("specificity"))
+    return span.join(s, ["kind", "part"])
+
+
+# ------------------------------------------------------- resampling, permutation
+def resample_weights(units: DataFrame, replicates: int, seed: str | int, unit: str = "pid") -> DataFrame:
+    """How often each unit is drawn in each replicate: n draws with replacement from n units.
+
+    Units are numbered by md5 order, in pieces; each unit's number also serves
+    as one draw of every replicate.
+    """
+    from pulsegrid.operators.core import draw_key, draw_order
+    from pulsegrid.operators.sampling import hex_number
+
+    u = draw_order(units.select(unit).distinct().withColumn("_md5", draw_key(seed, unit)), [], "_md5", "_place")
+    draws = u.select("_place", "_place_total", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
+    target = F.pmod(hex_number(draw_key(seed, "replicate", "_place")), F.col("_place_total")) + 1
+    counts = draws.groupBy("replicate", target.alias("_place")).agg(F.count(F.lit(1)).alias("w"))
+    return counts.join(u.select(unit, "_place"), "_place").select("replicate", unit, "w")
+
+
+def bootstrap(rows: DataFrame, replicates: int, seed: str | int, threshold: float = 0.5, unit: str = "pid") -> DataFrame:
+    """Scores of every replicate; a unit's days stay together and a unit drawn twice brings its events twice.
+
+    Days are merged to (unit, score) and events to counts per unit before the
+    replicates multiply them.
+    """
+    w = resample_weights(rows, replicates, seed, unit)
+    merged = rows.groupBy(unit, "score").agg(F.sum("label").alias("_pos"), F.count(F.lit(1)).alias("_cnt"))
+    # a (replicate, score) row for positives and one for the rest, weighted
+    x = merged.join(w, unit).groupBy("replicate", "score").agg(F.sum(F.col("_pos") * F.col("w")).alias("_p"), F.sum(F.col("_cnt") * F.col("w")).alias("_c"))
+    x = x.select("replicate", "score", F.explode(F.array(F.struct(F.lit(1).alias("label"), F.col("_p").alias("wt")),
+                                                       F.struct(F.lit(0).alias("label"), (F.col("_c") - F.col("_p")).alias("wt")))).alias("z"))
+    x = x.select("replicate", "score", "z.label", "z.wt").where("wt > 0")
+    s = detection_scores(x, ["replicate"], threshold, weight=F.col("wt"))
+    ev = event_scores(rows, [unit], threshold).select(unit, "events", "events_caught").join(w, unit).groupBy("replicate").agg(
+        F.try_divide(F.sum(F.col("events_caught") * F.col("w")), F.sum(F.col("events") * F.col("w"))).alias("event_sensitivity"))
+    return s.join(ev, "replicate", "left")
+
+
+def interval(replicates: DataFrame, keys: Sequence[str], scores: Sequence[str], low: float = 0.025, high: float = 0.975) -> DataFrame:
+    """Percentile interval per score; a key's group has one row per replicate."""
+    return replicates.groupBy(*keys).agg(
+        *[F.percentile(s, F.lit(low)).alias(f"{s}_lo") for s in scores], *[F.percentile(s, F.lit(high)).alias(f"{s}_hi") for s in scores])
+
+
+def permuted_auroc(rows: DataFrame, permutations: int, seed: str | int, unit: Sequence[str]) -> DataFrame:
+    """AUROC of each permutation: as many positives as before, placed by an md5 draw."""
+    from pulsegrid.operators.core import draw_key, draw_order
+
+    n1 = rows.agg(F.sum("label").alias("p"))
+    r = rows.select(*unit, "score", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("permutation"))
+    r = draw_order(r.withColumn("_md5", draw_key(seed, "permutation", *unit)), ["permutation"], "_md5")
+    r = r.withColumn("label", (F.col("draw_rank") <= n1.scalar()).cast("int"))
+    return detection_scores(r, ["permutation"]).select("permutation", "auroc")
+
+
+def permutation_test(rows: DataFrame, permutations: int, seed: str | int, unit: Sequence[str]) -> DataFrame:
+    observed = detection_scores(rows, []).select("auroc")
+    null = permuted_auroc(rows, permutations, seed, unit).withColumn("_obs", observed.scalar())
+    return null.agg(F.max("_obs").alias("observed"), F.avg("auroc").alias("null_mean"), F.percentile("auroc", F.lit(0.95)).alias("null_p95"),
+                    F.avg((F.col("auroc") >= F.col("_obs")).cast("double")).alias("p_value"), F.count(F.lit(1)).alias("permutations"))
+
+
+def repeated_cv_summary(per_fold: DataFrame, keys: Sequence[str], score: str, repeat: str = "repeat") -> DataFrame:
+    """Mean over folds, then mean and 2.5 / 97.5 % over repeats."""
+    per = per_fold.groupBy(*keys, repeat).agg(F.avg(score).alias(score))
+    return per.groupBy(*keys).agg(F.avg(score).alias(score), F.percentile(score, F.lit(0.025)).alias(f"{score}_lo"),
+                                  F.percentile(score, F.lit(0.975)).alias(f"{score}_hi"), F.count(F.lit(1)).alias("repeats"))
+
+
+# --------------------------------------------------------- errors of predictions
+def error_scores(preds: DataFrame, keys: Sequence[str], cut: float, top: float, pid: str = "pid") -> DataFrame:
+    """Errors of predictions against truth: merged per subject first, then per run.
+
+    MAE below and from the cut, median of the subjects' MAEs, impossible values
+    and the share above the device maximum.
+    """
+    t, p = F.col("truth"), F.col("pred")
+    ok = p.isNotNull() & ~F.isnan(p)
+    e = F.when(ok, F.abs(p - t))
+    inf = ok & (F.abs(p) == float("inf"))
+    per = preds.groupBy(*keys, pid).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(~ok).alias("n_missing"), F.count(e).alias("_k"), F.sum(e).alias("_e"), F.sum(e * e).alias("_e2"),
+        F.count(F.when(t < cut, e)).alias("_kb"), F.sum(F.when(t < cut, e)).alias("_eb"), F.count(F.when(t >= cut, e)).alias("_ka"), F.sum(F.when(t >= cut, e)).alias("_ea"),
+        F.count_if(inf).alias("n_nonfinite"), F.count_if(ok & (p <= 0)).alias("n_nonpositive"), F.count_if(ok & (p > top)).alias("_above"))
+    per = per.withColumn("_mae", F.try_divide("_e", "_k"))
+    med = exact_quantiles(per, keys, "_mae", {"mae_per_subject_median": 0.5}).drop("n")
+    s = F.sum
+    out = per.groupBy(*keys).agg(
+        s("n").alias("n"), s("n_missing").alias("n_missing"), F.try_divide(s("_e"), s("_k")).alias("mae"), F.sqrt(F.try_divide(s("_e2"), s("_k"))).alias("rmse"),
+        F.try_divide(s("_eb"), s("_kb")).alias("mae_below"), F.try_divide(s("_ea"), s("_ka")).alias("mae_above"),
+        s("n_nonfinite").alias("n_nonfinite"), s("n_nonpositive").alias("n_nonpositive"), (100 * s("_above") / s("n")).alias("pct_above_max"))
+    return out.join(med, list(keys), "left") if keys else out.withColumn("mae_per_subject_median", med.scalar())
