@@ -14,13 +14,10 @@ from pulsegrid.plans import hubs
 from pulsegrid.sources.stage import materialise
 
 
-@query("f01_stable_sort", "place:l name:s n:l", "with c as (select p_type as name, count(*) as n from part group by 1) select row_number() over (order by n desc, name) as place, name, n from c")
+@query("f01_stable_sort", "name:s n:l", "select p_type as name, count(*) as n from part group by 1 order by n desc, name")
 def f01(spark, sf):
-    from pulsegrid.operators.core import sweep
-    c = cohort.value_counts(S.table(spark, sf, "part"), ["p_type"])
-    # the sorted position is a running count over (count, name), cut by the name's first letter within a count
-    order = c.select(F.col("p_type").alias("name"), "n", F.struct((-F.col("n")).alias("m"), F.col("p_type").alias("t")).alias("o"))
-    return sweep(order, [], "o", piece=-F.col("n"), sums={"place": F.lit(1)})
+    c = cohort.value_counts(S.table(spark, sf, "part"), ["p_type"]).withColumnRenamed("p_type", "name")
+    return picks.stable_sort(c, [F.desc("n")], ["name"])
 
 
 @query("f02_strongest_pairs", "a:s b:s n:l spearman:f", f"with {PAIRS} select a, b, n, spearman from cr where n >= 10 and spearman is not null order by abs(spearman) desc, a, b limit 2")
@@ -51,7 +48,7 @@ def f06(spark, sf):
 
 @query("f07_best_window", "segment:s start:l runs:l readings:l", f"""with {block_sql(2, 20, 200, 'count(*)')}, mk as (select l.segment, l.slot, l.a, l.b, l.hrv, case when x.slot is null then 0 else 1 end as m from labelled l left join block x on x.segment = l.segment and x.slot = l.slot where l.segment is not null),
  ws as (select segment, a, b, unnest(range(a, b - 8 + 2, 4)) as s from (select distinct segment, a, b from mk) z where b - a + 1 >= 8), wr as (select w.segment, w.s - w.a as start, k.slot, k.hrv, k.m from ws w join mk k on k.segment = w.segment and k.slot between w.s and w.s + 7),
- rn as (select segment, start, slot - sum(m) over (partition by segment, start order by slot) as g, hrv, m from wr), rl as (select segment, start, g, m, count(*) as len, count(hrv) as seen from rn group by 1, 2, 3, 4), sc as (select segment, start, count(*) filter (m = 1 and len >= 1) as runs, sum(seen) as readings from rl group by 1, 2)
+ rn as (select segment, start, slot - sum(m) over (partition by segment, start order by slot) as g, hrv, m from wr), rlen as (select segment, start, g, m, count(*) as len, count(hrv) as seen from rn group by 1, 2, 3, 4), sc as (select segment, start, count(*) filter (m = 1 and len >= 1) as runs, sum(seen) as readings from rlen group by 1, 2)
 select segment, start, runs, readings from sc order by runs desc, readings desc, segment desc, start limit 1""")
 def f07(spark, sf):
     t = hubs.segment_table(spark, sf)

@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
+def stable_sort(df: DataFrame, order: Sequence[Column], ties: Sequence[str]) -> DataFrame:
+    """A total order: the wanted keys, then names that settle every tie (range-partitioned sort)."""
+    return df.orderBy(*order, *ties)
+
+
 def strongest_pairs(correlations: DataFrame, k: int = 3, min_n: int = 10, score: str = "spearman") -> DataFrame:
     return correlations.where((F.col("n") >= min_n) & F.col(score).isNotNull()).orderBy(F.desc(F.abs(score)), "a", "b").limit(k)
 
@@ -20,7 +25,7 @@ def best_per(results: DataFrame, keys: Sequence[str], score: str, tie: str) -> D
     return b.select(*keys, *[F.col(f"_b.{c}").alias(c) for c in rest])
 
 
-def top_n(results: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, limit_hint: bool = True) -> DataFrame:
+def top_n(results: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
     """First n rows per key. Spark keeps only n rows per key and task before the shuffle."""
     w = W.partitionBy(*keys).orderBy(*order)
     return results.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
