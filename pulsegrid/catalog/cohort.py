@@ -120,10 +120,10 @@ DAY0 = f"""{S.EPISODES}, u as (select user_id as pid, median(value) filter (even
 
 
 def _day_facts(spark, sf):
-    e = S.table(spark, sf, "events").withColumnRenamed("user_id", "pid")
-    # a (subject, day) group is one day of readings
-    return e.groupBy("pid", F.to_date("ts").alias("date")).agg(
-        F.median(F.when(F.col("event_type") != "purchase", F.col("value"))).alias("med"), (F.count_if(F.col("event_type") == "purchase") / 6.0).alias("hours"))
+    e = S.table(spark, sf, "events").withColumnRenamed("user_id", "pid").withColumn("date", F.to_date("ts"))
+    hours = e.groupBy("pid", "date").agg((F.count_if(F.col("event_type") == "purchase") / 6.0).alias("hours"))
+    med = core.exact_quantiles(e.where("event_type <> 'purchase'"), ["pid", "date"], "value", {"med": 0.5}).drop("n")
+    return hours.join(med, ["pid", "date"], "left")
 
 
 @query("d16_day0_vs_usual", "pid:l event:l day0:f usual:f hours_day0:f hours_usual:f above:l", f"""with {DAY0}

@@ -56,6 +56,13 @@ def f07(spark, sf):
     return picks.best_window(t, m, 8, 4, min_run=1)
 
 
+@query("f07_longest_hidden_run", "segment:s start_slot:l length:l", f"""with {block_sql(2, 20, 200, 'count(*)')}, g as (select segment, slot, slot - row_number() over (partition by segment order by slot) as g from block)
+select segment, min(slot) as start_slot, count(*) as length from g group by segment, g order by 3 desc, 1 desc, 2 desc limit 1""")
+def f07c(spark, sf):
+    t = hubs.segment_table(spark, sf)
+    return picks.longest_hidden_run(materialise(sampling.block_mask(t, sampling.run_pool(t), 2, pct=20, tries=200), "mask"))
+
+
 @query("f07_busiest_series", "pid:l n:l", "select user_id as pid, count(*) as n from events group by 1 order by 2 desc, 1 desc limit 1")
 def f07b(spark, sf):
     return picks.busiest(S.readings(spark, sf), "pid")

@@ -193,7 +193,13 @@ def drop_halo(df: DataFrame, own: Column) -> DataFrame:
 
 
 # ------------------------------------------------------ value order, not rows
-def range_bounds(df: DataFrame, value: str, bins: int = 64) -> list[float]:
+def pieces_wanted(df: DataFrame, low: int = 16, high: int = 1024) -> int:
+    """How many parts one key's values are cut into: twice the session's shuffle partitions."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(low, min(high, 2 * n))
+
+
+def range_bounds(df: DataFrame, value: str, bins: int) -> list[float]:
     """Up to `bins` cut points that spread the values evenly (a small, fixed list).
 
     The cut points only balance work; results do not depend on them.
@@ -205,15 +211,18 @@ def range_bounds(df: DataFrame, value: str, bins: int = 64) -> list[float]:
 
 
 def bucket_by(value: str | Column, bounds: Sequence[float]) -> Column:
-    """Number of cut points below the value."""
-    out = F.lit(0)
-    for b in bounds:
-        out = out + (col(value) > F.lit(float(b))).cast("int")
-    return out
+    """Number of cut points below the value, found by halving."""
+    def pick(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(col(value) > F.lit(float(bounds[mid])), pick(mid + 1, hi)).otherwise(pick(lo, mid))
+
+    return pick(0, len(bounds))
 
 
 def by_value(df: DataFrame, keys: Sequence[str], value: str, sums: Mapping[str, Column] | None = None,
-             *, bins: int = 64) -> DataFrame:
+             *, bins: int | None = None) -> DataFrame:
     """One row per (keys, distinct value) with counts and running counts in value order.
 
     Columns: `n` (rows with the value), `upto` (rows with this or a smaller
@@ -222,7 +231,7 @@ def by_value(df: DataFrame, keys: Sequence[str], value: str, sums: Mapping[str,
     before anything is ordered, so a value held by most rows costs one row.
     """
     sums = dict(sums or {})
-    bounds = range_bounds(df.where(F.col(value).isNotNull()), value, bins)
+    bounds = range_bounds(df.where(F.col(value).isNotNull()), value, bins or pieces_wanted(df))
     distinct = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(
         F.count(F.lit(1)).alias("n"), *[F.sum(e).alias(k) for k, e in sums.items()]
     )
@@ -233,7 +242,7 @@ def by_value(df: DataFrame, keys: Sequence[str], value: str, sums: Mapping[str,
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float],
-                    *, bins: int = 64) -> DataFrame:
+                    *, bins: int | None = None) -> DataFrame:
     """Exact quantiles per key with linear interpolation, for keys of any size."""
     table = by_value(df, keys, value, bins=bins)
     aggs = []
@@ -267,13 +276,16 @@ def draw_key(seed: str | int, *cols: str | Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[col(c).cast("string") for c in cols]))
 
 
-def draw_order(df: DataFrame, keys: Sequence[str], draw: str, rank: str = "draw_rank") -> DataFrame:
+def draw_order(df: DataFrame, keys: Sequence[str], draw: str, rank: str = "draw_rank", digits: int | None = None) -> DataFrame:
     """Place 1, 2, … of every row in the order of a md5 text, per key.
 
-    The first two hex digits are the piece, so even a single key is ordered
-    in 256 parts. `<rank>_total` holds the key's row count.
+    The leading hex digits are the piece, so even a single key is ordered in
+    many parts; keys known to be short need only one digit. `<rank>_total`
+    holds the key's row count.
     """
-    return sweep(df, keys, draw, piece=F.substring(F.col(draw), 1, 2), sums={rank: F.lit(1)})
+    if digits is None:
+        digits = 2 if pieces_wanted(df) <= 256 else 3
+    return sweep(df, keys, draw, piece=F.substring(F.col(draw), 1, digits), sums={rank: F.lit(1)})
 
 
 # --------------------------------------------------------------- range joins

@@ -11,11 +11,15 @@ from pyspark.sql import Window as W
 from pulsegrid.operators.core import CHUNK, Seen, drop_halo, floor_div, sweep, with_halo
 
 
-def reading_gaps(readings: DataFrame, keys: Sequence[str], ts: str = "ts") -> DataFrame:
-    """Minutes since the subject's previous reading (null at the first). One day is one piece."""
+def reading_gaps(readings: DataFrame, keys: Sequence[str], ts: str = "ts", piece_s: int = 6 * 3600) -> DataFrame:
+    """Minutes since the subject's previous reading (null at the first).
+
+    Readings are ordered in pieces of `piece_s` seconds; make it shorter where
+    a single subject sends very many.
+    """
     from pulsegrid.operators.core import slot_of
 
-    out = sweep(readings, keys, ts, before={"_p": Seen(F.col(ts).isNotNull())}, piece=slot_of(ts, 86400))
+    out = sweep(readings, keys, ts, before={"_p": Seen(F.col(ts).isNotNull())}, piece=slot_of(ts, piece_s))
     micros = F.timestamp_diff("MICROSECOND", F.col("_p.pos"), F.col(ts))
     return out.withColumn("gap", micros / 60e6).drop("_p")
 

@@ -62,3 +62,12 @@ def best_window(labelled: DataFrame, masked: DataFrame, width: int, step: int, m
 def busiest(rows: DataFrame, series: str) -> DataFrame:
     n = rows.groupBy(series).agg(F.count(F.lit(1)).alias("n"))
     return n.agg(F.max_by(F.struct(series, "n"), F.struct(F.col("n"), F.col(series))).alias("b")).select("b.*")
+
+
+def longest_hidden_run(masked: DataFrame, slot: str = "slot") -> DataFrame:
+    """The longest unbroken stretch of hidden slots (blanks between hidden readings break it): its series, start and length."""
+    from pulsegrid.operators.core import islands
+
+    runs = islands(masked.select("segment", slot), ["segment"], slot, F.lit(0)).groupBy("segment", "a").agg(F.count(F.lit(1)).alias("length"))
+    r = runs.agg(F.max_by(F.struct("segment", "a", "length"), F.struct(F.col("length"), F.col("segment"), F.col("a"))).alias("r"))
+    return r.select("r.segment", F.col("r.a").alias("start_slot"), "r.length")

@@ -14,7 +14,7 @@ from pulsegrid.operators.core import draw_key, draw_order
 def random_mask(labelled: DataFrame, seed: str | int, pct: int = 20, value: str = "hrv", slot: str = "slot") -> DataFrame:
     """Hide round-half-even(pct %) of the observed slots of every segment: (segment, slot) of the hidden ones."""
     obs = labelled.where(F.col("segment").isNotNull() & F.col(value).isNotNull()).select("segment", slot)
-    obs = draw_order(obs.withColumn("_md5", draw_key(seed, "segment", slot)), ["segment"], "_md5")
+    obs = draw_order(obs.withColumn("_md5", draw_key(seed, "segment", slot)), ["segment"], "_md5", digits=1)
     return obs.where(F.col("draw_rank") <= F.bround(F.col("draw_rank_total") * pct / 100)).select("segment", slot)
 
 
@@ -121,7 +121,7 @@ def training_pairs(train: DataFrame, series: str, slot: str, horizons: int, pair
     p = p.where(F.col("origin") + F.col("h") <= F.col("_b")).drop("_b")
     real = train.where(F.col(target).isNotNull()).select(series, F.col(slot).alias("_t"), F.col(target).alias("target"))
     p = p.withColumn("_t", F.col("origin") + F.col("h")).join(real, [series, "_t"])
-    p = draw_order(p.withColumn("_md5", draw_key(seed, series, "origin", "h")), [series], "_md5")
+    p = draw_order(p.withColumn("_md5", draw_key(seed, series, "origin", "h")), [series], "_md5", digits=1)
     return p.where(F.col("draw_rank") <= pairs).select(series, "origin", "h", "target")
 
 
