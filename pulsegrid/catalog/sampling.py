@@ -22,7 +22,7 @@ def block_sql(seed, pct, tries, pool):
     return S.SEGMENTS + f""", sg as (select segment, min(slot) as a, count(*) as n, cast(round_even(count(hrv) * {pct} / 100, 0) as bigint) as target from labelled where segment is not null group by 1),
  rl as (select segment, missing_run, count(*) as s from labelled where segment is not null and missing_run > 0 group by 1, 2), pool as (select missing_run as len, {pool} as n from rl group by 1),
  cum as (select len, n, sum(n) over (order by len) as upto, sum(n) over () as tot from pool),
- cd as (select segment, a, n, target, i, ('0x' || substr(md5('{seed}|length|' || segment || '|' || cast(i as varchar)), 1, 8))::bigint as h1, ('0x' || substr(md5('{seed}|start|' || segment || '|' || cast(i as varchar)), 1, 8))::bigint as h2
+ cd as (select segment, a, n, target, i, ('0x' || substr(md5('{seed}|' || segment || '|' || cast(i as varchar)), 1, 8))::bigint as h1, ('0x' || substr(md5('{seed}|' || segment || '|' || cast(i as varchar)), 9, 8))::bigint as h2
   from sg, (select unnest(range(1, {tries + 1})) as i) t where target > 0),
  cl as (select cd.*, c.len from cd join cum c on cd.h1 % c.tot >= c.upto - c.n and cd.h1 % c.tot < c.upto), cs as (select *, h2 % greatest(1, n - len) as st from cl),
  sp as (select segment, target, i, unnest(range(a + st, a + least(st + len, n))) as slot from cs), fi as (select segment, target, slot, min(i) as i from sp group by 1, 2, 3),

@@ -17,18 +17,22 @@ def floor_minute(ts: Column) -> Column:
     return slot_start(floor_div(epoch_seconds(ts), 60), 60)
 
 
+def calendar_day(year: Column, month: Column, day: Column) -> Column:
+    """Date from whole numbers; null if there is no such day."""
+    zero = F.lit(0)
+    return F.try_make_timestamp_ntz(year, month, day, zero, zero, zero.cast("decimal(16,6)")).cast("date")
+
+
 def day_first(text: Column) -> Column:
     """Day-first date with -, / or . between the parts."""
-    m = F.regexp_replace(F.trim(text), r"[/.]", "-")
-    ok = m.rlike(r"^\d{1,2}-\d{1,2}-\d{4}$")
-    return F.when(ok, F.try_to_timestamp(m, F.lit("d-M-yyyy")).cast("date"))
+    pat = r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})$"
+    part = lambda i: F.regexp_extract(F.trim(text), pat, i).try_cast("int")
+    return calendar_day(part(3), part(2), part(1))
 
 
 def make_day(day: Column, month: Column, year: Column, first_year: int, last_year: int) -> Column:
     """Date from its parts; null if it does not exist or lies outside the years."""
-    text = F.format_string("%04d-%02d-%02d", year.cast("int"), month.cast("int"), day.cast("int"))
-    d = text.try_cast("date")
-    return F.when(F.year(d).between(first_year, last_year), d)
+    return F.when(year.between(first_year, last_year), calendar_day(year, month, day))
 
 
 def swapped_or_slashed(stored: Column, text: Column, first_year: int, last_year: int) -> Column:
@@ -63,4 +67,6 @@ def phase(t: Column, period: float) -> tuple[Column, Column]:
 
 def id_date(event_id: Column) -> Column:
     """Date held in the suffix of an event id such as p17_20240131."""
-    return F.try_to_timestamp(F.substring_index(event_id, "_", -1), F.lit("yyyyMMdd")).cast("date")
+    n = F.substring_index(event_id, "_", -1)
+    part = lambda a, k: F.substring(n, a, k).try_cast("int")
+    return F.when(n.rlike(r"^\d{8}$"), calendar_day(part(1, 4), part(5, 2), part(7, 2)))

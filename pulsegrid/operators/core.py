@@ -62,15 +62,21 @@ def spine(df: DataFrame, keys: Sequence[str], pos: str, *, first: Column | None
         (F.min(pos) if first is None else first).alias("_a"),
         (F.max(pos) if last is None else last).alias("_b"),
     )
-    pieces = bounds.select(
-        *keys, "_a", "_b",
-        F.explode(F.sequence(floor_div("_a", size), floor_div("_b", size))).alias(_PIECE),
-    ).where("_a <= _b")
+    return positions(bounds, keys, "_a", "_b", pos, size=size)
+
+
+def positions(spans: DataFrame, keys: Sequence[str], first: str, last: str, pos: str, *, keep: Sequence[str] = (),
+              size: int = CHUNK) -> DataFrame:
+    """Every integer position of each span (one row per key), with the `keep` columns on every row."""
+    pieces = spans.where(F.col(first) <= F.col(last)).select(
+        *keys, *keep, F.col(first).alias("_f"), F.col(last).alias("_t"),
+        F.explode(F.sequence(floor_div(first, size), floor_div(last, size))).alias(_PIECE),
+    )
     return pieces.select(
-        *keys,
+        *keys, *keep,
         F.explode(F.sequence(
-            F.greatest(F.col("_a"), F.col(_PIECE) * size),
-            F.least(F.col("_b"), F.col(_PIECE) * size + (size - 1)),
+            F.greatest(F.col("_f"), F.col(_PIECE) * size),
+            F.least(F.col("_t"), F.col(_PIECE) * size + (size - 1)),
         )).alias(pos),
     )
 
@@ -116,25 +122,27 @@ def sweep(df: DataFrame, keys: Sequence[str], pos: str, *, before: Mapping[str,
         + [F.sum(e).alias(f"_e_{n}") for n, e in sums.items()]
         + ([F.min(pos).alias("_e_min"), F.max(pos).alias("_e_max")] if bounds else [])
     )
-    over_pieces = W.partitionBy(*keys).orderBy(_PIECE)
-    earlier = over_pieces.rowsBetween(W.unboundedPreceding, -1)
-    later = over_pieces.rowsBetween(1, W.unboundedFollowing)
-    whole = W.partitionBy(*keys)
+    # looks forward run over the reversed order: Spark grows a frame from its start in one pass,
+    # but recomputes a frame that ends at the last row for every row
+    over_pieces = W.partitionBy(*keys)
+    earlier = over_pieces.orderBy(_PIECE).rowsBetween(W.unboundedPreceding, -1)
+    later = over_pieces.orderBy(F.desc(_PIECE)).rowsBetween(W.unboundedPreceding, -1)
+    whole = over_pieces
     edges = df.groupBy(*keys, _PIECE).agg(*edge_aggs).select(
         *keys, _PIECE,
         *[F.last(f"_e_{n}", ignorenulls=True).over(earlier).alias(f"_x_{n}") for n in before],
-        *[F.first(f"_e_{n}", ignorenulls=True).over(later).alias(f"_x_{n}") for n in after],
+        *[F.last(f"_e_{n}", ignorenulls=True).over(later).alias(f"_x_{n}") for n in after],
         *[F.sum(f"_e_{n}").over(earlier).alias(f"_x_{n}") for n in sums],
         *[F.sum(f"_e_{n}").over(whole).alias(f"{n}_total") for n in sums],
         *([F.min("_e_min").over(whole).alias("pos_min"), F.max("_e_max").over(whole).alias("pos_max")] if bounds else []),
     )
-    inside = W.partitionBy(*keys, _PIECE).orderBy(pos)
-    back = {True: inside.rowsBetween(W.unboundedPreceding, 0), False: inside.rowsBetween(W.unboundedPreceding, -1)}
-    ahead = {True: inside.rowsBetween(0, W.unboundedFollowing), False: inside.rowsBetween(1, W.unboundedFollowing)}
+    inside = W.partitionBy(*keys, _PIECE)
+    frames = lambda w: {own: w.rowsBetween(W.unboundedPreceding, 0 if own else -1) for own in (True, False)}
+    back, ahead = frames(inside.orderBy(pos)), frames(inside.orderBy(F.desc(pos)))
     local = df.select(
         "*",
         *[F.last(item(s), ignorenulls=True).over(back[s.own]).alias(f"_l_{n}") for n, s in before.items()],
-        *[F.first(item(s), ignorenulls=True).over(ahead[s.own]).alias(f"_l_{n}") for n, s in after.items()],
+        *[F.last(item(s), ignorenulls=True).over(ahead[s.own]).alias(f"_l_{n}") for n, s in after.items()],
         *[F.sum(e).over(back[True]).alias(f"_l_{n}") for n, e in sums.items()],
     )
     joined = local.join(edges, [*keys, _PIECE], "left")

@@ -48,20 +48,17 @@ def block_mask(labelled: DataFrame, pool: DataFrame, seed: str | int, *, pct: in
     inside = labelled.where(F.col("segment").isNotNull())
     seg = inside.groupBy("segment").agg(F.min(slot).alias("_a"), F.count(F.lit(1)).alias("_n"),
                                         F.bround(F.count(value) * pct / 100).cast("long").alias("_target")).where("_target > 0")
-    # the pool as one short array of (length, running count): a scalar, at most `longest gap` entries
-    table = pool.agg(F.array_sort(F.collect_list(F.struct("length", "n"))).alias("p"))
-    table = table.select(F.when(F.size("p") > 0, F.col("p")).otherwise(
-        F.array(F.struct(F.lit(1).cast("long").alias("length"), F.lit(1).cast("long").alias("n")))).alias("p"))
-    seg = seg.withColumn("_pool", table.scalar())
-    cand = seg.select("*", F.explode(F.sequence(F.lit(1), F.lit(tries))).alias("_i"))
-    total = F.aggregate("_pool", F.lit(0).cast("long"), lambda a, x: a + x["n"])
-    pick = F.pmod(hex_number(draw_key(seed, F.lit("length"), "segment", "_i")), total)
-    length = F.aggregate(
-        F.col("_pool"), F.struct(F.lit(0).cast("long").alias("upto"), F.lit(None).cast("long").alias("len")),
-        lambda a, x: F.struct((a["upto"] + x["n"]).alias("upto"), F.coalesce(
-            a["len"], F.when(a["upto"] + x["n"] > F.col("_pick"), x["length"])).alias("len")))["len"]
+    # the pool has at most `longest gap` rows: read once and written into the plan as a list
+    lengths = sorted((int(r["length"]), int(r["n"])) for r in pool.collect()) or [(1, 1)]
+    seg = seg.select("*", F.explode(F.sequence(F.lit(1), F.lit(tries))).alias("_i"))
+    cand = seg.withColumn("_md5", draw_key(seed, "segment", "_i"))
+    pick = F.pmod(hex_number(F.col("_md5")), F.lit(sum(n for _, n in lengths)))
+    length, upto = F.lit(lengths[-1][0]), sum(n for _, n in lengths)
+    for size, n in reversed(lengths):
+        length = F.when(F.col("_pick") < upto, size).otherwise(length)
+        upto -= n
     cand = cand.withColumn("_pick", pick).withColumn("_len", length)
-    start = F.pmod(hex_number(draw_key(seed, F.lit("start"), "segment", "_i")), F.greatest(F.lit(1), F.col("_n") - F.col("_len")))
+    start = F.pmod(hex_number(F.substring("_md5", 9, 8)), F.greatest(F.lit(1), F.col("_n") - F.col("_len")))
     spans = cand.select("segment", "_target", "_i", F.explode(F.sequence(
         F.col("_a") + start, F.col("_a") + F.least(start + F.col("_len"), F.col("_n")) - 1)).alias(slot))
     first = spans.groupBy("segment", "_target", slot).agg(F.min("_i").alias("_i"))

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.operators.core import epoch_seconds, floor_div, slot_of, slot_start, spine
+from pulsegrid.operators.core import epoch_seconds, floor_div, positions, slot_of, slot_start, spine
 
 
 def minute_means(points: DataFrame, keys: Sequence[str], ts: str = "ts", value: str = "value") -> DataFrame:
@@ -66,23 +66,30 @@ def dense(table: DataFrame, keys: Sequence[str], slot: str = "slot", also: DataF
     return spine(span, keys, slot).join(table, [*keys, slot], "left")
 
 
-def minute_table(points: DataFrame, intervals: Mapping[str, DataFrame], vitals: Sequence[str],
-                 keys: Sequence[str] = ("pid",)) -> DataFrame:
-    """The minute hub: one row for every minute from the first to the last reading or flag.
+def sparse_minutes(points: DataFrame, intervals: Mapping[str, DataFrame], vitals: Sequence[str],
+                   keys: Sequence[str] = ("pid",)) -> DataFrame:
+    """Only the minutes that hold a reading or a flag: what the dense hub is made from.
 
-    `intervals` maps a flag name to the intervals that set it.
+    `intervals` maps a flag name to the intervals that set it. Readings and
+    flags meet in one aggregation.
     """
     rows = widen(points, keys, "ts", vitals)
+    if not intervals:
+        return rows
     flags = None
     for name, iv in intervals.items():
-        one = covered_minutes(iv, keys).withColumn("_flag", F.lit(name))
+        one = covered_minutes(iv, keys).select(*keys, "slot", *[F.lit(1 if n == name else 0).alias(n) for n in intervals])
         flags = one if flags is None else flags.unionByName(one)
-    if flags is None:
-        return dense(rows, keys)
-    flagged = flags.groupBy(*keys, "slot").agg(
-        *[F.max((F.col("_flag") == n).cast("int")).alias(n) for n in intervals])
-    out = dense(rows, keys, also=flagged).join(flagged, [*keys, "slot"], "left")
-    return out.withColumns({n: F.coalesce(F.col(n), F.lit(0)) for n in intervals})
+    both = rows.unionByName(flags, allowMissingColumns=True)
+    return both.groupBy(*keys, "slot").agg(*[F.max(v).alias(v) for v in vitals],
+                                           *[F.coalesce(F.max(n), F.lit(0)).alias(n) for n in intervals])
+
+
+def minute_table(points: DataFrame, intervals: Mapping[str, DataFrame], vitals: Sequence[str],
+                 keys: Sequence[str] = ("pid",)) -> DataFrame:
+    """The minute hub: one row for every minute from the first to the last reading or flag."""
+    out = dense(sparse_minutes(points, intervals, vitals, keys), keys)
+    return out.withColumns({n: F.coalesce(F.col(n), F.lit(0)) for n in intervals}) if intervals else out
 
 
 def slot_grid(points: DataFrame, keys: Sequence[str], ts: str, value: str, width_s: int) -> DataFrame:
@@ -94,20 +101,28 @@ def slot_grid(points: DataFrame, keys: Sequence[str], ts: str, value: str, width
 
 def multi_grid(minutes: DataFrame, keys: Sequence[str], main: str, means: Sequence[str], sums: Sequence[str],
                fractions: Sequence[str], per_slot: int = 10) -> DataFrame:
-    """Minute table to slot grid, from the main signal's first slot to its last reading.
+    """Minutes to slot grid, from the main signal's first slot to its last reading.
 
     Means, counts, sums that stay blank when all is blank, and shares of
-    minutes with a flag. The main signal's span is one row per key.
+    minutes with a flag. The minutes may be sparse or dense: blank minutes add
+    nothing to means and sums, and how many minutes a slot spans follows from
+    the bounds, so the per-minute table never has to be expanded.
     """
-    span = minutes.where(F.col(main).isNotNull()).groupBy(*keys).agg(
-        floor_div(F.min("slot"), per_slot).alias("_a"), F.max("slot").alias("_b"))
-    inside = minutes.join(span, list(keys)).where(
-        (floor_div("slot", per_slot) >= F.col("_a")) & (F.col("slot") <= F.col("_b")))
-    return inside.groupBy(*keys, floor_div("slot", per_slot).alias("slot")).agg(
+    span = minutes.groupBy(*keys).agg(
+        F.min("slot").alias("_lo"), F.min(F.when(F.col(main).isNotNull(), F.col("slot"))).alias("_first"),
+        F.max(F.when(F.col(main).isNotNull(), F.col("slot"))).alias("_hi")).where("_first is not null")
+    span = span.select(*keys, "_lo", floor_div("_first", per_slot).alias("_a"), "_hi")
+    inside = minutes.join(span, list(keys)).where((F.col("slot") >= F.col("_a") * per_slot) & (F.col("slot") <= F.col("_hi")))
+    got = inside.groupBy(*keys, floor_div("slot", per_slot).alias("slot")).agg(
         *[F.avg(m).alias(m) for m in [main, *means]],
         *[F.count(m).alias(f"{m}_n") for m in [main, *means[:1]]],
         *[F.sum(s).alias(s) for s in sums],
-        *[F.coalesce(F.avg(F.col(f).cast("double")), F.lit(0.0)).alias(f"{f}_frac") for f in fractions])
+        *[F.sum(f).alias(f"_{f}") for f in fractions])
+    axis = positions(span.withColumn("_b", floor_div("_hi", per_slot)), keys, "_a", "_b", "slot", keep=["_lo", "_hi"])
+    g = axis.join(got, [*keys, "slot"], "left")
+    width = (F.least(F.col("slot") * per_slot + (per_slot - 1), F.col("_hi")) - F.greatest(F.col("slot") * per_slot, F.col("_lo")) + 1)
+    return g.select(*keys, "slot", main, *means, *[F.coalesce(f"{m}_n", F.lit(0)).alias(f"{m}_n") for m in [main, *means[:1]]], *sums,
+                    *[F.coalesce(F.col(f"_{f}") / width, F.lit(0.0)).alias(f"{f}_frac") for f in fractions])
 
 
 def daily_rollup(grid: DataFrame, keys: Sequence[str], width_s: int, *, value: str = "hrv", n: str = "hrv_n",
