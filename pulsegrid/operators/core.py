@@ -212,10 +212,10 @@ def range_bounds(df: DataFrame, value: str, bins: int) -> list[float]:
 
     The cut points only balance work; results do not depend on them.
     """
-    points = df.select(col(value).cast("double").alias("v")).approxQuantile(
-        "v", [i / bins for i in range(1, bins)], 0.005
-    )
-    return sorted(set(points))
+    if bins < 2:
+        return []
+    points = df.agg(F.percentile_approx(col(value).cast("double"), [i / bins for i in range(1, bins)], 2000).alias("p")).first()["p"]
+    return sorted(set(points or []))
 
 
 def bucket_by(value: str | Column, bounds: Sequence[float]) -> Column:
