@@ -1,10 +1,12 @@
 """Skew-safe ordered primitives the other operators share.
 
-A window ordered over a whole series puts that series into one task. The
-helpers here never do that: rows are cut into (key, chunk) pieces, each piece
-is windowed on its own, and the few facts a piece needs from its neighbours
-(last reading before it, running totals so far) come from a table holding one
-row per piece. Only that small table is windowed per key.
+A window ordered over a whole series puts that series into one task. That is
+fine, and cheapest, while the longest series is short, so its length is
+measured first. Beyond `ROWS_PER_TASK` rows are cut into (key, chunk) pieces:
+each piece is windowed on its own, and the few facts it needs from its
+neighbours (last reading before it, running totals so far) come from a table
+holding one row per piece. Only that small table is windowed per key. Both
+ways give the same rows.
 """
 
 from __future__ import annotations
@@ -19,9 +21,20 @@ from pyspark.sql import Window as W
 CHUNK = 4096
 """Positions per piece: the most rows one window group holds on a dense axis."""
 
+ROWS_PER_TASK = 1_000_000
+"""The longest key that one window group may hold whole."""
+
 _PIECE = "_piece"
 
 
+def fits_one_task(df: DataFrame, keys: Sequence[str]) -> bool:
+    """Is every key short enough for one window group? Counts the rows per key (key columns only)."""
+    if ROWS_PER_TASK <= 0:
+        return False
+    per = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return (per.agg(F.max("n").alias("n")).first()["n"] or 0) <= ROWS_PER_TASK
+
+
 def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -95,9 +108,31 @@ class Seen:
     own: bool = False
 
 
+def _item(seen: Seen, pos: str) -> Column:
+    return F.when(seen.when, F.struct(F.col(pos).alias("pos"), *[F.col(p) for p in seen.payload]))
+
+
+def _frames(w):
+    return {own: w.rowsBetween(W.unboundedPreceding, 0 if own else -1) for own in (True, False)}
+
+
+def _sweep_whole(df: DataFrame, keys, pos, before, after, sums, bounds) -> DataFrame:
+    """The sweep as plain windows over each key."""
+    w = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(1))
+    back, ahead = _frames(w.orderBy(pos)), _frames(w.orderBy(F.desc(pos)))
+    return df.select(
+        "*",
+        *[F.last(_item(s, pos), ignorenulls=True).over(back[s.own]).alias(n) for n, s in before.items()],
+        *[F.last(_item(s, pos), ignorenulls=True).over(ahead[s.own]).alias(n) for n, s in after.items()],
+        *[F.coalesce(F.sum(e).over(back[True]), F.lit(0)).alias(n) for n, e in sums.items()],
+        *[F.coalesce(F.sum(e).over(w), F.lit(0)).alias(f"{n}_total") for n, e in sums.items()],
+        *([F.min(pos).over(w).alias("pos_min"), F.max(pos).over(w).alias("pos_max")] if bounds else []),
+    )
+
+
 def sweep(df: DataFrame, keys: Sequence[str], pos: str, *, before: Mapping[str, Seen] | None = None,
           after: Mapping[str, Seen] | None = None, sums: Mapping[str, Column] | None = None,
-          piece: Column | None = None, size: int = CHUNK, bounds: bool = False) -> DataFrame:
+          piece: Column | None = None, size: int = CHUNK, bounds: bool = False, whole: bool | None = None) -> DataFrame:
     """Add looks backward, looks forward and running sums along `pos`.
 
     * `before[name]` / `after[name]`: struct of the nearest qualifying row.
@@ -105,16 +140,19 @@ def sweep(df: DataFrame, keys: Sequence[str], pos: str, *, before: Mapping[str,
       the sum over the whole key.
     * `bounds=True`: `pos_min` and `pos_max` of the key.
 
-    The frame is read twice, once for the rows and once (pruned and
-    pre-aggregated) for the per-piece facts: pass a stored table, not a long plan.
+    The frame is read twice, once to measure it or for the per-piece facts
+    (pruned and pre-aggregated) and once for the rows: pass a stored table, not
+    a long plan. `whole` skips the measuring when the caller knows the answer.
 
     `piece` must grow with `pos`; by default it is `pos div size`.
     """
     before, after, sums = before or {}, after or {}, sums or {}
+    if fits_one_task(df, keys) if whole is None else whole:
+        return _sweep_whole(df, keys, pos, before, after, sums, bounds)
     df = df.withColumn(_PIECE, floor_div(pos, size) if piece is None else piece)
 
     def item(seen: Seen) -> Column:
-        return F.when(seen.when, F.struct(F.col(pos).alias("pos"), *[F.col(p) for p in seen.payload]))
+        return _item(seen, pos)
 
     edge_aggs = (
         [F.max(item(s)).alias(f"_e_{n}") for n, s in before.items()]
@@ -127,18 +165,17 @@ def sweep(df: DataFrame, keys: Sequence[str], pos: str, *, before: Mapping[str,
     over_pieces = W.partitionBy(*keys)
     earlier = over_pieces.orderBy(_PIECE).rowsBetween(W.unboundedPreceding, -1)
     later = over_pieces.orderBy(F.desc(_PIECE)).rowsBetween(W.unboundedPreceding, -1)
-    whole = over_pieces
+    every = over_pieces
     edges = df.groupBy(*keys, _PIECE).agg(*edge_aggs).select(
         *keys, _PIECE,
         *[F.last(f"_e_{n}", ignorenulls=True).over(earlier).alias(f"_x_{n}") for n in before],
         *[F.last(f"_e_{n}", ignorenulls=True).over(later).alias(f"_x_{n}") for n in after],
         *[F.sum(f"_e_{n}").over(earlier).alias(f"_x_{n}") for n in sums],
-        *[F.sum(f"_e_{n}").over(whole).alias(f"{n}_total") for n in sums],
-        *([F.min("_e_min").over(whole).alias("pos_min"), F.max("_e_max").over(whole).alias("pos_max")] if bounds else []),
+        *[F.sum(f"_e_{n}").over(every).alias(f"{n}_total") for n in sums],
+        *([F.min("_e_min").over(every).alias("pos_min"), F.max("_e_max").over(every).alias("pos_max")] if bounds else []),
     )
     inside = W.partitionBy(*keys, _PIECE)
-    frames = lambda w: {own: w.rowsBetween(W.unboundedPreceding, 0 if own else -1) for own in (True, False)}
-    back, ahead = frames(inside.orderBy(pos)), frames(inside.orderBy(F.desc(pos)))
+    back, ahead = _frames(inside.orderBy(pos)), _frames(inside.orderBy(F.desc(pos)))
     local = df.select(
         "*",
         *[F.last(item(s), ignorenulls=True).over(back[s.own]).alias(f"_l_{n}") for n, s in before.items()],
@@ -163,6 +200,11 @@ def islands(df: DataFrame, keys: Sequence[str], pos: str, gap: Column, start: st
     inside a piece are seen there; whether a piece goes on with the stretch
     before it is settled on the table of pieces.
     """
+    if fits_one_task(df, keys):
+        w = W.partitionBy(*keys).orderBy(pos)
+        prev = F.lag(pos).over(w)
+        cut = df.withColumn("_first", F.when(prev.isNull() | (F.col(pos) - prev - 1 > gap), F.col(pos)))
+        return cut.withColumn(start, F.max("_first").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_first")
     df = df.withColumn(_PIECE, floor_div(pos, size))
     inside = W.partitionBy(*keys, _PIECE).orderBy(pos)
     step = F.col(pos) - F.lag(pos).over(inside) - 1
@@ -239,19 +281,28 @@ def by_value(df: DataFrame, keys: Sequence[str], value: str, sums: Mapping[str,
     before anything is ordered, so a value held by most rows costs one row.
     """
     sums = dict(sums or {})
-    bounds = range_bounds(df.where(F.col(value).isNotNull()), value, bins or pieces_wanted(df))
-    distinct = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(
-        F.count(F.lit(1)).alias("n"), *[F.sum(e).alias(k) for k, e in sums.items()]
-    )
-    return sweep(
-        distinct, keys, value, piece=bucket_by(value, bounds),
-        sums={"upto": F.col("n"), **{f"{k}_upto": F.col(k) for k in sums}},
-    )
+    rows = df.where(F.col(value).isNotNull())
+    distinct = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"), *[F.sum(e).alias(k) for k, e in sums.items()])
+    running = {"upto": F.col("n"), **{f"{k}_upto": F.col(k) for k in sums}}
+    if fits_one_task(rows, keys):
+        return sweep(distinct, keys, value, sums=running, whole=True)
+    bounds = range_bounds(rows, value, bins or pieces_wanted(df))
+    return sweep(distinct, keys, value, piece=bucket_by(value, bounds), sums=running, whole=False)
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float],
                     *, bins: int | None = None) -> DataFrame:
-    """Exact quantiles per key with linear interpolation, for keys of any size."""
+    """Exact quantiles per key with linear interpolation, for keys of any size.
+
+    Short keys are left to Spark's own exact percentile, which gathers the
+    distinct values of a key in one place; beyond that the counts in value
+    order find the two neighbours of the wanted place.
+    """
+    rows = df.where(F.col(value).isNotNull())
+    if fits_one_task(rows, keys):
+        names = list(probs)
+        q = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.percentile(value, [float(probs[k]) for k in names]).alias("_q"))
+        return q.where("n > 0").select(*keys, "n", *[F.col("_q")[i].alias(k) for i, k in enumerate(names)])
     table = by_value(df, keys, value, bins=bins)
     aggs = []
     for name, p in probs.items():

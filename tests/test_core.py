@@ -8,6 +8,13 @@ from pyspark.sql import Window as W
 from pulsegrid.operators import core
 
 
+@pytest.fixture(params=["whole", "pieces"], autouse=True)
+def path(request, monkeypatch):
+    """Every test runs with keys held whole and with keys cut into pieces."""
+    if request.param == "pieces":
+        monkeypatch.setattr(core, "ROWS_PER_TASK", 0)
+
+
 def series(spark, n=60, keys=3, seed=1, blanks=0.5):
     r = random.Random(seed)
     rows = [(k, p, None if r.random() < blanks else float(r.randint(1, 9))) for k in range(keys) for p in range(-7, n - 7)]

@@ -4,7 +4,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pulsegrid.operators import cohort, ledger, metrics
+from pulsegrid.operators import cohort, core, ledger, metrics
+
+
+@pytest.fixture(params=["whole", "pieces"])
+def path(request, monkeypatch):
+    if request.param == "pieces":
+        monkeypatch.setattr(core, "ROWS_PER_TASK", 0)
 
 
 def frame(spark, y, s, **more):
@@ -27,7 +33,7 @@ def auprc(y, s):
     return out
 
 
-def test_scores_equal_plain_definitions_with_ties(spark):
+def test_scores_equal_plain_definitions_with_ties(spark, path):
     r = random.Random(3)
     rows, want = [], {}
     for case in range(40):
@@ -42,7 +48,7 @@ def test_scores_equal_plain_definitions_with_ties(spark):
         assert got[c] == pytest.approx(w)
 
 
-def test_constant_score_and_single_class(spark):
+def test_constant_score_and_single_class(spark, path):
     r = metrics.detection_scores(frame(spark, [1, 0, 0, 1], [0.2] * 4), []).first()
     assert r.auroc == 0.5 and r.auprc == 0.5 and r.sensitivity == 0.0 and r.ppv is None and r.f1 == 0.0
     r = metrics.detection_scores(frame(spark, [0, 0, 0], [0.1, 0.2, 0.9]), []).first()
@@ -69,7 +75,7 @@ def test_resampling_draws_as_many_units_as_there_are(spark):
     assert w.exceptAll(metrics.resample_weights(u.repartition(5), 6, "s")).count() == 0
 
 
-def test_bootstrap_equals_scoring_the_repeated_rows(spark):
+def test_bootstrap_equals_scoring_the_repeated_rows(spark, path):
     r = random.Random(5)
     rows = [(p, r.randint(0, 1), r.randint(0, 4) / 4, f"{p}_{i % 2}") for p in range(9) for i in range(6)]
     d = spark.createDataFrame(rows, "pid long, label int, score double, event string")
@@ -115,7 +121,7 @@ def test_usability_notes(spark):
                    "d": (False, "gave values above the maximum", None), "e": (False, "did not finish", None)}
 
 
-def test_correlations_on_complete_pairs(spark):
+def test_correlations_on_complete_pairs(spark, path):
     r = np.random.default_rng(2)
     x, y, z = r.integers(0, 5, 80).astype(float), r.normal(size=80), r.normal(size=80)
     df = spark.createDataFrame([(float(a), None if i % 4 == 0 else float(b), float(c)) for i, (a, b, c) in enumerate(zip(x, y, z))], "x double, y double, z double")
