@@ -69,8 +69,8 @@ def h05(spark, sf):
     e = S.table(spark, sf, "events").withColumn("pid", F.col("user_id"))
     cells = daystore.minute_cells(e.withColumn("hr", F.col("value")), "pid", "ts", ["hr"])
     d = S.scored_days(spark, sf).select("pid", "date", "label")
-    x, names = PF.day_window_vector(cells, d, 3, 360, ["hr"])
-    rows = materialise(x.join(d, ["pid", "date"]).withColumn("features", array_to_vector(F.array(*names))).select("pid", "date", "label", "features"), "windows")
+    x = PF.day_window_vector(cells, d, 3, 360, ["hr"])
+    rows = materialise(x.join(d, ["pid", "date"]).select("pid", "date", "label", array_to_vector("x").alias("features")), "windows")
     train = models.class_weights(rows.where("pid % 4 <> 0"), "label")
     fitted = models.fit_classifier(train, "grad_boost")
     return metrics.detection_scores(models.score_column(fitted.transform(models.class_weights(rows.where("pid % 4 = 0"), "label"))), [])

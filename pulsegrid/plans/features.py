@@ -74,26 +74,28 @@ def test_rows(feats: DataFrame, names: Sequence[str], period: int, horizon: int,
     return h.withColumns({n: F.coalesce(F.col(n).cast("double"), F.lit(BLANK)) for n in every}), every
 
 
-def day_window_vector(minutes: DataFrame, days: DataFrame, width: int, block: int, signals: Sequence[str], pid: str = "pid", date: str = "date") -> tuple[DataFrame, list[str]]:
-    """Per sample day the `width` days before and with it, as means of `block`-minute blocks and presence flags.
+def day_window_vector(minutes: DataFrame, days: DataFrame, width: int, block: int, signals: Sequence[str], pid: str = "pid", date: str = "date") -> DataFrame:
+    """Per sample day one array `x`: block means of the `width` days ending with it, then their presence flags.
 
-    Cells are merged to blocks before the window join, so what travels is
-    width * 1440 / block values per sample, not minutes.
+    Minutes are merged to `block`-minute means before the window join, and a
+    day travels as one array, so the plan stays small at any block size (1 is
+    every raw minute). A collected group is one day's cells or `width` days.
     """
     blocks = 1440 // block
+    n = blocks * len(signals)
     place = F.floor(F.col("minute") / block).cast("int")
-    per = minutes.groupBy(pid, date, place.alias("_b")).agg(*[F.avg(s).alias(s) for s in signals])
-    wide = per.groupBy(pid, date).pivot("_b", list(range(blocks))).agg(*[F.first(s).alias(s) for s in signals])
-    cells = [c for c in wide.columns if c not in (pid, date)]
+    cells = minutes.groupBy(pid, date, place.alias("_b")).agg(*[F.avg(s).alias(s) for s in signals])
+    pairs = cells.select(pid, date, F.explode(F.array(*[
+        F.struct((F.lit(i * blocks) + F.col("_b")).alias("at"), F.col(s).alias("v")) for i, s in enumerate(signals)])).alias("_c")).where("_c.v is not null")
+    per_day = pairs.groupBy(pid, date).agg(F.map_from_entries(F.collect_list("_c")).alias("_m"))
     back = days.select(pid, F.col(date).alias("sample"), F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("_k"))
-    j = back.withColumn(date, F.date_sub("sample", F.col("_k"))).join(wide, [pid, date])
-    # every (sample, day back) row fills its own columns: one merge instead of a pivot per cell
-    aggs, names = [], []
-    for d in range(width):
-        for c in cells:
-            name = f"d{d}_{c}"
-            aggs.append(F.max(F.when(F.col("_k") == d, F.col(c))).alias(name))
-            names.append(name)
-    w = j.groupBy(pid, "sample").agg(*aggs)
-    keep = [*[F.coalesce(F.col(n), F.lit(BLANK)).alias(n) for n in names], *[F.col(n).isNotNull().cast("double").alias(f"{n}_seen") for n in names]]
-    return w.select(pid, F.col("sample").alias(date), *keep), [*names, *[f"{n}_seen" for n in names]]
+    j = back.withColumn(date, F.date_sub("sample", F.col("_k"))).join(per_day, [pid, date])
+    w = j.groupBy(pid, "sample").agg(F.map_from_entries(F.collect_list(F.struct((F.lit(width - 1) - F.col("_k")).alias("d"), F.col("_m").alias("m")))).alias("_w"))
+    flat = F.sequence(F.lit(0), F.lit(width * n - 1))
+
+    def value(i):
+        return F.try_element_at(F.try_element_at(F.col("_w"), F.floor(i / n).cast("int")), F.pmod(i, F.lit(n)).cast("int"))
+
+    w = w.select(pid, F.col("sample").alias(date), F.transform(flat, value).alias("_v"))
+    return w.select(pid, date, F.concat(
+        F.transform("_v", lambda v: F.coalesce(v, F.lit(BLANK))), F.transform("_v", lambda v: v.isNotNull().cast("double"))).alias("x"))

@@ -7,8 +7,8 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    s = session.build("local[4]", "tests", **{
-        "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "4g", "spark.ui.showConsoleProgress": "false"})
+    s = session.build("local[8]", "tests", **{
+        "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "4g", "spark.ui.showConsoleProgress": "false"})
     s.sparkContext.setLogLevel("ERROR")
     if s.conf.get("spark.checkpoint.dir", None) is None:
         s.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))

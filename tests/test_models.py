@@ -80,3 +80,17 @@ def test_per_series_refuses_a_series_that_is_too_long(spark):
     df = spark.range(20).select((F.col("id") * 0).alias("k"), "id")
     with pytest.raises(ValueError):
         models.per_series(df, ["k"], lambda p: p, "k long, id long", longest=10)
+
+
+@pytest.mark.parametrize("block", [1, 720])
+def test_day_window_vector(spark, block):
+    from pulsegrid.plans.features import BLANK, day_window_vector
+
+    m = spark.createDataFrame([("p", "2026-01-01", 3, 5.0, None), ("p", "2026-01-01", 730, 7.0, 1.0), ("p", "2026-01-03", 1439, 9.0, None)],
+                              "pid string, d string, minute int, hr double, hrv double").withColumn("date", F.to_date("d"))
+    days = spark.createDataFrame([("p", "2026-01-03")], "pid string, d string").select("pid", F.to_date("d").alias("date"))
+    x = day_window_vector(m, days, 3, block, ["hr", "hrv"]).first().x
+    b = 1440 // block
+    want = [BLANK] * (3 * 2 * b)
+    want[3 // block], want[730 // block], want[b + 730 // block], want[2 * 2 * b + 1439 // block] = 5.0, 7.0, 1.0, 9.0
+    assert x[: len(want)] == want and x[len(want):] == [float(v != BLANK) for v in want]
