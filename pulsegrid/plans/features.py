@@ -25,8 +25,8 @@ def hidden(labelled: DataFrame, masked: DataFrame, value: str = "hrv") -> DataFr
     return t.withColumn("scored", scored).withColumn("visible", F.when(~scored, F.col(value))).drop("_m")
 
 
-def fill_features(rows: DataFrame, k: int, period: int, pid: str = "pid", drop: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:
-    """z-scored log value of the visible readings, its neighbours, nearest readings and daily phase.
+def fill_features(rows: DataFrame, k: int, period: int, pid: str = "pid", drop: Sequence[str] = (), covs: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:
+    """z-scored log value of the visible readings, its neighbours, nearest readings, daily phase and other signals.
 
     `rows` must be a stored table. Returns the table and the feature names.
     """
@@ -36,17 +36,17 @@ def fill_features(rows: DataFrame, k: int, period: int, pid: str = "pid", drop:
     lagged = fills.lags_leads(near, ["segment"], k, value="z")
     s, c = phase(F.pmod(F.col("slot"), F.lit(period)), period)
     out = lagged.withColumns({"sin": s, "cos": c})
-    names = [f"{d}{i}" for d in ("lag", "lead") for i in range(1, k + 1)] + ["prev", "dprev", "next", "dnext", "sin", "cos"]
+    names = [f"{d}{i}" for d in ("lag", "lead") for i in range(1, k + 1)] + ["prev", "dprev", "next", "dnext", "sin", "cos", *covs]
     names = [n for n in names if n not in drop]
     return out.withColumns({n: F.coalesce(F.col(n).cast("double"), F.lit(BLANK)) for n in names}), names
 
 
-def forecast_features(rows: DataFrame, k: int, period: int, value: str = "z", series: str = "segment") -> tuple[DataFrame, list[str]]:
-    """What is known at each origin: the last k values, the last cycle's mean and sd, the phase now."""
+def forecast_features(rows: DataFrame, k: int, period: int, value: str = "z_filled", series: str = "segment", covs: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:
+    """What is known at each origin: the last k values, the last cycle's mean and sd, the phase now, other signals now."""
     lagged = fills.lags_leads(rows, [series], k - 1, value=value) if k > 1 else rows
     t = fills.trailing_stats(lagged, [series], period, value=value)
     s, c = phase(F.pmod(F.col("slot"), F.lit(period)), period)
-    names = ["lag0", *[f"lag{i}" for i in range(1, k)], "mean_cycle", "sd_cycle", "sin_now", "cos_now"]
+    names = ["lag0", *[f"lag{i}" for i in range(1, k)], "mean_cycle", "sd_cycle", "sin_now", "cos_now", *covs]
     return t.withColumns({"lag0": F.col(value), "sin_now": s, "cos_now": c}), names
 
 
@@ -58,7 +58,8 @@ def at_horizon(origins: DataFrame, period: int, slot: str = "origin") -> tuple[D
 def training_rows(train: DataFrame, feats: DataFrame, names: Sequence[str], horizons: int, pairs: int, period: int, seed, series: str = "segment",
                   target: str = "z") -> tuple[DataFrame, list[str]]:
     """Sampled (origin, h) pairs with the origin's features and the target's phase."""
-    p = sampling.training_pairs(train, series, "slot", horizons, pairs, seed, target=target)
+    history = sum(n.startswith("lag") for n in names) - 1
+    p = sampling.training_pairs(train, series, "slot", horizons, pairs, seed, min_history=history, target=target)
     p, extra = at_horizon(p, period)
     j = p.join(feats.select(series, F.col("slot").alias("origin"), *names), [series, "origin"])
     every = [*names, *extra]

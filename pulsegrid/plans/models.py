@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 
 from pulsegrid.functions.scaling import from_z, log_stats, to_z
 from pulsegrid.operators import features as feat
-from pulsegrid.operators import ledger, metrics
+from pulsegrid.operators import fills, ledger, metrics
 from pulsegrid.operators.core import draw_key, exact_quantiles
 from pulsegrid.plans import features as PF
 from pulsegrid.sources.stage import materialise
@@ -44,9 +44,9 @@ class Fitted:
     names: list[str]
 
 
-def fit_filler(rows: DataFrame, k: int, period: int, drop: Sequence[str] = (), **settings) -> Fitted:
-    """Tree gap-filler on the visible readings of all series together."""
-    table, names = PF.fill_features(rows, k, period, drop=drop)
+def fit_filler(rows: DataFrame, k: int, period: int, drop: Sequence[str] = (), covs: Sequence[str] = (), **settings) -> Fitted:
+    """Tree gap-filler on the visible readings of all series together; `covs` are other signals of the same slot."""
+    table, names = PF.fill_features(rows, k, period, drop=drop, covs=covs)
     table = materialise(table, "fill-features")
     return Fitted(gbt(names, "z", **settings).fit(table.where("z is not null")), table, names)
 
@@ -57,11 +57,17 @@ def predict_fill(f: Fitted) -> DataFrame:
     return p.withColumn("filled", F.coalesce("visible", from_z(F.col("z_pred"))))
 
 
-def fit_forecaster(train: DataFrame, k: int, period: int, horizons: int, pairs: int, seed, **settings):
-    """Direct multi-step forecaster: one model for all steps, the step is a feature."""
+def fit_forecaster(train: DataFrame, k: int, period: int, horizons: int, pairs: int, seed, covs: Sequence[str] = (), **settings):
+    """Direct multi-step forecaster: one model for all steps, the step is a feature.
+
+    History gaps are filled on a straight line for the features; targets are
+    real readings only.
+    """
     each, every = log_stats(train, "pid", "hrv")
-    z = materialise(to_z(train, each, every, "pid", "hrv"), "z")
-    feats, names = PF.forecast_features(z, k, period)
+    filled = fills.straight_line(fills.nearest(train, ["segment"]))
+    z = to_z(filled, each, every, "pid", "hrv")
+    z = materialise(z.withColumn("z_filled", (F.ln("filled") - F.col("_m")) / F.col("_s")), "z")
+    feats, names = PF.forecast_features(z, k, period, covs=covs)
     feats = materialise(feats, "forecast-features")
     rows, cols = PF.training_rows(feats, feats, names, horizons, pairs, period, seed)
     rows = materialise(rows, "pairs")

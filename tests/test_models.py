@@ -94,3 +94,12 @@ def test_day_window_vector(spark, block):
     want = [BLANK] * (3 * 2 * b)
     want[3 // block], want[730 // block], want[b + 730 // block], want[2 * 2 * b + 1439 // block] = 5.0, 7.0, 1.0, 9.0
     assert x[: len(want)] == want and x[len(want):] == [float(v != BLANK) for v in want]
+
+
+def test_tree_forecaster_follows_the_rhythm(spark):
+    wave = lambda i: float(60 + 20 * np.sin(2 * np.pi * i / 8))
+    rows = [("s1", "p", i, None if i % 9 == 4 else wave(i)) for i in range(240)]
+    train = spark.createDataFrame(rows, "segment string, pid string, slot long, hrv double")
+    model, feats, names = models.fit_forecaster(train, 3, 8, 4, 200, 1)
+    out = {r.h: r.pred for r in models.predict_forecast(model, feats, names, 8, 4).collect()}
+    assert sorted(out) == [1, 2, 3, 4] and all(abs(out[h] - wave(239 + h)) < 8 for h in out)
