@@ -300,10 +300,25 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mappi
     """
     rows = df.where(F.col(value).isNotNull())
     if fits_one_task(rows, keys):
-        names = list(probs)
-        q = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.percentile(value, [float(probs[k]) for k in names]).alias("_q"))
-        return q.where("n > 0").select(*keys, "n", *[F.col("_q")[i].alias(k) for i, k in enumerate(names)])
-    table = by_value(df, keys, value, bins=bins)
+        return _quantiles_gathered(rows, keys, value, probs)
+    if not keys:
+        return _quantiles_by_counts(rows, keys, value, probs, bins)
+    # only the long keys (few, as each holds many rows) go the longer way
+    long = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > ROWS_PER_TASK).select(*keys)
+    short = _quantiles_gathered(rows.join(long, list(keys), "left_anti"), keys, value, probs)
+    return short.unionByName(_quantiles_by_counts(rows.join(long, list(keys), "left_semi"), keys, value, probs, bins))
+
+
+def _quantiles_gathered(rows: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
+    names = list(probs)
+    q = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.percentile(value, [float(probs[k]) for k in names]).alias("_q"))
+    return q.where("n > 0").select(*keys, "n", *[F.col("_q")[i].alias(k) for i, k in enumerate(names)])
+
+
+def _quantiles_by_counts(rows: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], bins: int | None) -> DataFrame:
+    distinct = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    bounds = range_bounds(rows, value, bins or pieces_wanted(rows))
+    table = sweep(distinct, keys, value, piece=bucket_by(value, bounds), sums={"upto": F.col("n")}, whole=False)
     aggs = []
     for name, p in probs.items():
         at = (F.col("upto_total") - 1) * F.lit(float(p))

@@ -115,3 +115,12 @@ def test_bucket_by_counts_the_bounds_below(spark):
     df = spark.createDataFrame([(float(x),) for x in (0, 1, 2, 2.5, 2.6, 3, 9, 10)], "x double")
     for r in df.select("x", core.bucket_by("x", bounds).alias("b")).collect():
         assert r.b == sum(b < r.x for b in bounds)
+
+
+def test_long_and_short_keys_side_by_side(spark, monkeypatch):
+    monkeypatch.setattr(core, "ROWS_PER_TASK", 50)
+    r = np.random.default_rng(3)
+    data = {1: r.normal(size=300), 2: r.normal(size=20), 3: np.round(r.normal(size=51), 1)}
+    df = spark.createDataFrame([(k, float(x)) for k, xs in data.items() for x in xs], "k long, x double")
+    out = {o.k: (o.n, o.m) for o in core.exact_quantiles(df, ["k"], "x", {"m": 0.5}, bins=8).collect()}
+    assert out == {k: (len(xs), pytest.approx(np.median(xs))) for k, xs in data.items()}
