@@ -23,11 +23,12 @@ INNER = bytes(range(0x80, 0xC0))
 
 @dataclass(frozen=True)
 class Limits:
-    """Shares above which a text is refused. The repetition limits published for web text."""
+    """Shares above which a text is refused. Twice the limits published for long web pages, by n-gram length, so that a
+    text of sixty words stays if it says one line twice."""
 
-    duplicate_ngrams: dict[int, float] = field(default_factory=lambda: {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10})
-    duplicate_lines: float = 0.30
-    duplicate_line_chars: float = 0.20
+    duplicate_ngrams: dict[int, float] = field(default_factory=lambda: {5: 0.30, 6: 0.28, 7: 0.26, 8: 0.24, 9: 0.22, 10: 0.20})
+    duplicate_lines: float = 0.50
+    duplicate_line_chars: float = 0.30
     min_words: int = 50
     max_repeat_percent: int = 50
 
