@@ -15,10 +15,11 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import map_arrow, mix, parts_for, table, utf8, window_hashes, word_hashes
+from pulsegrid.llm.common import BATCH_BYTES, map_arrow, mix, parts_for, table, utf8, window_hashes, word_hashes
 
 WINDOW = 13
 SEED_WORDS = 5
@@ -29,7 +30,7 @@ CHARS_PER_PART = 16_000_000
 NO_ID = np.iinfo(np.int64).max
 """Stands for a null id: later than every document."""
 
-ASKS = "part int, doc_id long, crc long, starts binary, anchors binary, windows binary"
+ASKS = "part int, known boolean, runs binary, anchors binary, windows binary"
 SPANS = "doc_id long, crc long, spans binary"
 
 
@@ -59,18 +60,36 @@ def first_document(anchor: np.ndarray, window: np.ndarray, doc: np.ndarray) -> n
     return out
 
 
-def packed(starts: np.ndarray) -> bytes:
-    """Window starts as (start, count) runs."""
-    cut = np.flatnonzero(np.diff(starts) != 1) + 1
-    first = np.concatenate([[0], cut])
-    return np.stack([starts[first], np.diff(np.concatenate([first, [len(starts)]]))]).T.astype("<i8").tobytes()
+def run_firsts(*columns: np.ndarray) -> np.ndarray:
+    """Places where a new run begins: some column changes."""
+    new = np.ones(len(columns[0]), dtype=bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return np.flatnonzero(new)
+
+
+def bundle(ids: np.ndarray, crcs: np.ndarray, row: np.ndarray, start: np.ndarray, count: np.ndarray) -> bytes:
+    """Runs of windows (row, start, count) and the documents they lie in, compressed."""
+    rows, place = np.unique(row, return_inverse=True)
+    parts = (ids[rows].astype("<i8"), crcs[rows].astype("<i8"), np.diff(place, prepend=0).astype("<i4"), start.astype("<i4"), count.astype("<i4"))
+    head = np.array([len(rows), len(row)], dtype="<i8").tobytes()
+    return zstandard.compress(head + b"".join(p.tobytes() for p in parts), 1)
+
+
+def unbundle(data: bytes) -> tuple[np.ndarray, ...]:
+    """(id, crc, start, count) of every run."""
+    raw = zstandard.decompress(data)
+    docs, runs = np.frombuffer(raw, dtype="<i8", count=2).tolist()
+    ids, crcs = np.frombuffer(raw, dtype="<i8", offset=16, count=2 * docs).reshape(2, docs)
+    step, start, count = np.frombuffer(raw, dtype="<i4", offset=16 + 16 * docs, count=3 * runs).reshape(3, runs)
+    place = np.cumsum(step)
+    return ids[place], crcs[place], start, count
 
 
 def _asks(batch: pa.RecordBatch, parts: int, window: int, k: int) -> pa.RecordBatch | None:
-    """What one slice of documents knows: matches inside the slice (no part), and its first documents' windows, by part."""
-    ids = [NO_ID if i is None else i for i in batch.column("doc_id").to_pylist()]
+    """What one slice of documents knows: its matches inside the slice, and its first documents' windows, one row for each part."""
+    ids = np.array([NO_ID if i is None else i for i in batch.column("doc_id").to_pylist()], dtype=np.int64)
     texts = batch.column("_text").to_pylist()
-    crcs = [zlib.crc32(t) for t in texts]
+    crcs = np.array([zlib.crc32(t) for t in texts], dtype=np.int64)
     pieces = [seeds_and_windows(t.split(), window, k) for t in texts]
     sizes = np.array([len(w) for _, w in pieces])
     if not sizes.sum():
@@ -78,51 +97,52 @@ def _asks(batch: pa.RecordBatch, parts: int, window: int, k: int) -> pa.RecordBa
     anchor, full = (np.concatenate([p[i] for p in pieces]) for i in (0, 1))
     row = np.repeat(np.arange(len(ids)), sizes)
     start = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    doc = np.array(ids, dtype=np.int64)[row]
+    doc = ids[row]
     early = first_document(anchor, full, doc) < doc
-    out: dict[str, list] = {c.split()[0]: [] for c in ASKS.split(", ")}
-
-    def add(part: int, r: int, at: np.ndarray, bytes_: tuple[bytes, bytes]) -> None:
-        for name, v in zip(out, (part, ids[r], crcs[r], packed(start[at]) if part < 0 else start[at].astype("<i4").tobytes(), *bytes_), strict=True):
-            out[name].append(v)
-
-    for part_of, chosen in ((np.full(len(row), -1), np.flatnonzero(early)), ((anchor % np.uint64(parts)).astype(np.int64), np.flatnonzero(~early))):
-        if not len(chosen):
-            continue
-        key = part_of[chosen] * len(ids) + row[chosen]
-        chosen = chosen[np.argsort(key, kind="stable")]
-        key = part_of[chosen] * len(ids) + row[chosen]
-        for at in np.split(chosen, np.flatnonzero(np.diff(key)) + 1):
-            part, r = int(part_of[at[0]]), int(row[at[0]])
-            if part < 0:
-                add(part, r, at, (b"", b""))
-                continue
+    out = []
+    known = np.flatnonzero(early)
+    if len(known):
+        first = run_firsts(row[known], start[known] - np.arange(len(known)))
+        count = np.diff(first, append=len(known))
+        out.append((int(ids[row[known[0]]] % parts), True, bundle(ids, crcs, row[known[first]], start[known[first]], count), b"", b""))
+    asked = np.flatnonzero(~early)
+    part = (anchor[asked] % np.uint64(parts)).astype(np.int64)
+    asked = asked[np.argsort(part, kind="stable")]
+    part = np.sort(part, kind="stable")
+    for at in np.split(asked, np.flatnonzero(np.diff(part)) + 1):
+        if len(at):
             # neighbouring windows mostly have one anchor: it is written once for each run of them
-            a = anchor[at]
-            cut = np.concatenate([[0], np.flatnonzero(a[1:] != a[:-1]) + 1])
-            counts = np.diff(np.concatenate([cut, [len(a)]]))
-            add(part, r, at, (a[cut].tobytes() + counts.astype("<i4").tobytes(), full[at].tobytes()))
-    return pa.RecordBatch.from_pydict(out, schema=pa.schema([
-        ("part", pa.int32()), ("doc_id", pa.int64()), ("crc", pa.int64()), ("starts", pa.binary()), ("anchors", pa.binary()), ("windows", pa.binary())]))
-
-
-def _answers(rows: pd.DataFrame) -> pd.DataFrame:
-    """One part: which of the asked windows an earlier document has."""
-    anchors = []
-    for b in rows["anchors"]:
-        n = len(b) // 12
-        anchors.append(np.repeat(np.frombuffer(b, dtype="<u8", count=n), np.frombuffer(b, dtype="<i4", offset=8 * n)))
-    full = np.frombuffer(b"".join(rows["windows"]), dtype="<u8")
-    sizes = rows["windows"].str.len().to_numpy() // 8
-    start = np.frombuffer(b"".join(rows["starts"]), dtype="<i4")
-    row = np.repeat(np.arange(len(rows)), sizes)
-    doc = rows["doc_id"].to_numpy()[row]
-    found = np.flatnonzero(first_document(np.concatenate(anchors), full, doc) < doc)
-    if not len(found):
-        return pd.DataFrame({"doc_id": pd.Series(dtype="int64"), "crc": pd.Series(dtype="int64"), "spans": pd.Series(dtype=object)})
-    groups = np.split(found, np.flatnonzero(np.diff(row[found])) + 1)
-    at = [row[g[0]] for g in groups]
-    return pd.DataFrame({"doc_id": rows["doc_id"].to_numpy()[at], "crc": rows["crc"].to_numpy()[at], "spans": [packed(start[g]) for g in groups]})
+            first = run_firsts(row[at], start[at] - np.arange(len(at)), anchor[at])
+            count = np.diff(first, append=len(at))
+            out.append((int(anchor[at[0]] % np.uint64(parts)), False, bundle(ids, crcs, row[at[first]], start[at[first]], count), anchor[at[first]].tobytes(), full[at].tobytes()))
+    kinds = (pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[c.split()[0] for c in ASKS.split(", ")])
+
+
+def spans_of(ids: np.ndarray, crcs: np.ndarray, start: np.ndarray, count: np.ndarray) -> pd.DataFrame:
+    """One row per document of runs that lie together."""
+    if not len(ids):
+        return pd.DataFrame({"doc_id": np.empty(0, np.int64), "crc": np.empty(0, np.int64), "spans": np.empty(0, object)})
+    first = run_firsts(ids, crcs)
+    pairs = np.stack([start, count]).T.astype("<i8")
+    return pd.DataFrame({"doc_id": ids[first], "crc": crcs[first], "spans": [x.tobytes() for x in np.split(pairs, first[1:])]})
+
+
+def _answers(group: pd.DataFrame) -> pd.DataFrame:
+    """One part: which of the asked windows an earlier document has. Matches known before ride along."""
+    out = [spans_of(*unbundle(b)) for b in group.loc[group["known"], "runs"]]
+    rows = group[~group["known"]]
+    if len(rows):
+        ids, crcs, start, count = (np.concatenate(c) for c in zip(*map(unbundle, rows["runs"]), strict=True))
+        anchor = np.repeat(np.frombuffer(b"".join(rows["anchors"]), dtype="<u8"), count)
+        run = np.repeat(np.arange(len(ids)), count)
+        doc = ids[run]
+        found = np.flatnonzero(first_document(anchor, np.frombuffer(b"".join(rows["windows"]), dtype="<u8"), doc) < doc)
+        at = start[run[found]] + (found - (np.cumsum(count) - count)[run[found]])
+        first = run_firsts(run[found], at - np.arange(len(found))) if len(found) else found
+        own = run[found[first]]
+        out.append(spans_of(ids[own], crcs[own], at[first], np.diff(first, append=len(found))))
+    return pd.concat(out)
 
 
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, k: int = SEED_WORDS) -> DataFrame:
@@ -132,16 +152,7 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window:
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), utf8(text).alias("_text"))
     parts = parts_for(rows, F.length("_text"), CHARS_PER_PART)
-    asks = map_arrow(rows, lambda b: _asks(b, parts, window, k), ASKS)
-    # matches found inside a slice ride along to any part, so the texts are read once
-    part = F.when(F.col("part") >= 0, F.col("part")).otherwise(F.pmod(F.xxhash64("doc_id", "crc"), F.lit(parts)).cast("int"))
-
-    def answer(group: pd.DataFrame) -> pd.DataFrame:
-        done = group["part"] < 0
-        known = group.loc[done, ["doc_id", "crc", "starts"]].rename(columns={"starts": "spans"})
-        return pd.concat([known, _answers(group[~done])]) if not done.all() else known
-
-    return asks.groupBy(part.alias("_part")).applyInPandas(answer, SPANS)
+    return map_arrow(rows, lambda b: _asks(b, parts, window, k), ASKS).groupBy("part").applyInPandas(_answers, SPANS)
 
 
 def remaining(text: bytes, spans: list[bytes], window: int) -> tuple[list[bytes], int]:
@@ -167,23 +178,37 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     crc = F.crc32(utf8(text)).alias("_crc")
     spans = repeats(docs, doc_id, text, window, k).groupBy(F.col("doc_id").alias("_id"), F.col("crc").alias("_crc")).agg(F.collect_list("spans").alias("_spans"))
     key = F.coalesce(F.col(doc_id).cast("long"), F.lit(int(NO_ID)).cast("long")).alias("_id")
-    joined = docs.select("*", key, crc).join(spans, ["_id", "_crc"], "left")
+    joined = squeezed(docs.select("*", key, crc), text).join(spans, ["_id", "_crc"], "left")
 
-    names = list(docs.columns)
+    names = [c for c in docs.columns if c != text]
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts, kept, all_, gone = batch.column("_bytes").to_pylist(), [], [], []
+        texts = [None if t is None else zstandard.decompress(t) for t in batch.column("_zip").to_pylist()]
+        kept, all_, gone = [], [], []
         for t, s in zip(texts, batch.column("_spans").to_pylist(), strict=True):
             words, n = remaining(t or b"", s or [], window)
             kept.append(None if t is None else b" ".join(words).decode("utf-8", "replace"))
             all_.append(n)
             gone.append(n - len(words))
-        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(len(names))), pa.array(kept, pa.string()), pa.array(all_, pa.int64()), pa.array(gone, pa.int64())],
-                                          names=[*names, "_kept_text", "_n_words", "_n_removed"])
+        whole = pa.array([None if t is None else t.decode("utf-8", "replace") for t in texts], pa.string())
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), whole, pa.array(kept, pa.string()), pa.array(all_, pa.int64()), pa.array(gone, pa.int64())],
+                                          names=[*names, text, "_kept_text", "_n_words", "_n_removed"])
+
+    schema = docs.select(*names, F.col(text).cast("string").alias(text), F.lit("").alias("_kept_text"), F.lit(0).cast("long").alias("_n_words"), F.lit(0).cast("long").alias("_n_removed")).schema
+    rows = joined.select(*names, "_zip", "_spans")
+    return map_arrow(rows, cut, schema, text="_zip", limit=BATCH_BYTES // 4).select(*docs.columns, "_kept_text", "_n_words", "_n_removed")
+
+
+def squeezed(docs: DataFrame, text: str) -> DataFrame:
+    """The text column as compressed bytes `_zip`, for a shuffle that carries whole texts."""
+    names = [c for c in docs.columns if c != text]
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        zips = [None if t is None else zstandard.compress(t, 1) for t in batch.column("_bytes").to_pylist()]
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(zips, pa.binary())], names=[*names, "_zip"])
 
-    schema = docs.select("*", F.lit("").alias("_kept_text"), F.lit(0).cast("long").alias("_n_words"), F.lit(0).cast("long").alias("_n_removed")).schema
-    rows = joined.select(*docs.columns, F.col(text).cast("string").cast("binary").alias("_bytes"), "_spans")
-    return map_arrow(rows, cut, schema, text="_bytes")
+    schema = docs.select(*names, F.lit(b"").alias("_zip")).schema
+    return map_arrow(docs.select(*names, F.col(text).cast("string").cast("binary").alias("_bytes")), run, schema, text="_bytes")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
