@@ -11,15 +11,17 @@ seen, and the tasks' firsts meet in the anchor's part. Matched windows that touc
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import BATCH_BYTES, map_arrow, mix, parts_for, table, utf8, window_hashes, word_hashes
+from pulsegrid.llm.common import BATCH_BYTES, map_arrow, mix, parts_for, slices, table, utf8, window_hashes, word_hashes
 
 WINDOW = 13
 SEED_WORDS = 5
@@ -30,7 +32,8 @@ CHARS_PER_PART = 16_000_000
 NO_ID = np.iinfo(np.int64).max
 """Stands for a null id: later than every document."""
 
-ASKS = "part int, known boolean, runs binary, anchors binary, windows binary"
+ASKS = "part int, slice long, known boolean, runs binary, anchors binary, windows binary"
+FOUND = "slice long, runs binary"
 SPANS = "doc_id long, crc long, spans binary"
 
 
@@ -67,11 +70,13 @@ def run_firsts(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def bundle(ids: np.ndarray, crcs: np.ndarray, row: np.ndarray, start: np.ndarray, count: np.ndarray) -> bytes:
-    """Runs of windows (row, start, count) and the documents they lie in, compressed."""
-    rows, place = np.unique(row, return_inverse=True)
-    parts = (ids[rows].astype("<i8"), crcs[rows].astype("<i8"), np.diff(place, prepend=0).astype("<i4"), start.astype("<i4"), count.astype("<i4"))
-    head = np.array([len(rows), len(row)], dtype="<i8").tobytes()
+def bundle(ids: np.ndarray, crcs: np.ndarray, start: np.ndarray, count: np.ndarray) -> bytes:
+    """Runs of windows (id and crc of their document, start, count), compressed. Runs of one document lie together."""
+    docs = run_firsts(ids, crcs)
+    place = np.zeros(len(ids), dtype="<i4")
+    place[docs[1:]] = 1
+    parts = (ids[docs].astype("<i8"), crcs[docs].astype("<i8"), place, start.astype("<i4"), count.astype("<i4"))
+    head = np.array([len(docs), len(ids)], dtype="<i8").tobytes()
     return zstandard.compress(head + b"".join(p.tobytes() for p in parts), 1)
 
 
@@ -85,7 +90,7 @@ def unbundle(data: bytes) -> tuple[np.ndarray, ...]:
     return ids[place], crcs[place], start, count
 
 
-def _asks(batch: pa.RecordBatch, parts: int, window: int, k: int) -> pa.RecordBatch | None:
+def _asks(batch: pa.RecordBatch, number: int, parts: int, window: int, k: int) -> pa.RecordBatch | None:
     """What one slice of documents knows: its matches inside the slice, and its first documents' windows, one row for each part."""
     ids = np.array([NO_ID if i is None else i for i in batch.column("doc_id").to_pylist()], dtype=np.int64)
     texts = batch.column("_text").to_pylist()
@@ -104,7 +109,8 @@ def _asks(batch: pa.RecordBatch, parts: int, window: int, k: int) -> pa.RecordBa
     if len(known):
         first = run_firsts(row[known], start[known] - np.arange(len(known)))
         count = np.diff(first, append=len(known))
-        out.append((int(ids[row[known[0]]] % parts), True, bundle(ids, crcs, row[known[first]], start[known[first]], count), b"", b""))
+        own = row[known[first]]
+        out.append((number % parts, number, True, bundle(ids[own], crcs[own], start[known[first]], count), b"", b""))
     asked = np.flatnonzero(~early)
     part = (anchor[asked] % np.uint64(parts)).astype(np.int64)
     asked = asked[np.argsort(part, kind="stable")]
@@ -114,35 +120,43 @@ def _asks(batch: pa.RecordBatch, parts: int, window: int, k: int) -> pa.RecordBa
             # neighbouring windows mostly have one anchor: it is written once for each run of them
             first = run_firsts(row[at], start[at] - np.arange(len(at)), anchor[at])
             count = np.diff(first, append=len(at))
-            out.append((int(anchor[at[0]] % np.uint64(parts)), False, bundle(ids, crcs, row[at[first]], start[at[first]], count), anchor[at[first]].tobytes(), full[at].tobytes()))
-    kinds = (pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary())
+            own = row[at[first]]
+            out.append((int(anchor[at[0]] % np.uint64(parts)), number, False, bundle(ids[own], crcs[own], start[at[first]], count), anchor[at[first]].tobytes(), full[at].tobytes()))
+    kinds = (pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[c.split()[0] for c in ASKS.split(", ")])
 
 
-def spans_of(ids: np.ndarray, crcs: np.ndarray, start: np.ndarray, count: np.ndarray) -> pd.DataFrame:
-    """One row per document of runs that lie together."""
-    if not len(ids):
-        return pd.DataFrame({"doc_id": np.empty(0, np.int64), "crc": np.empty(0, np.int64), "spans": np.empty(0, object)})
-    first = run_firsts(ids, crcs)
-    pairs = np.stack([start, count]).T.astype("<i8")
-    return pd.DataFrame({"doc_id": ids[first], "crc": crcs[first], "spans": [x.tobytes() for x in np.split(pairs, first[1:])]})
-
-
 def _answers(group: pd.DataFrame) -> pd.DataFrame:
-    """One part: which of the asked windows an earlier document has. Matches known before ride along."""
-    out = [spans_of(*unbundle(b)) for b in group.loc[group["known"], "runs"]]
+    """One part: which of the windows that each slice asks for an earlier document has. Matches known before ride along."""
+    out = group.loc[group["known"], ["slice", "runs"]]
     rows = group[~group["known"]]
-    if len(rows):
-        ids, crcs, start, count = (np.concatenate(c) for c in zip(*map(unbundle, rows["runs"]), strict=True))
-        anchor = np.repeat(np.frombuffer(b"".join(rows["anchors"]), dtype="<u8"), count)
-        run = np.repeat(np.arange(len(ids)), count)
-        doc = ids[run]
-        found = np.flatnonzero(first_document(anchor, np.frombuffer(b"".join(rows["windows"]), dtype="<u8"), doc) < doc)
-        at = start[run[found]] + (found - (np.cumsum(count) - count)[run[found]])
-        first = run_firsts(run[found], at - np.arange(len(found))) if len(found) else found
-        own = run[found[first]]
-        out.append(spans_of(ids[own], crcs[own], at[first], np.diff(first, append=len(found))))
-    return pd.concat(out)
+    if not len(rows):
+        return out
+    asked = [unbundle(b) for b in rows["runs"]]
+    ids, crcs, start, count = (np.concatenate(c) for c in zip(*asked, strict=True))
+    slice_ = np.repeat(rows["slice"].to_numpy(), [len(a[0]) for a in asked])
+    anchor = np.repeat(np.frombuffer(b"".join(rows["anchors"]), dtype="<u8"), count)
+    run = np.repeat(np.arange(len(ids)), count)
+    doc = ids[run]
+    found = np.flatnonzero(first_document(anchor, np.frombuffer(b"".join(rows["windows"]), dtype="<u8"), doc) < doc)
+    if not len(found):
+        return out
+    at = start[run[found]] + (found - (np.cumsum(count) - count)[run[found]])
+    first = run_firsts(run[found], at - np.arange(len(found)))
+    own, count = run[found[first]], np.diff(first, append=len(found))
+    cuts = [*run_firsts(slice_[own]), len(own)]
+    new = [(int(slice_[own[a]]), bundle(ids[own[a:b]], crcs[own[a:b]], at[first[a:b]], count[a:b])) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return pd.concat([out, pd.DataFrame(new, columns=["slice", "runs"])])
+
+
+def _by_document(group: pd.DataFrame) -> pd.DataFrame:
+    """One slice: the runs that all parts found, one row for each of its documents."""
+    ids, crcs, start, count = (np.concatenate(c) for c in zip(*map(unbundle, group["runs"]), strict=True))
+    order = np.lexsort((start, crcs, ids))
+    ids, crcs = ids[order], crcs[order]
+    first = run_firsts(ids, crcs)
+    pairs = np.stack([start[order], count[order]]).T.astype("<i8")
+    return pd.DataFrame({"doc_id": ids[first], "crc": crcs[first], "spans": [x.tobytes() for x in np.split(pairs, first[1:])]})
 
 
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, k: int = SEED_WORDS) -> DataFrame:
@@ -152,7 +166,17 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window:
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), utf8(text).alias("_text"))
     parts = parts_for(rows, F.length("_text"), CHARS_PER_PART)
-    return map_arrow(rows, lambda b: _asks(b, parts, window, k), ASKS).groupBy("part").applyInPandas(_answers, SPANS)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32  # the same if the task is run again
+        for batch in batches:
+            for part in slices(batch, "_text", BATCH_BYTES):
+                number += 1
+                out = _asks(part, number, parts, window, k)
+                if out is not None:
+                    yield out
+
+    return rows.mapInArrow(ask, ASKS).groupBy("part").applyInPandas(_answers, FOUND).groupBy("slice").applyInPandas(_by_document, SPANS)
 
 
 def remaining(text: bytes, spans: list[bytes], window: int) -> tuple[list[bytes], int]:
