@@ -10,6 +10,7 @@ every task continues it where its rows lie in their queues; nothing is simulated
 from __future__ import annotations
 
 import functools
+import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -28,6 +29,11 @@ KEPT_WORDS = 400_000
 """Words whose ids a Python worker remembers; beyond, it starts afresh. A question of speed and memory only."""
 
 
+def struct_of(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit numbers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class WordTokenizer:
     """Ids of a text by a tokenizer whose words end at white space: each distinct word is encoded once and remembered."""
 
@@ -47,12 +53,12 @@ class WordTokenizer:
         return all(self._letters(w) == self._encode([w])[0] for w in ("hello", "straße", "éàü", "ciónñ", "unbelievably"))
 
     def _encode(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.whole.encode_batch(words, add_special_tokens=False)]
+        return [struct_of(e.ids) for e in self.whole.encode_batch(words, add_special_tokens=False)]
 
     def _letters(self, word: str) -> bytes:
         """Ids of a lower-case word of letters only: neither normalizer nor splitter has anything to do."""
         mapped = word if word.isascii() else "".join(map(self.byte_chars.__getitem__, word.encode()))
-        return np.array([t.id for t in self.whole.model.tokenize(mapped)], dtype="<u4").tobytes()
+        return struct_of([t.id for t in self.whole.model.tokenize(mapped)])
 
     def _word(self, raw: bytes) -> bytes | None:
         """The short way, with one full stop or comma at the end; None if the word is of another kind."""
@@ -111,23 +117,30 @@ def served(totals: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     return before + np.clip(rest - ahead, 0, step)
 
 
-def pieces_of(source: int, start: int, length: int, totals: np.ndarray, capacity: int) -> list[tuple[int, int, int, int]]:
-    """(first token, length, sequence, offset) of the pieces into which the windows cut tokens start .. start + length of a source."""
+def pieces_of(source: np.ndarray, start: np.ndarray, length: np.ndarray, totals: np.ndarray, capacity: int) -> tuple[np.ndarray, ...]:
+    """Into which pieces the windows cut rows (source, place in its queue, length): row, first token, length, sequence, offset.
+
+    The windows of all rows are worked out once: rows of one part of the table lie close in all queues.
+    """
     whole = int(totals.sum())
-    due = whole / max(1, int(totals[source]))
+    last_window = -(-whole // capacity)
+    due = whole / np.maximum(1, totals[source])
     slack = len(totals) // capacity + 2
-    first = max(0, int((start + 0.5) * due) // capacity - slack)
-    last = min(-(-whole // capacity), int((start + length) * due) // capacity + slack + 1)
-    edges = np.minimum(np.arange(first, last + 1, dtype=np.int64) * capacity, whole)
-    counts = served(totals, edges)
-    out = []
-    for i in range(len(edges) - 1):
-        a, b = int(counts[i, source]), int(counts[i + 1, source])
-        lo, hi = max(a, start), min(b, start + length)
-        if lo < hi:
-            ahead = int((counts[i + 1, :source] - counts[i, :source]).sum())
-            out.append((lo - start, hi - lo, first + i, ahead + lo - a))
-    return out
+    first = np.clip(((start + 0.5) * due).astype(np.int64) // capacity - slack, 0, last_window)
+    stop = np.clip(((start + length) * due).astype(np.int64) // capacity + slack + 1, 0, last_window)
+    n = stop - first
+    row = np.repeat(np.arange(len(source)), n)
+    window = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + first[row]
+    known, place = np.unique(np.concatenate([window, window + 1]), return_inverse=True)
+    counts = served(totals, np.minimum(known * capacity, whole))
+    left, right = place[:len(window)], place[len(window):]
+    s = source[row]
+    a, b = counts[left, s], counts[right, s]
+    lo, hi = np.maximum(a, start[row]), np.minimum(b, (start + length)[row])
+    before = np.cumsum(counts, axis=1) - counts
+    ahead = before[right, s] - before[left, s]
+    ok = lo < hi
+    return row[ok], (lo - start[row])[ok], (hi - lo)[ok], window[ok], (ahead + lo - a)[ok]
 
 
 TOKENS = "doc_id long, source string, ids binary, part long, before long"
@@ -179,15 +192,15 @@ def pack(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "ids", 4_000_000):
-                out: list[tuple] = []
-                for d, s, ids, at in zip(*(part.column(c).to_pylist() for c in ("doc_id", "source", "ids", "at")), strict=True):
-                    n = len(ids) // 4
-                    for a, size, seq, offset in pieces_of(names[s], at, n, counts, capacity):
-                        own = ids[4 * a:4 * (a + size)]
-                        out.append((d, a, size, zlib.crc32(own), n, seq, offset, s, own))
-                columns = list(zip(*out, strict=True)) if out else [[]] * 9
-                kinds = [*[pa.int64()] * 7, pa.string(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in PIECES.split(", ")])
+                ids = part.column("ids").to_pylist()
+                size = np.array([len(x) // 4 for x in ids], dtype=np.int64)
+                source_ = np.array([names[s] for s in part.column("source").to_pylist()], dtype=np.int64)
+                row, at, n, sequence, offset = pieces_of(source_, part.column("at").to_numpy(), size, counts, capacity)
+                own = [ids[r][4 * a:4 * b] for r, a, b in zip(row.tolist(), at.tolist(), (at + n).tolist(), strict=True)]
+                row_ = pa.array(row)
+                yield pa.RecordBatch.from_arrays([
+                    part.column("doc_id").take(row_), pa.array(at), pa.array(n), pa.array(list(map(zlib.crc32, own)), pa.int64()), pa.array(size[row]), pa.array(sequence),
+                    pa.array(offset), part.column("source").take(row_), pa.array(own, pa.binary())], names=[c.split()[0] for c in PIECES.split(", ")])
 
     return placed.mapInArrow(run, PIECES)
 
