@@ -142,12 +142,15 @@ def scan(lines: Iterator[bytes]) -> Scan:
     return s
 
 
-def leave(found: list[tuple[int, int]], size: int) -> list[tuple[int, int, int]]:
-    """For each candidate (offset, exit, last): where its chain leaves the split and from which record; exit -1 if it breaks off."""
-    known: dict[int, tuple[int, int]] = {}
+def leave(found: list[tuple[int, int]], size: int, cut: list[int]) -> list[tuple[int, int, int]]:
+    """For each candidate (offset, exit, last): where its chain leaves the split and from which record; exit -1 if it breaks off.
+
+    A chain also leaves at a header that the split's end cuts (`cut`): that candidate goes on by itself.
+    """
+    known: dict[int, tuple[int, int]] = {at: (at, at) for at in cut}
     for at, nxt in sorted(found, reverse=True):
         known[at] = (nxt, at) if nxt >= size else known.get(nxt, (-1, at))
-    return [(at, *k) for at, k in known.items()]
+    return [(at, *known[at]) for at, _ in found]
 
 
 CANDIDATES = "file string, split long, kind string, at long, next long, last long"
@@ -160,7 +163,7 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (file, split), lines in _by_split(batches):
             s = scan(lines)
-            rows = [("size", s.size, None, None), ("head", s.head_end, s.head_length, None), *(("link", *x) for x in leave(s.found, s.size)),
+            rows = [("size", s.size, None, None), ("head", s.head_end, s.head_length, None), *(("link", *x) for x in leave(s.found, s.size, [at for at, _ in s.open])),
                     *(("open", at, n, None) for at, n in s.open)]
             kind, at, nxt, last = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array([file] * len(rows)), pa.array([split] * len(rows), pa.int64()), pa.array(kind),
@@ -206,7 +209,7 @@ def parse(record: bytes) -> tuple:
     head, _, rest = record.partition(END.encode())
     f = {k.strip().lower(): v.strip() for k, _, v in (x.partition(b":") for x in head.split(b"\r\n")[1:])}
     number = lambda k: int(x) if (x := f.get(k, b"").removeprefix(b"<urn:page:").removesuffix(b">")).lstrip(b"-").isdigit() else None
-    payload = rest[:int(f[b"content-length"])]
+    payload = rest[:int(f.get(b"content-length", b"0"))]
     return (number(b"warc-record-id"), f.get(b"warc-target-uri", b"").decode("utf-8", "replace"), f.get(b"warc-type", b"").decode("utf-8", "replace"), number(b"warc-refers-to"),
             f.get(b"warc-payload-digest", b"").decode("utf-8", "replace").removeprefix("sha1:"), payload)
 
@@ -247,7 +250,7 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
     payload_digest (of what was read), payload (null unless asked for).
 
     Files of any size are read in splits; a record may reach over splits, its header over one boundary. Bytes after a broken
-    link of the chain are not read as records. Archives must not be compressed, so that they can be split.
+    link of the chain are not read as records; one that the file's end cuts keeps what is there. Archives must not be compressed, so that they can be split.
     """
     splits = materialise(verified_splits(spark, path), "warc-verified")
     lines = _lines(spark, path)
