@@ -49,9 +49,9 @@ PRIOR_STRENGTH = 0.02
 SAMPLE = 20_000
 """About so many labelled texts are learned from, chosen by a hash of the id."""
 
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7, 8)
 MIN_TEXTS = 3
-MAX_CLEAN_SHARE = 0.02
+MAX_CLEAN_SHARE = 0.04
 MAX_WORDS = 300
 """Most learned words and word beginnings; the best come first."""
 
