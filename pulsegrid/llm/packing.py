@@ -25,8 +25,8 @@ from pulsegrid.sources.stage import materialise
 
 CAPACITY = 4096
 END = 2
-KEPT_WORDS = 400_000
-"""Words whose ids a Python worker remembers; beyond, it starts afresh. A question of speed and memory only."""
+KEPT_WORDS = 300_000
+"""Words as written, and lower-case words, whose ids a Python worker remembers; beyond, it starts afresh. A question of speed and memory only."""
 
 
 def struct_of(ids: list[int]) -> bytes:
@@ -78,6 +78,7 @@ class WordTokenizer:
         split = [t.split() for t in texts]
         if len(self.seen) > KEPT_WORDS:
             self.seen.clear()
+        if len(self.plain) > KEPT_WORDS:
             self.plain.clear()
         other = []
         for w in set().union(*split) - self.seen.keys():
