@@ -67,17 +67,15 @@ def own_licenses(files: DataFrame, path: str, text: str, templates: dict[str, st
     table_ = F.create_map(*[F.lit(x) for w in vocabulary for x in (w, weight[w])])
 
     # a term's weight is tf * idf; a term of no template weighs as one that a single section has
-    kept = F.filter("words", lambda w: F.array_contains(known, w))
-    rest = F.filter("words", lambda w: ~F.array_contains(known, w))
-    tf = lambda words_, w: F.size(F.filter(words_, lambda x: x == w))
-    vector = F.transform(F.array_distinct("kept"), lambda w: F.struct(w.alias("term"), (tf(F.col("kept"), w) * F.element_at(table_, w)).alias("w")))
-    square = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x["w"] * x["w"])
-    others = F.aggregate(F.array_distinct("rest"), F.lit(0.0), lambda a, w: a + F.pow(tf(F.col("rest"), w) * F.lit(rare), F.lit(2.0)))
-    # cheap first bound: each term outside the templates adds at least rare ** 2
-    close = rows.select("_path", kept.alias("kept"), F.size("words").alias("size"), "words").where(F.size("kept") > 0)
-    close = close.withColumn("vector", vector).withColumn("inside", square(F.col("vector")))
-    close = close.where(F.col("inside") >= least ** 2 * (F.col("inside") + (F.col("size") - F.size("kept")) * F.lit(rare ** 2)) - 1e-12)
-    close = close.withColumn("rest", rest).withColumn("norm2", F.col("inside") + others).select("_path", "vector", "norm2", F.monotonically_increasing_id().alias("section"))
+    tf = lambda w: F.size(F.filter("words", lambda x: x == w))
+    vector = F.transform(F.array_intersect("words", known), lambda w: F.struct(w.alias("term"), tf(w).alias("tf"), (tf(w) * F.element_at(table_, w)).alias("w")))
+    inside = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x["w"] * x["w"])
+    outside = F.size("words") - F.aggregate("vector", F.lit(0), lambda a, x: a + x["tf"])
+    others = F.aggregate(F.array_except("words", known), F.lit(0.0), lambda a, w: a + F.pow(tf(w) * F.lit(rare), F.lit(2.0)))
+    close = rows.where(F.arrays_overlap("words", known)).select("_path", "words", vector.alias("vector"))
+    # each word outside the templates adds at least rare ** 2
+    close = close.where(inside >= least ** 2 * (inside + outside * F.lit(rare ** 2)) - 1e-12)
+    close = close.select("_path", "vector", (inside + others).alias("norm2"), F.monotonically_increasing_id().alias("section"))
     close = materialise(close, "license-sections")
     rows_ = []
     for t, ws in words.items():
