@@ -1,9 +1,9 @@
 """Mixture-controlled packing: deficit round-robin over one queue of tokens per source.
 
 Every window of `capacity` tokens serves each source its share. A share is seldom a whole number of tokens: what a source
-is owed beyond what it was served is its deficit, carried into the next window. Token j of a source with T tokens and
-weight w is due at time (j + 1/2) / (T or w), and the windows cut the order of due times: each is full, and no source is
-ever a whole token off its share. So the state of the round-robin at any window follows from the sources' totals, and
+is owed beyond what it was served is its deficit, carried into the next window. Token j of a source with T tokens
+is due at time (j + 1/2) / T, and the windows cut the order of due times: each is full, and where a window ends a source is off
+its share by at most one token and half a token for each other source. So the state of the round-robin at any window follows from the sources' totals, and
 every task continues it where its rows lie in their queues; nothing is simulated in sequence.
 """
 

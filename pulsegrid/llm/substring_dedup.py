@@ -218,7 +218,7 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), whole, pa.array(kept, pa.string()), pa.array(all_, pa.int64()), pa.array(gone, pa.int64())],
                                           names=[*names, text, "_kept_text", "_n_words", "_n_removed"])
 
-    schema = docs.select(*names, F.col(text).cast("string").alias(text), F.lit("").alias("_kept_text"), F.lit(0).cast("long").alias("_n_words"), F.lit(0).cast("long").alias("_n_removed")).schema
+    schema = docs.select(*names, F.col(text).cast("string").alias(text), F.lit(None).cast("string").alias("_kept_text"), F.lit(0).cast("long").alias("_n_words"), F.lit(0).cast("long").alias("_n_removed")).schema
     rows = joined.select(*names, "_zip", "_spans")
     return map_arrow(rows, cut, schema, text="_zip", limit=BATCH_BYTES // 4).select(*docs.columns, "_kept_text", "_n_words", "_n_removed")
 
@@ -231,7 +231,7 @@ def squeezed(docs: DataFrame, text: str) -> DataFrame:
         zips = [None if t is None else zstandard.compress(t, 1) for t in batch.column("_bytes").to_pylist()]
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(zips, pa.binary())], names=[*names, "_zip"])
 
-    schema = docs.select(*names, F.lit(b"").alias("_zip")).schema
+    schema = docs.select(*names, F.lit(None).cast("binary").alias("_zip")).schema
     return map_arrow(docs.select(*names, F.col(text).cast("string").cast("binary").alias("_bytes")), run, schema, text="_bytes")
 
 
