@@ -53,10 +53,10 @@ def e06(spark, sf):
     return segments.split_days(S.day_table(spark, sf), ["pid"])
 
 
-@query("e07_forward_fill", "conv_id:l turn:l carried:s", """select conv_id, turn, last_value(case when role = 'user' then left(text, 20) end ignore nulls)
+@query("e07_forward_fill", "conv_id:l turn:l carried:s", """select conv_id, turn, last_value(case when role = 'user' then text end ignore nulls)
  over (partition by conv_id order by turn rows between unbounded preceding and current row) as carried from conversations""")
 def e07(spark, sf):
-    c = S.table(spark, sf, "conversations").withColumn("label", F.when(F.col("role") == "user", F.substring("text", 1, 20)))
+    c = S.table(spark, sf, "conversations").withColumn("label", F.when(F.col("role") == "user", F.col("text")))
     out = core.sweep(c, ["conv_id"], "turn", before={"_c": core.Seen(F.col("label").isNotNull(), ("label",), own=True)})
     return out.withColumn("carried", F.col("_c.label"))
 

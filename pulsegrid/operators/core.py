@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -130,6 +131,13 @@ def _sweep_whole(df: DataFrame, keys, pos, before, after, sums, bounds) -> DataF
     )
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Equi join in which a null key meets a null key; the right side's keys are left out."""
+    named = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys])
+    return left.join(named, same, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def sweep(df: DataFrame, keys: Sequence[str], pos: str, *, before: Mapping[str, Seen] | None = None,
           after: Mapping[str, Seen] | None = None, sums: Mapping[str, Column] | None = None,
           piece: Column | None = None, size: int = CHUNK, bounds: bool = False, whole: bool | None = None) -> DataFrame:
@@ -182,7 +190,7 @@ def sweep(df: DataFrame, keys: Sequence[str], pos: str, *, before: Mapping[str,
         *[F.last(item(s), ignorenulls=True).over(ahead[s.own]).alias(f"_l_{n}") for n, s in after.items()],
         *[F.sum(e).over(back[True]).alias(f"_l_{n}") for n, e in sums.items()],
     )
-    joined = local.join(edges, [*keys, _PIECE], "left")
+    joined = join_null_safe(local, edges, [*keys, _PIECE], "left")
     own = [c for c in df.columns if c != _PIECE]
     return joined.select(
         *own,
@@ -219,7 +227,7 @@ def islands(df: DataFrame, keys: Sequence[str], pos: str, gap: Column, start: st
     known = F.coalesce("_last_cut", "_head")
     edges = edges.select(*keys, _PIECE, F.coalesce(
         "_head", F.last(known, ignorenulls=True).over(over_pieces.rowsBetween(W.unboundedPreceding, -1))).alias("_lead"))
-    return local.join(edges, [*keys, _PIECE]).withColumn(start, F.coalesce("_own", "_lead")).drop(_PIECE, "_cut", "_own", "_lead")
+    return join_null_safe(local, edges, [*keys, _PIECE], "inner").withColumn(start, F.coalesce("_own", "_lead")).drop(_PIECE, "_cut", "_own", "_lead")
 
 
 # -------------------------------------------------------- fixed-width frames
@@ -243,10 +251,10 @@ def drop_halo(df: DataFrame, own: Column) -> DataFrame:
 
 
 # ------------------------------------------------------ value order, not rows
-def pieces_wanted(df: DataFrame, low: int = 16, high: int = 1024) -> int:
+def pieces_wanted(df: DataFrame, low: int = 16) -> int:
     """How many parts one key's values are cut into: twice the session's shuffle partitions."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(low, min(high, 2 * n))
+    return max(low, 2 * n)
 
 
 def range_bounds(df: DataFrame, value: str, bins: int) -> list[float]:
@@ -305,8 +313,10 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mappi
         return _quantiles_by_counts(rows, keys, value, probs, bins)
     # only the long keys (few, as each holds many rows) go the longer way
     long = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > ROWS_PER_TASK).select(*keys)
-    short = _quantiles_gathered(rows.join(long, list(keys), "left_anti"), keys, value, probs)
-    return short.unionByName(_quantiles_by_counts(rows.join(long, list(keys), "left_semi"), keys, value, probs, bins))
+    marked = long.withColumn("_long", F.lit(True))
+    both = join_null_safe(rows, marked, list(keys), "left")
+    short = _quantiles_gathered(both.where(F.col("_long").isNull()).drop("_long"), keys, value, probs)
+    return short.unionByName(_quantiles_by_counts(both.where("_long").drop("_long"), keys, value, probs, bins))
 
 
 def _quantiles_gathered(rows: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
