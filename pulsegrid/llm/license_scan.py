@@ -49,7 +49,8 @@ def sections(files: DataFrame, path: str, text: str) -> DataFrame:
     """(_path, words): the sections that have a term."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     parts = F.when(F.col(path).rlike(LICENCE_FILE), F.array_append(F.split(body, "\n"), body)).otherwise(F.split(body, "\n"))
-    return files.select(F.col(path).alias("_path"), F.explode(parts).alias("s")).select("_path", terms(F.col("s")).alias("words")).where(F.size("words") > 0)
+    # split inside the generator: what stands above it reads the words instead of splitting anew
+    return files.select(F.col(path).alias("_path"), F.explode(F.transform(parts, terms)).alias("words")).where(F.size("words") > 0)
 
 
 def own_licenses(files: DataFrame, path: str, text: str, templates: dict[str, str], least: float) -> DataFrame:
@@ -72,7 +73,7 @@ def own_licenses(files: DataFrame, path: str, text: str, templates: dict[str, st
     inside = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x["w"] * x["w"])
     outside = F.size("words") - F.aggregate("vector", F.lit(0), lambda a, x: a + x["tf"])
     others = F.aggregate(F.array_except("words", known), F.lit(0.0), lambda a, w: a + F.pow(tf(w) * F.lit(rare), F.lit(2.0)))
-    close = rows.where(F.arrays_overlap("words", known)).select("_path", "words", vector.alias("vector"))
+    close = rows.where(F.arrays_overlap("words", known)).select("_path", "words", F.explode(F.array(vector)).alias("vector"))
     # each word outside the templates adds at least rare ** 2
     close = close.where(inside >= least ** 2 * (inside + outside * F.lit(rare ** 2)) - 1e-12)
     close = close.select("_path", "vector", (inside + others).alias("norm2"), F.monotonically_increasing_id().alias("section"))
