@@ -1,12 +1,10 @@
 """Skew-safe ordered primitives the other operators share.
 
-A window ordered over a whole series puts that series into one task. That is
-fine, and cheapest, while the longest series is short, so its length is
-measured first. Beyond `ROWS_PER_TASK` rows are cut into (key, chunk) pieces:
-each piece is windowed on its own, and the few facts it needs from its
-neighbours (last reading before it, running totals so far) come from a table
-holding one row per piece. Only that small table is windowed per key. Both
-ways give the same rows.
+A window ordered over a whole series puts that series into one task. Series of
+every length are therefore cut into (key, chunk) pieces: each piece is windowed
+on its own, and the few facts it needs from its neighbours (last reading before
+it, running totals so far) come from a table holding one row per piece. Only
+that small table is windowed per key. Nothing is measured while a plan is built.
 """
 
 from __future__ import annotations
@@ -22,20 +20,9 @@ from pyspark.sql import Window as W
 CHUNK = 4096
 """Positions per piece: the most rows one window group holds on a dense axis."""
 
-ROWS_PER_TASK = 1_000_000
-"""The longest key that one window group may hold whole."""
-
 _PIECE = "_piece"
 
 
-def fits_one_task(df: DataFrame, keys: Sequence[str]) -> bool:
-    """Is every key short enough for one window group? Counts the rows per key (key columns only)."""
-    if ROWS_PER_TASK <= 0:
-        return False
-    per = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return (per.agg(F.max("n").alias("n")).first()["n"] or 0) <= ROWS_PER_TASK
-
-
 def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -117,20 +104,6 @@ def _frames(w):
     return {own: w.rowsBetween(W.unboundedPreceding, 0 if own else -1) for own in (True, False)}
 
 
-def _sweep_whole(df: DataFrame, keys, pos, before, after, sums, bounds) -> DataFrame:
-    """The sweep as plain windows over each key."""
-    w = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(1))
-    back, ahead = _frames(w.orderBy(pos)), _frames(w.orderBy(F.desc(pos)))
-    return df.select(
-        "*",
-        *[F.last(_item(s, pos), ignorenulls=True).over(back[s.own]).alias(n) for n, s in before.items()],
-        *[F.last(_item(s, pos), ignorenulls=True).over(ahead[s.own]).alias(n) for n, s in after.items()],
-        *[F.coalesce(F.sum(e).over(back[True]), F.lit(0)).alias(n) for n, e in sums.items()],
-        *[F.coalesce(F.sum(e).over(w), F.lit(0)).alias(f"{n}_total") for n, e in sums.items()],
-        *([F.min(pos).over(w).alias("pos_min"), F.max(pos).over(w).alias("pos_max")] if bounds else []),
-    )
-
-
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
     """Equi join in which a null key meets a null key; the right side's keys are left out."""
     named = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
@@ -140,7 +113,7 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
 
 def sweep(df: DataFrame, keys: Sequence[str], pos: str, *, before: Mapping[str, Seen] | None = None,
           after: Mapping[str, Seen] | None = None, sums: Mapping[str, Column] | None = None,
-          piece: Column | None = None, size: int = CHUNK, bounds: bool = False, whole: bool | None = None) -> DataFrame:
+          piece: Column | None = None, size: int = CHUNK, bounds: bool = False) -> DataFrame:
     """Add looks backward, looks forward and running sums along `pos`.
 
     * `before[name]` / `after[name]`: struct of the nearest qualifying row.
@@ -148,15 +121,12 @@ def sweep(df: DataFrame, keys: Sequence[str], pos: str, *, before: Mapping[str,
       the sum over the whole key.
     * `bounds=True`: `pos_min` and `pos_max` of the key.
 
-    The frame is read twice, once to measure it or for the per-piece facts
-    (pruned and pre-aggregated) and once for the rows: pass a stored table, not
-    a long plan. `whole` skips the measuring when the caller knows the answer.
+    The frame is read twice, once for the per-piece facts (pruned and
+    pre-aggregated) and once for the rows: pass a stored table, not a long plan.
 
     `piece` must grow with `pos`; by default it is `pos div size`.
     """
     before, after, sums = before or {}, after or {}, sums or {}
-    if fits_one_task(df, keys) if whole is None else whole:
-        return _sweep_whole(df, keys, pos, before, after, sums, bounds)
     df = df.withColumn(_PIECE, floor_div(pos, size) if piece is None else piece)
 
     def item(seen: Seen) -> Column:
@@ -208,11 +178,6 @@ def islands(df: DataFrame, keys: Sequence[str], pos: str, gap: Column, start: st
     inside a piece are seen there; whether a piece goes on with the stretch
     before it is settled on the table of pieces.
     """
-    if fits_one_task(df, keys):
-        w = W.partitionBy(*keys).orderBy(pos)
-        prev = F.lag(pos).over(w)
-        cut = df.withColumn("_first", F.when(prev.isNull() | (F.col(pos) - prev - 1 > gap), F.col(pos)))
-        return cut.withColumn(start, F.max("_first").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_first")
     df = df.withColumn(_PIECE, floor_div(pos, size))
     inside = W.partitionBy(*keys, _PIECE).orderBy(pos)
     step = F.col(pos) - F.lag(pos).over(inside) - 1
@@ -257,26 +222,27 @@ def pieces_wanted(df: DataFrame, low: int = 16) -> int:
     return max(low, 2 * n)
 
 
-def range_bounds(df: DataFrame, value: str, bins: int) -> list[float]:
-    """Up to `bins` cut points that spread the values evenly (a small, fixed list).
+def with_value_piece(df: DataFrame, rows: DataFrame, value: str, bins: int) -> DataFrame:
+    """Add `_range`, the number of the value range a row falls into: how many of up to `bins` cut points lie below its value.
 
-    The cut points only balance work; results do not depend on them.
+    The cut points spread `rows` evenly and only balance work; results do not
+    depend on them. They are a scalar subquery, so nothing runs while the plan
+    is built. A coarse and a fine step look at about twice the root of `bins`.
     """
     if bins < 2:
-        return []
-    points = df.agg(F.percentile_approx(col(value).cast("double"), [i / bins for i in range(1, bins)], 2000).alias("p")).first()["p"]
-    return sorted(set(points or []))
-
+        return df.withColumn("_range", F.lit(0))
+    points = rows.agg(F.array_sort(F.array_distinct(F.percentile_approx(
+        col(value).cast("double"), [i / bins for i in range(1, bins)], max(2000, 10 * bins)))).alias("p")).scalar()
+    # a column of its own: a subquery may not stand inside a higher-order function
+    with_points = df.withColumn("_points", F.coalesce(points, F.array().cast("array<double>")))
+    return with_points.withColumn("_range", bucket_by(value, F.col("_points"), max(2, round(bins ** 0.5)))).drop("_points")
 
-def bucket_by(value: str | Column, bounds: Sequence[float]) -> Column:
-    """Number of cut points below the value, found by halving."""
-    def pick(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(col(value) > F.lit(float(bounds[mid])), pick(mid + 1, hi)).otherwise(pick(lo, mid))
 
-    return pick(0, len(bounds))
+def bucket_by(value: str | Column, points: Column, step: int) -> Column:
+    """How many of the sorted `points` lie below the value; every `step`-th point is looked at first."""
+    v = col(value).cast("double")
+    whole = F.size(F.filter(points, lambda x, i: (i % step == step - 1) & (x < v))) * step
+    return whole + F.size(F.filter(F.slice(points, whole + 1, step), lambda x: x < v))
 
 
 def by_value(df: DataFrame, keys: Sequence[str], value: str, sums: Mapping[str, Column] | None = None,
@@ -292,58 +258,35 @@ def by_value(df: DataFrame, keys: Sequence[str], value: str, sums: Mapping[str,
     rows = df.where(F.col(value).isNotNull())
     distinct = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"), *[F.sum(e).alias(k) for k, e in sums.items()])
     running = {"upto": F.col("n"), **{f"{k}_upto": F.col(k) for k in sums}}
-    if fits_one_task(rows, keys):
-        return sweep(distinct, keys, value, sums=running, whole=True)
-    bounds = range_bounds(rows, value, bins or pieces_wanted(df))
-    return sweep(distinct, keys, value, piece=bucket_by(value, bounds), sums=running, whole=False)
+    distinct = with_value_piece(distinct, rows, value, bins or pieces_wanted(df))
+    return sweep(distinct, keys, value, piece=F.col("_range"), sums=running).drop("_range")
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float],
                     *, bins: int | None = None) -> DataFrame:
     """Exact quantiles per key with linear interpolation, for keys of any size.
 
-    Short keys are left to Spark's own exact percentile, which gathers the
-    distinct values of a key in one place; beyond that the counts in value
-    order find the two neighbours of the wanted place.
+    The counts in value order find the two neighbours of the wanted place; no
+    key's values are gathered.
     """
     rows = df.where(F.col(value).isNotNull())
-    if fits_one_task(rows, keys):
-        return _quantiles_gathered(rows, keys, value, probs)
-    if not keys:
-        return _quantiles_by_counts(rows, keys, value, probs, bins)
-    # only the long keys (few, as each holds many rows) go the longer way
-    long = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > ROWS_PER_TASK).select(*keys)
-    marked = long.withColumn("_long", F.lit(True))
-    both = join_null_safe(rows, marked, list(keys), "left")
-    short = _quantiles_gathered(both.where(F.col("_long").isNull()).drop("_long"), keys, value, probs)
-    return short.unionByName(_quantiles_by_counts(both.where("_long").drop("_long"), keys, value, probs, bins))
-
-
-def _quantiles_gathered(rows: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
-    names = list(probs)
-    q = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.percentile(value, [float(probs[k]) for k in names]).alias("_q"))
-    return q.where("n > 0").select(*keys, "n", *[F.col("_q")[i].alias(k) for i, k in enumerate(names)])
-
-
-def _quantiles_by_counts(rows: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], bins: int | None) -> DataFrame:
-    distinct = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    bounds = range_bounds(rows, value, bins or pieces_wanted(rows))
-    table = sweep(distinct, keys, value, piece=bucket_by(value, bounds), sums={"upto": F.col("n")}, whole=False)
+    table = by_value(rows, keys, value, bins=bins)
     aggs = []
     for name, p in probs.items():
         at = (F.col("upto_total") - 1) * F.lit(float(p))
         # 0-based ranks either side of the wanted position
         aggs += [
-            F.min(F.when(F.col("upto") > F.floor(at + 1e-9), F.col(value))).alias(f"_lo_{name}"),
-            F.min(F.when(F.col("upto") > F.ceil(at - 1e-9), F.col(value))).alias(f"_hi_{name}"),
-            F.max(at - F.floor(at + 1e-9)).alias(f"_f_{name}"),
+            F.min(F.when(F.col("upto") > F.floor(at), F.col(value))).cast("double").alias(f"_lo_{name}"),
+            F.min(F.when(F.col("upto") > F.ceil(at), F.col(value))).cast("double").alias(f"_hi_{name}"),
+            F.max(at).alias(f"_at_{name}"),
         ]
     out = table.groupBy(*keys).agg(F.max("upto_total").alias("n"), *aggs)
-    return out.select(
-        *keys, "n",
-        *[(F.col(f"_lo_{k}") + (F.col(f"_hi_{k}") - F.col(f"_lo_{k}")) * F.greatest(F.col(f"_f_{k}"), F.lit(0.0))).alias(k)
-          for k in probs],
-    )
+
+    def between(k: str) -> Column:
+        lo, hi, at = F.col(f"_lo_{k}"), F.col(f"_hi_{k}"), F.col(f"_at_{k}")
+        return F.when(lo == hi, lo).otherwise((F.ceil(at) - at) * lo + (at - F.floor(at)) * hi)
+
+    return out.where("n > 0").select(*keys, "n", *[between(k).alias(k) for k in probs])
 
 
 def average_ranks(df: DataFrame, keys: Sequence[str], value: str, rank: str = "avg_rank") -> DataFrame:

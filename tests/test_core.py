@@ -8,16 +8,6 @@ from pyspark.sql import Window as W
 from pulsegrid.operators import core
 
 
-@pytest.fixture(params=["whole", "pieces"], autouse=True)
-def path(request, monkeypatch):
-    """Every test runs with keys held whole and with keys cut into pieces."""
-    given = getattr(request.node, "callspec", None)
-    if request.param == "pieces":
-        monkeypatch.setattr(core, "ROWS_PER_TASK", 0)
-    elif given and given.params.get("size", 4096) not in (4096, 50):
-        pytest.skip("the piece size plays no part here")
-
-
 def series(spark, n=60, keys=3, seed=1, blanks=0.5):
     r = random.Random(seed)
     rows = [(k, p, None if r.random() < blanks else float(r.randint(1, 9))) for k in range(keys) for p in range(-7, n - 7)]
@@ -110,17 +100,40 @@ def test_slots_before_1970_round_down(spark):
     assert r.s == -1 and str(r.b) == "1969-12-31 23:59:00"
 
 
-def test_bucket_by_counts_the_bounds_below(spark):
-    bounds = [1.0, 2.5, 2.75, 9.0]
-    df = spark.createDataFrame([(float(x),) for x in (0, 1, 2, 2.5, 2.6, 3, 9, 10)], "x double")
-    for r in df.select("x", core.bucket_by("x", bounds).alias("b")).collect():
-        assert r.b == sum(b < r.x for b in bounds)
+@pytest.mark.parametrize("step", [2, 3, 9])
+def test_bucket_by_counts_the_points_below(spark, step):
+    points = [1.0, 2.5, 2.75, 9.0, 9.5]
+    df = spark.createDataFrame([(float(x),) for x in (0, 1, 2, 2.5, 2.6, 3, 9, 9.25, 10, "nan")], "x double")
+    for r in df.select("x", core.bucket_by("x", F.array(*map(F.lit, points)), step).alias("b")).collect():
+        assert r.b == (5 if r.x != r.x else sum(p < r.x for p in points))
 
 
-def test_long_and_short_keys_side_by_side(spark, monkeypatch):
-    monkeypatch.setattr(core, "ROWS_PER_TASK", 50)
+def test_long_and_short_keys_side_by_side(spark):
     r = np.random.default_rng(3)
     data = {1: r.normal(size=300), 2: r.normal(size=20), 3: np.round(r.normal(size=51), 1)}
     df = spark.createDataFrame([(k, float(x)) for k, xs in data.items() for x in xs], "k long, x double")
     out = {o.k: (o.n, o.m) for o in core.exact_quantiles(df, ["k"], "x", {"m": 0.5}, bins=8).collect()}
     assert out == {k: (len(xs), pytest.approx(np.median(xs))) for k, xs in data.items()}
+
+
+def test_no_job_runs_while_a_plan_is_built(spark):
+    _, df = series(spark)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("only-built", "")
+    try:
+        core.sweep(df, ["k"], "slot", sums={"s": F.lit(1)})
+        core.islands(df, ["k"], "slot", F.lit(1))
+        core.by_value(df, ["k"], "v")
+        core.exact_quantiles(df, ["k"], "v", {"m": 0.5})
+        core.draw_order(df.withColumn("m", core.draw_key("s", "slot")), ["k"], "m")
+        assert len(tracker.getJobIdsForGroup("only-built")) == 0
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_empty_tables_give_no_rows(spark):
+    df = spark.createDataFrame([], "k long, slot long, v double")
+    assert core.sweep(df, ["k"], "slot", sums={"s": F.lit(1)}).count() == 0
+    assert core.by_value(df, ["k"], "v").count() == 0
+    assert core.exact_quantiles(df, ["k"], "v", {"m": 0.5}).count() == 0
+    assert core.exact_quantiles(df, [], "v", {"m": 0.5}).count() == 0
