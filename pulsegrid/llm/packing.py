@@ -43,6 +43,7 @@ class WordTokenizer:
         self.whole = Tokenizer.from_file(path)
         self.seen: dict[bytes, bytes] = {}
         self.plain: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = dict(zip(".,", self._encode([".", ","]), strict=True))
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         spare = iter(range(256, 512))
         self.byte_chars = [chr(b) if b in printable else chr(next(spare)) for b in range(256)]
@@ -65,13 +66,12 @@ class WordTokenizer:
         word = raw.decode("utf-8", "replace")
         tail = word[-1] if word[-1] in ".," else ""
         base = word[:len(word) - len(tail)].lower()
-        if not base.isalpha() or "ς" in base or not (base.isascii() or unicodedata.is_normalized("NFC", base)):
-            return None
-        if base not in self.plain:
-            self.plain[base] = self._letters(base)
-        if tail and tail not in self.plain:
-            self.plain[tail] = self._encode([tail])[0]
-        return self.plain[base] + (self.plain[tail] if tail else b"")
+        known = self.plain.get(base)
+        if known is None:
+            if not base.isalpha() or "ς" in base or not (base.isascii() or unicodedata.is_normalized("NFC", base)):
+                return None
+            known = self.plain[base] = self._letters(base)
+        return known + self.tails[tail] if tail else known
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
