@@ -103,14 +103,14 @@ def d14(spark, sf):
 
 
 STATE = f"""{S.STRETCHES}, fl as (select distinct pid, unnest(range(cast(floor(epoch(start_ts) / 60) as bigint), cast(floor(epoch(end_ts) / 60) as bigint) + 1)) as slot from stretches),
- st as (select e.user_id as pid, e.value, case when f.slot is null then 0 else 1 end as s from events e left join fl f on f.pid = e.user_id and f.slot = cast(floor(epoch(e.ts) / 60) as bigint) where e.event_type <> 'purchase' or e.event_id % 2 = 0)"""
+ st as (select e.user_id as pid, e.value, case when f.slot is null then 0 else 1 end as s from events e left join fl f on f.pid = e.user_id and f.slot = cast(floor(epoch(e.ts) / 60) as bigint))"""
 
 
 @query("d15_inside_outside", "pid:l inside:f outside:f n_inside:l n_outside:l diff:f", f"""with {STATE}, m as (select pid, median(value) filter (s = 1) as inside, median(value) filter (s = 0) as outside, count(*) filter (s = 1) as n_inside, count(*) filter (s = 0) as n_outside from st group by 1)
 select *, inside - outside as diff from m where n_inside >= 3 and n_outside >= 10""".replace("n_outside >= 10", "n_outside >= 3"))
 def d15(spark, sf):
     on = timeline.covered_minutes(S.stretches(spark, sf), ["pid"]).withColumn("rest", F.lit(1))
-    r = S.table(spark, sf, "events").where("event_type <> 'purchase' or event_id % 2 = 0").select(F.col("user_id").alias("pid"), core.slot_of("ts", 60).alias("slot"), "value")
+    r = S.table(spark, sf, "events").select(F.col("user_id").alias("pid"), core.slot_of("ts", 60).alias("slot"), "value")
     return cohort.two_states(r.join(on, ["pid", "slot"], "left"), ["pid"], "rest", "value", 3).orderBy("diff", "pid")
 
 

@@ -29,22 +29,23 @@ def d35(spark, sf):
     return metrics.error_scores(preds(spark, sf), ["model"], 50, 129)
 
 
-LAST = f"{S.RUNS}, rk as (select *, row_number() over (partition by model, test order by finished desc, run desc) as rn from runs where not (model = 'm7' and test = '5-LOW')), last as (select * from rk where rn = 1)"
+LAST = f"{S.RUNS}, rk as (select *, row_number() over (partition by model, test order by finished desc, run desc) as rn from runs), last as (select * from rk where rn = 1)"
 
 
 def last_runs(spark, sf):
-    r = S.runs(spark, sf).where("not (model = 'm7' and test = '5-LOW')").withColumn("n_nonfinite", F.col("n_missing"))
+    r = S.runs(spark, sf).withColumn("n_nonfinite", F.col("n_missing"))
     return R.last_run(r, ["model", "test"], "finished", "run")
 
 
 def verdicts(spark, sf):
     last = last_runs(spark, sf)
-    spine = S.runs(spark, sf).select("model", "test").distinct()
+    ran = S.runs(spark, sf).select("model", "test")
+    spine = ran.unionByName(ran.select(F.lit("planned").alias("model"), "test")).distinct()
     return ledger.usability(spine, last, ["model", "test"], worst=400)
 
 
-VERDICT = f"""{LAST}, sp as (select distinct model, test from runs), v0 as (select s.model, s.test, l.mae, case when l.run is null then 'did not finish' when l.mae > 400 or l.n_missing > 0 then 'gave impossible values'
- when l.n_nonpositive > 0 then 'gave non-positive values' when l.pct_above > 5 then 'gave values above the maximum' else '' end as note from sp s left join last l on l.model = s.model and l.test = s.test),
+VERDICT = f"""{LAST}, sp as (select model, test from runs union select 'planned', test from runs), v0 as (select s.model, s.test, l.mae, case when l.run is null then 'absent' when l.mae > 400 or l.n_missing > 0 then 'not_finite_or_huge'
+ when l.n_nonpositive > 0 then 'zero_or_less' when l.pct_above > 5 then 'too_high' else '' end as note from sp s left join last l on l.model = s.model and l.test = s.test),
  verdict as (select model, test, note, case when note = '' then mae end as mae from v0)"""
 
 

@@ -149,7 +149,7 @@ def h12(spark, sf):
 @query("h13_settings_search", "trial:l settings:s mae:f")
 def h13(spark, sf):
     t = hubs.segment_table(spark, sf)
-    mask = sampling.block_mask(t, sampling.run_pool(t, distinct=False, longest=18), 123, pct=15, tries=200)
+    mask = sampling.block_mask(t, sampling.run_pool(t, distinct=False, longest=18), 123, pct=15)
     rows = materialise(PF.hidden(t, mask), "practice-mask")
     return models.settings_search(rows, 2, PERIOD, {"maxDepth": [2, 3, 5], "maxIter": [3, 6], "stepSize": [0.1, 0.3]}, 2, 0)
 

@@ -46,21 +46,21 @@ def f06(spark, sf):
     return sampling.sample_rows(S.table(spark, sf, "events").select("event_id", "value"), 500, 0, ["event_id"])
 
 
-@query("f07_best_window", "segment:s start:l runs:l readings:l", f"""with {block_sql(2, 20, 200, 'count(*)')}, mk as (select l.segment, l.slot, l.a, l.b, l.hrv, case when x.slot is null then 0 else 1 end as m from labelled l left join block x on x.segment = l.segment and x.slot = l.slot where l.segment is not null),
+@query("f07_best_window", "segment:s start:l runs:l readings:l", f"""with {block_sql(2, 20, 'count(*)')}, mk as (select l.segment, l.slot, l.a, l.b, l.hrv, case when x.slot is null then 0 else 1 end as m from labelled l left join block x on x.segment = l.segment and x.slot = l.slot where l.segment is not null),
  ws as (select segment, a, b, unnest(range(a, b - 8 + 2, 4)) as s from (select distinct segment, a, b from mk) z where b - a + 1 >= 8), wr as (select w.segment, w.s - w.a as start, k.slot, k.hrv, k.m from ws w join mk k on k.segment = w.segment and k.slot between w.s and w.s + 7),
  rn as (select segment, start, slot - sum(m) over (partition by segment, start order by slot) as g, hrv, m from wr), rlen as (select segment, start, g, m, count(*) as len, count(hrv) as seen from rn group by 1, 2, 3, 4), sc as (select segment, start, count(*) filter (m = 1 and len >= 1) as runs, sum(seen) as readings from rlen group by 1, 2)
 select segment, start, runs, readings from sc order by runs desc, readings desc, segment desc, start limit 1""")
 def f07(spark, sf):
     t = hubs.segment_table(spark, sf)
-    m = materialise(sampling.block_mask(t, sampling.run_pool(t), 2, pct=20, tries=200), "mask")
+    m = materialise(sampling.block_mask(t, sampling.run_pool(t), 2, pct=20), "mask")
     return picks.best_window(t, m, 8, 4, min_run=1)
 
 
-@query("f07_longest_hidden_run", "segment:s start_slot:l length:l", f"""with {block_sql(2, 20, 200, 'count(*)')}, g as (select segment, slot, slot - row_number() over (partition by segment order by slot) as g from block)
+@query("f07_longest_hidden_run", "segment:s start_slot:l length:l", f"""with {block_sql(2, 20, 'count(*)')}, g as (select segment, slot, slot - row_number() over (partition by segment order by slot) as g from block)
 select segment, min(slot) as start_slot, count(*) as length from g group by segment, g order by 3 desc, 1 desc, 2 desc limit 1""")
 def f07c(spark, sf):
     t = hubs.segment_table(spark, sf)
-    return picks.longest_hidden_run(materialise(sampling.block_mask(t, sampling.run_pool(t), 2, pct=20, tries=200), "mask"))
+    return picks.longest_hidden_run(materialise(sampling.block_mask(t, sampling.run_pool(t), 2, pct=20), "mask"))
 
 
 @query("f07_busiest_series", "pid:l n:l", "select user_id as pid, count(*) as n from events group by 1 order by 2 desc, 1 desc limit 1")

@@ -18,28 +18,29 @@ def e25(spark, sf):
     return sampling.random_mask(hubs.segment_table(spark, sf), 1)
 
 
-def block_sql(seed, pct, tries, pool):
-    return S.SEGMENTS + f""", sg as (select segment, min(slot) as a, count(*) as n, cast(round_even(count(hrv) * {pct} / 100, 0) as bigint) as target from labelled where segment is not null group by 1),
- rl as (select segment, missing_run, count(*) as s from labelled where segment is not null and missing_run > 0 group by 1, 2), pool as (select missing_run as len, {pool} as n from rl group by 1),
+def block_sql(seed, pct, pool):
+    return S.SEGMENTS + f""", rl as (select segment, missing_run, count(*) as s from labelled where segment is not null and missing_run > 0 group by 1, 2), pool as (select missing_run as len, {pool} as n from rl group by 1),
  cum as (select len, n, sum(n) over (order by len) as upto, sum(n) over () as tot from pool),
- cd as (select segment, a, n, target, i, ('0x' || substr(md5('{seed}|' || segment || '|' || cast(i as varchar)), 1, 8))::bigint as h1, ('0x' || substr(md5('{seed}|' || segment || '|' || cast(i as varchar)), 9, 8))::bigint as h2
-  from sg, (select unnest(range(1, {tries + 1})) as i) t where target > 0),
+ sz as (select segment, min(slot) as a, count(*) as n, count(hrv) as known, arg_max(case when hrv is null then 0 else 1 end, slot) as last_known from labelled where segment is not null group by 1),
+ sg as (select segment, a, n, least(cast(round_even(known * {pct} / 100, 0) as bigint), known - case when n > (select max(len) from pool) then last_known else 0 end) as target from sz),
+ ci as (select *, unnest(range(1, 20 * n + 200)) as i from sg where target > 0),
+ cd as (select segment, a, n, target, i, ('0x' || substr(md5('{seed}|' || segment || '|' || cast(i as varchar)), 1, 8))::bigint as h1, ('0x' || substr(md5('{seed}|' || segment || '|' || cast(i as varchar)), 9, 8))::bigint as h2 from ci),
  cl as (select cd.*, c.len from cd join cum c on cd.h1 % c.tot >= c.upto - c.n and cd.h1 % c.tot < c.upto), cs as (select *, h2 % greatest(1, n - len) as st from cl),
  sp as (select segment, target, i, unnest(range(a + st, a + least(st + len, n))) as slot from cs), fi as (select segment, target, slot, min(i) as i from sp group by 1, 2, 3),
  oh as (select f.* from fi f join labelled l on l.segment = f.segment and l.slot = f.slot and l.hrv is not null), nw as (select segment, target, i, count(*) as k from oh group by 1, 2, 3),
  kp as (select segment, i from (select *, coalesce(sum(k) over (partition by segment order by i rows between unbounded preceding and 1 preceding), 0) as b from nw) q where b < target), block as (select o.segment, o.slot from oh o join kp on kp.segment = o.segment and kp.i = o.i)"""
 
 
-@query("e26_block_mask", "segment:s slot:l", f"with {block_sql(2, 20, 200, 'count(*)')} select segment, slot from block")
+@query("e26_block_mask", "segment:s slot:l", f"with {block_sql(2, 20, 'count(*)')} select segment, slot from block")
 def e26(spark, sf):
     t = hubs.segment_table(spark, sf)
-    return sampling.block_mask(t, sampling.run_pool(t), 2, pct=20, tries=200)
+    return sampling.block_mask(t, sampling.run_pool(t), 2, pct=20)
 
 
-@query("e27_practice_mask", "segment:s slot:l", f"with {block_sql(123, 15, 200, 'sum(s // missing_run)')} select segment, slot from block")
+@query("e27_practice_mask", "segment:s slot:l", f"with {block_sql(123, 15, 'sum(s // missing_run)')} select segment, slot from block")
 def e27(spark, sf):
     t = hubs.segment_table(spark, sf)
-    return sampling.block_mask(t, sampling.run_pool(t, distinct=False, longest=18), 123, pct=15, tries=200)
+    return sampling.block_mask(t, sampling.run_pool(t, distinct=False, longest=18), 123, pct=15)
 
 
 @query("e28_practice_forecast", "segment:s slot:l part:s filled:f", f"""with {S.SEGMENTS}, tr as (select *, ((b - a + 1) * 80) // 100 as n, slot - a as place from labelled where split = 'train'), ct as (select *, (n * 80) // 100 as cut from tr),

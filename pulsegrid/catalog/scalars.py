@@ -91,9 +91,9 @@ _TWO = """two as (select o_orderkey as id, case o_orderkey % 4 when 0 then strft
  when 2 then strftime(o_orderdate, '%d/%m/%Y') else null end as watch, strftime(o_orderdate, '%d.%m.%Y') as plan from orders)"""
 
 
-@query("b11_enrolment", "id:l enrolment:d source:s", f"""with {_TWO}, p as (select id, case when regexp_full_match(replace(watch, '/', '-'), '[0-9]{{1,2}}-[0-9]{{1,2}}-[0-9]{{4}}')
+@query("b11_enrolment", "id:l enrolment:d source:l", f"""with {_TWO}, p as (select id, case when regexp_full_match(replace(watch, '/', '-'), '[0-9]{{1,2}}-[0-9]{{1,2}}-[0-9]{{4}}')
  then try_strptime(replace(watch, '/', '-'), '%d-%m-%Y') end as a, try_strptime(plan, '%d.%m.%Y') as b from two)
-select id, coalesce(a, b) as enrolment, case when a is not null then 'first date' else 'second date' end as source from p""")
+select id, coalesce(a, b) as enrolment, case when a is not null then 1 else 2 end as source from p""")
 def b11(spark, sf):
     k, d = F.col("o_orderkey"), F.col("o_orderdate")
     watch = F.when(k % 4 == 0, F.date_format(d, "dd-MM-yyyy")).when(k % 4 == 1, "01-06-20260").when(k % 4 == 2, F.date_format(d, "dd/MM/yyyy"))
@@ -105,9 +105,9 @@ def b11(spark, sf):
 @query("b12_severity", "id:l score:f", """with p as (select l_orderkey * 10 + l_linenumber as id, case when l_linenumber % 5 = 0 then null else l_quantity end as bmi,
  l_discount * 1000 as fev, l_linenumber % 5 as grade, l_extendedprice / 100 as walk from lineitem)
 select id, case when bmi <= 21 then 1.0 else 0.0 end
- + case when fev > -1 and fev <= 34 then 3 when fev > 34 and fev <= 49 then 2 when fev > 49 and fev <= 64 then 1 when fev > 64 and fev <= 10000 then 0 end
- + case when grade <= 1 then 0 when grade <= 2 then 1 when grade <= 3 then 2 when grade <= 10 then 3 end
- + case when walk > -1 and walk <= 149 then 3 when walk > 149 and walk <= 249 then 2 when walk > 249 and walk <= 349 then 1 when walk > 349 and walk <= 100000 then 0 end as score from p""")
+ + case when fev >= 0 and fev <= 34 then 3 when fev > 34 and fev <= 49 then 2 when fev > 49 and fev <= 64 then 1 when fev > 64 then 0 end
+ + case when grade < 0 then null when grade <= 1 then 0 when grade <= 2 then 1 when grade <= 3 then 2 when grade > 3 then 3 end
+ + case when walk >= 0 and walk <= 149 then 3 when walk > 149 and walk <= 249 then 2 when walk > 249 and walk <= 349 then 1 when walk > 349 then 0 end as score from p""")
 def b12(spark, sf):
     n = F.col("l_linenumber")
     return S.table(spark, sf, "lineitem").select((F.col("l_orderkey") * 10 + n).alias("id"), clean.severity_score(
@@ -150,8 +150,8 @@ _VISIT = "with p as (select l_orderkey * 10 + l_linenumber as id, cast(o_orderda
 
 
 @query("b17_cross_date", "id:l accepted:l why:s", _VISIT + """
-select id, case when visit >= onset and visit <= onset + 45 then 1 else 0 end as accepted, case when visit >= onset and visit <= onset + 45 then null else
- 'read as onset ' || coalesce(cast(onset as varchar), '?') || ', visit ' || coalesce(cast(visit as varchar), '?') || ': not onset <= visit <= onset + 45 d' end as why from p""")
+select id, case when visit >= onset and visit <= onset + 45 then 1 else 0 end as accepted,
+ case when onset is null then 'no_onset' when visit is null then 'no_visit' when visit < onset then 'early' when visit > onset + 45 then 'late' end as why from p""")
 def b17(spark, sf):
     li, o = S.table(spark, sf, "lineitem"), S.table(spark, sf, "orders")
     p = li.join(o, li.l_orderkey == o.o_orderkey).select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"),

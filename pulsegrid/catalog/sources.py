@@ -130,7 +130,7 @@ def date_parts(spark, sf):
 
 @query("a08_date_sheets", "id:l pid:l part:s start_d:d end_d:d why:s", f"""with {DATE_PARTS}
 select id, pid, part, case when accepted then start_d end as start_d, case when accepted then end_d end as end_d,
- case when not accepted then 'not a date or a range' end as why from parts""")
+ case when not accepted then 'unreadable' end as why from parts""")
 def a08(spark, sf):
     good, bad = sheet.accepted_rejected(stage.materialise(date_parts(spark, sf), "parts"))
     return good.unionByName(bad, True).withColumnsRenamed({"start": "start_d", "end": "end_d"})

@@ -78,13 +78,12 @@ def plausible(value: Column, low: float, high: float) -> Column:
     return F.when(value.between(low, high), value)
 
 
-def band(value: Column, upper_bounds: list[float], scores: list[int], low: float, high: float) -> Column:
-    """Score of the right-closed band a value falls into; null outside (low, high]."""
-    edges = [*upper_bounds, high]
-    out = F.lit(None).cast("double")
-    for bound, score in reversed(list(zip(edges, scores))):
+def band(value: Column, upper_bounds: list[float], scores: list[int]) -> Column:
+    """Score of the right-closed band a value falls into, with one score more than bounds; null below 0."""
+    out = F.lit(float(scores[-1]))
+    for bound, score in reversed(list(zip(upper_bounds, scores))):
         out = F.when(value <= bound, float(score)).otherwise(out)
-    return F.when((value > low) & (value <= high), out)
+    return F.when(value >= 0, out)
 
 
 def severity_score(bmi: Column, lung_pct: Column, grade: Column, distance: Column) -> Column:
@@ -96,9 +95,9 @@ def severity_score(bmi: Column, lung_pct: Column, grade: Column, distance: Colum
     thin = F.coalesce((bmi <= 21).cast("double"), F.lit(0.0))
     return (
         thin
-        + band(lung_pct, [34, 49, 64], [3, 2, 1, 0], -1, 1e4)
-        + band(grade, [1, 2, 3], [0, 1, 2, 3], -1, 10)
-        + band(distance, [149, 249, 349], [3, 2, 1, 0], -1, 1e5)
+        + band(lung_pct, [34, 49, 64], [3, 2, 1, 0])
+        + band(grade, [1, 2, 3], [0, 1, 2, 3])
+        + band(distance, [149, 249, 349], [3, 2, 1, 0])
     )
 
 

@@ -9,12 +9,11 @@ from pyspark.sql import functions as F
 
 
 def usability(spine: DataFrame, last: DataFrame, keys: Sequence[str], blank: Sequence[str] = ("mae",), worst: float = 1000, above: float = 5) -> DataFrame:
-    """A note per (model, test): why a run cannot be used, or empty; unusable runs lose their scores."""
+    """A code per (model, test): why a run cannot be used, or empty; unusable runs lose their scores."""
     j = spine.join(last.withColumn("_ran", F.lit(1)), list(keys), "left")
     bad = F.isnan("mae") | (F.abs("mae") == float("inf")) | (F.col("mae") > worst) | (F.col("n_nonfinite") > 0)
-    # The wording of the verdicts.
-    note = (F.when(F.col("_ran").isNull(), "did not finish").when(bad, "gave impossible values")
-            .when(F.col("n_nonpositive") > 0, "gave non-positive values").when(F.col("pct_above") > above, "gave values above the maximum").otherwise(""))
+    note = (F.when(F.col("_ran").isNull(), "absent").when(bad, "not_finite_or_huge")
+            .when(F.col("n_nonpositive") > 0, "zero_or_less").when(F.col("pct_above") > above, "too_high").otherwise(""))
     j = j.withColumn("note", note).withColumn("usable", F.col("note") == "")
     return j.withColumns({c: F.when(F.col("usable"), F.col(c)) for c in blank}).drop("_ran")
 

@@ -3,12 +3,14 @@ so it repeats on any cluster and any partitioning."""
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.operators.core import draw_key, draw_order
+from pulsegrid.sources.stage import materialise
 
 
 def random_mask(labelled: DataFrame, seed: str | int, pct: int = 20, value: str = "hrv", slot: str = "slot") -> DataFrame:
@@ -36,22 +38,47 @@ def hex_number(md5: Column) -> Column:
     return F.conv(F.substring(md5, 1, 8), 16, 10).cast("long")
 
 
-def block_mask(labelled: DataFrame, pool: DataFrame, seed: str | int, *, pct: int = 20, tries: int = 1000, value: str = "hrv",
-               slot: str = "slot") -> DataFrame:
+def block_mask(labelled: DataFrame, pool: DataFrame, seed: str | int, *, pct: int = 20, value: str = "hrv", slot: str = "slot") -> DataFrame:
     """Hide whole runs, with lengths drawn from the pool, until pct % of a segment's readings are hidden.
 
-    Candidate runs 1 … tries are drawn per segment; a reading belongs to the
-    first candidate that covers it; candidates count in order while the
-    readings hidden so far are below the target (the last may overshoot).
-    Returns (segment, slot) of the hidden readings.
+    Candidate runs 1, 2, 3 ... are drawn per segment; a reading belongs to the first candidate that covers it; candidates
+    count in order while the readings hidden so far are below the target (the last may overshoot). No run shorter than the
+    segment covers its last slot, so the target is at most the readings that some candidate can cover, and is always met.
+    The first round draws as many candidates as the target should need; segments that fall short draw four times as many
+    in the next. Returns (segment, slot) of the hidden readings.
     """
     inside = labelled.where(F.col("segment").isNotNull())
-    seg = inside.groupBy("segment").agg(F.min(slot).alias("_a"), F.count(F.lit(1)).alias("_n"),
-                                        F.bround(F.count(value) * pct / 100).cast("long").alias("_target")).where("_target > 0")
     # the pool has at most `longest gap` rows: read once and written into the plan as a list
     lengths = sorted((int(r["length"]), int(r["n"])) for r in pool.collect()) or [(1, 1)]
-    seg = seg.select("*", F.explode(F.sequence(F.lit(1), F.lit(tries))).alias("_i"))
-    cand = seg.withColumn("_md5", draw_key(seed, "segment", "_i"))
+    longest, mean = lengths[-1][0], sum(k * n for k, n in lengths) / sum(n for _, n in lengths)
+    seg = inside.groupBy("segment").agg(F.min(slot).alias("_a"), F.count(F.lit(1)).alias("_n"), F.count(value).alias("_known"),
+                                        F.max(F.struct(slot, F.col(value).isNotNull().cast("long").alias("known"))).alias("_end"))
+    reach = F.col("_known") - F.when(F.col("_n") > longest, F.col("_end.known")).otherwise(0)
+    target = F.least(F.bround(F.col("_known") * pct / 100).cast("long"), reach)
+    todo = materialise(seg.select("segment", "_a", "_n", target.alias("_target")).where("_target > 0"), "mask-segments")
+    obs = inside.where(F.col(value).isNotNull()).select("segment", slot)
+    # a random place is hit once with probability 1 - 1/e by as many places as there are: twice the target's share is ample mostly
+    tries = F.ceil(F.lit(2 * pct / 100 / mean) * F.col("_n")) + 16
+    hidden: list[DataFrame] = []
+    while True:
+        got = materialise(_first_runs(todo.withColumn("_tries", tries), obs, lengths, seed, slot), "mask-round")
+        hidden.append(got.select("segment", slot))
+        met = got.groupBy("segment", "_target").agg(F.count(F.lit(1)).alias("_got")).where("_got >= _target")
+        todo = materialise(todo.join(met, "segment", "left_anti"), "mask-segments")
+        if todo.isEmpty():
+            break
+        hidden[-1] = hidden[-1].join(todo.select("segment"), "segment", "left_anti")
+        tries = tries * 4
+    return functools.reduce(DataFrame.unionByName, hidden)
+
+
+def _first_runs(seg: DataFrame, obs: DataFrame, lengths: list[tuple[int, int]], seed: str | int, slot: str) -> DataFrame:
+    """Readings (segment, _target, slot) that the candidates 1 ... _tries hide before the target is met."""
+    from pyspark.sql import Window as W
+
+    blocks = seg.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_tries") - 1) / 1024))).alias("_b"))
+    cand = blocks.select("*", F.explode(F.sequence(F.col("_b") * 1024 + 1, F.least(F.col("_tries"), F.col("_b") * 1024 + 1024))).alias("_i"))
+    cand = cand.withColumn("_md5", draw_key(seed, "segment", "_i"))
     pick = F.pmod(hex_number(F.col("_md5")), F.lit(sum(n for _, n in lengths)))
     length, upto = F.lit(lengths[-1][0]), sum(n for _, n in lengths)
     for size, n in reversed(lengths):
@@ -61,16 +88,11 @@ def block_mask(labelled: DataFrame, pool: DataFrame, seed: str | int, *, pct: in
     start = F.pmod(hex_number(F.substring("_md5", 9, 8)), F.greatest(F.lit(1), F.col("_n") - F.col("_len")))
     spans = cand.select("segment", "_target", "_i", F.explode(F.sequence(
         F.col("_a") + start, F.col("_a") + F.least(start + F.col("_len"), F.col("_n")) - 1)).alias(slot))
-    first = spans.groupBy("segment", "_target", slot).agg(F.min("_i").alias("_i"))
-    obs = inside.where(F.col(value).isNotNull()).select("segment", slot)
-    first = obs.join(first, ["segment", slot])
-    # readings hidden before each candidate; candidates per segment are at most `tries`
-    from pyspark.sql import Window as W
-
+    first = obs.join(spans.groupBy("segment", "_target", slot).agg(F.min("_i").alias("_i")), ["segment", slot])
     new = first.groupBy("segment", "_target", "_i").agg(F.count(F.lit(1)).alias("_new"))
     w = W.partitionBy("segment").orderBy("_i").rowsBetween(W.unboundedPreceding, -1)
     kept = new.withColumn("_before", F.coalesce(F.sum("_new").over(w), F.lit(0))).where(F.col("_before") < F.col("_target"))
-    return first.join(kept.select("segment", "_i"), ["segment", "_i"], "left_semi").select("segment", slot)
+    return first.join(kept.select("segment", "_i"), ["segment", "_i"], "left_semi").select("segment", "_target", slot)
 
 
 def stratified_draw(units: DataFrame, strata: Sequence[str], share: float, seed: str | int, unit: str = "pid") -> DataFrame:

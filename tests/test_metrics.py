@@ -111,8 +111,8 @@ def test_usability_notes(spark):
     last = spark.createDataFrame([("a", "t", 10.0, 0, 0, 1.0), ("b", "t", 5000.0, 0, 0, 0.0), ("c", "t", 9.0, 0, 2, 0.0), ("d", "t", 8.0, 0, 0, 6.0)],
                                  "model string, test string, mae double, n_nonfinite int, n_nonpositive int, pct_above double")
     out = {r.model: (r.usable, r.note, r.mae) for r in ledger.usability(spine, last, ["model", "test"]).collect()}
-    assert out == {"a": (True, "", 10.0), "b": (False, "gave impossible values", None), "c": (False, "gave non-positive values", None),
-                   "d": (False, "gave values above the maximum", None), "e": (False, "did not finish", None)}
+    assert out == {"a": (True, "", 10.0), "b": (False, "not_finite_or_huge", None), "c": (False, "zero_or_less", None),
+                   "d": (False, "too_high", None), "e": (False, "absent", None)}
 
 
 def test_correlations_on_complete_pairs(spark):

@@ -157,7 +157,7 @@ def test_random_mask_counts(spark, labelled):
 def test_block_mask_invariants(spark, labelled):
     pool = sampling.run_pool(labelled)
     assert {r.length for r in pool.collect()} <= {1, 2}
-    m = sampling.block_mask(labelled, pool, 5, pct=20, tries=1000)
+    m = sampling.block_mask(labelled, pool, 5, pct=20)
     assert m.count() == m.distinct().count()
     assert m.join(labelled.where("hrv is null"), ["segment", "slot"]).count() == 0
     hit = {r.segment: r["count"] for r in m.groupBy("segment").count().collect()}
@@ -166,6 +166,17 @@ def test_block_mask_invariants(spark, labelled):
         assert target <= hit.get(r.segment, 0) < target + 2  # the last run may overshoot by less than its length
 
 
+def test_block_mask_meets_the_target_of_a_long_segment_and_ends_where_no_run_reaches(spark):
+    rows = spark.range(6000).select(F.lit("s").alias("segment"), F.col("id").alias("slot"), F.lit(1.0).alias("hrv"))
+    small = spark.createDataFrame([("t", i, 1.0) for i in range(5)], "segment string, slot long, hrv double")
+    pool = spark.createDataFrame([(1, 3), (2, 1)], "length long, n long")
+    m = sampling.block_mask(rows.unionByName(small), pool, 1, pct=20)
+    n = {r.segment: r["count"] for r in m.groupBy("segment").count().collect()}
+    assert 1200 <= n["s"] <= 1201 and 1 <= n["t"] <= 2
+    every = sampling.block_mask(small, pool, 1, pct=100)
+    assert sorted(r.slot for r in every.collect()) == [0, 1, 2, 3]  # a run starts before the last slot but one, so it never covers the last
+
+
 def test_stratified_draw_and_parts(spark):
     u = spark.range(101).select(F.col("id").alias("pid"), (F.col("id") % 3).alias("grp"), (F.col("id") % 2).alias("pos"))
     d = sampling.stratified_draw(u, ["grp", "pos"], 0.3, 1)
