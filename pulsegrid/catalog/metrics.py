@@ -155,25 +155,35 @@ def d47(spark, sf):
 
 
 BOOT = S.SCORED + """, un as (select distinct pid from scored), pl as (select pid, row_number() over (order by md5('9|' || cast(pid as varchar))) as place, count(*) over () as tot from un),
- dr as (select r.replicate, ('0x' || substr(md5('9|' || cast(r.replicate as varchar) || '|' || cast(place as varchar)), 1, 8))::bigint % tot + 1 as place from pl, (select unnest(range(1, 13)) as replicate) r),
+ dr as (select r.replicate, ('0x' || substr(md5('9|' || cast(r.replicate as varchar) || '|' || cast(place as varchar)), 1, 8))::bigint % tot + 1 as place
+  from pl, (select unnest(range(1, 1001)) as replicate) r),
  wt as (select replicate, place, count(*) as w from dr group by 1, 2), bw as (select replicate, pid, w from wt join pl on pl.place = wt.place),
- x as (select replicate, s.*, w, unnest(range(0, w)) as rep from scored s join bw on bw.pid = s.pid),
- rk as (select *, rank() over (partition by replicate order by score) + (count(*) over (partition by replicate, score) - 1) / 2.0 as r from x),
- bt as (select replicate, (sum(r) filter (label = 1) - sum(label) * (sum(label) + 1) / 2.0) / nullif(sum(label) * (count(*) - sum(label)), 0) as auroc, count(*) filter (label = 1 and score >= 0.5) / sum(label) as sensitivity from rk group by 1),
- ev as (select replicate, pid, rep, event, max(case when score >= 0.5 then 1 else 0 end) as hit from x where label = 1 group by 1, 2, 3, 4), es as (select replicate, avg(hit) as event_sensitivity from ev group by 1)"""
+ bd as (select replicate, score, sum(label * w) as p, sum(w) as c, sum(w * pow(score - label, 2)) as q from scored s join bw on bw.pid = s.pid group by 1, 2),
+ cu as (select *, c - p as n, sum(p) over dn as tp, sum(c) over dn as fl, sum(c - p) over up as below, sum(p) over al as pos, sum(c - p) over al as neg from bd
+  window dn as (partition by replicate order by score desc), up as (partition by replicate order by score), al as (partition by replicate)),
+ bt as (select replicate, sum(p * (below - n / 2.0)) / nullif(max(pos) * max(neg), 0) as auroc, sum(p / nullif(pos, 0) * tp / fl) as auprc,
+  coalesce(sum(p) filter (score >= 0.5), 0) / nullif(max(pos), 0) as sensitivity, coalesce(sum(n) filter (score < 0.5), 0) / nullif(max(neg), 0) as specificity,
+  coalesce(sum(p) filter (score >= 0.5), 0) / nullif(sum(c) filter (score >= 0.5), 0) as ppv, sum(q) / sum(c) as brier,
+  30.0 * coalesce(sum(n) filter (score >= 0.5), 0) / nullif(max(neg), 0) as false_alarms_per_30 from cu group by 1),
+ ev as (select pid, event, max(case when score >= 0.5 then 1 else 0 end) as hit from scored where label = 1 group by 1, 2),
+ es as (select replicate, sum(w * hit) / sum(w) as event_sensitivity from ev join bw on bw.pid = ev.pid group by 1)"""
 
+_EIGHT = ", ".join(metrics.INTERVALS)
+_BOUNDS = ", ".join(f"quantile_cont({c}, {q}) as {c}_{end}" for c in metrics.INTERVALS for q, end in ((0.025, "lo"), (0.975, "hi")))
 
-@query("d48_bootstrap", "replicate:l auroc:f sensitivity:f event_sensitivity:f", f"with {BOOT} select bt.replicate, auroc, sensitivity, event_sensitivity from bt join es on es.replicate = bt.replicate")
+
+@query("d48_bootstrap", "replicate:l " + " ".join(f"{c}:f" for c in metrics.INTERVALS), f"with {BOOT} select bt.replicate, {_EIGHT} from bt left join es on es.replicate = bt.replicate")
 def d48(spark, sf):
-    return metrics.bootstrap(S.scored_days(spark, sf), 12, 9)
+    return metrics.bootstrap(S.scored_days(spark, sf), 9)
 
 
-@query("d48_bootstrap_interval", "auroc_lo:f auroc_hi:f sensitivity_lo:f sensitivity_hi:f", f"with {BOOT} select quantile_cont(auroc, 0.025) as auroc_lo, quantile_cont(auroc, 0.975) as auroc_hi, quantile_cont(sensitivity, 0.025) as sensitivity_lo, quantile_cont(sensitivity, 0.975) as sensitivity_hi from bt")
+@query("d48_bootstrap_interval", " ".join(f"{c}_{end}:f" for c in metrics.INTERVALS for end in ("lo", "hi")),
+       f"with {BOOT} select {_BOUNDS} from bt left join es on es.replicate = bt.replicate")
 def d48b(spark, sf):
-    return metrics.interval(metrics.bootstrap(S.scored_days(spark, sf), 12, 9), [], ["auroc", "sensitivity"])
+    return metrics.interval(metrics.bootstrap(S.scored_days(spark, sf), 9), [])
 
 
-PERM = S.SCORED + """, pr as (select permutation, score, case when row_number() over (partition by permutation order by md5('5|' || cast(permutation as varchar) || '|' || cast(pid as varchar) || '|' || cast(d as varchar))) <= (select sum(label) from scored) then 1 else 0 end as label from scored, (select unnest(range(1, 9)) as permutation) p),
+PERM = S.SCORED + """, pr as (select permutation, score, case when row_number() over (partition by permutation order by md5('5|' || cast(permutation as varchar) || '|' || cast(pid as varchar) || '|' || cast(d as varchar))) <= (select sum(label) from scored) then 1 else 0 end as label from scored, (select unnest(range(1, 201)) as permutation) p),
  rk as (select *, rank() over (partition by permutation order by score) + (count(*) over (partition by permutation, score) - 1) / 2.0 as r from pr),
  nu as (select permutation, (sum(r) filter (label = 1) - sum(label) * (sum(label) + 1) / 2.0) / (sum(label) * (count(*) - sum(label))) as auroc from rk group by 1),
  ob0 as (select *, rank() over (order by score) + (count(*) over (partition by score) - 1) / 2.0 as r from scored), ob as (select (sum(r) filter (label = 1) - sum(label) * (sum(label) + 1) / 2.0) / (sum(label) * (count(*) - sum(label))) as o from ob0)"""
@@ -181,7 +191,7 @@ PERM = S.SCORED + """, pr as (select permutation, score, case when row_number()
 
 @query("d49_permutation_test", "observed:f null_mean:f null_p95:f p_value:f permutations:l", f"with {PERM} select max(o) as observed, avg(auroc) as null_mean, quantile_cont(auroc, 0.95) as null_p95, avg(case when auroc >= o then 1.0 else 0 end) as p_value, count(*) as permutations from nu, ob")
 def d49(spark, sf):
-    return metrics.permutation_test(S.scored_days(spark, sf), 8, 5, ["pid", "date"])
+    return metrics.permutation_test(S.scored_days(spark, sf), 5, ["pid", "date"])
 
 
 FOLDS = """un as (select pid, min(grp) as grp, max(label) as pos from scored group by 1), ux as (select *, pid % 2 as cls from un),

@@ -131,7 +131,7 @@ def resample_weights(units: DataFrame, replicates: int, seed: str | int, unit: s
     return counts.join(u.select(unit, "_place"), "_place").select("replicate", unit, "w")
 
 
-def bootstrap(rows: DataFrame, replicates: int, seed: str | int, threshold: float = 0.5, unit: str = "pid") -> DataFrame:
+def bootstrap(rows: DataFrame, seed: str | int, replicates: int = 1000, threshold: float = 0.5, unit: str = "pid") -> DataFrame:
     """Scores of every replicate; a unit's days stay together and a unit drawn twice brings its events twice.
 
     Days are merged to (unit, score) and events to counts per unit before the
@@ -150,7 +150,11 @@ def bootstrap(rows: DataFrame, replicates: int, seed: str | int, threshold: floa
     return s.join(ev, "replicate", "left")
 
 
-def interval(replicates: DataFrame, keys: Sequence[str], scores: Sequence[str], low: float = 0.025, high: float = 0.975) -> DataFrame:
+INTERVALS = ("auroc", "auprc", "sensitivity", "specificity", "ppv", "brier", "event_sensitivity", "false_alarms_per_30")
+"""The scores that get an interval."""
+
+
+def interval(replicates: DataFrame, keys: Sequence[str], scores: Sequence[str] = INTERVALS, low: float = 0.025, high: float = 0.975) -> DataFrame:
     """Percentile interval per score; a key's group has one row per replicate."""
     return replicates.groupBy(*keys).agg(
         *[F.percentile(s, F.lit(low)).alias(f"{s}_lo") for s in scores], *[F.percentile(s, F.lit(high)).alias(f"{s}_hi") for s in scores])
@@ -167,7 +171,7 @@ def permuted_auroc(rows: DataFrame, permutations: int, seed: str | int, unit: Se
     return detection_scores(r, ["permutation"]).select("permutation", "auroc")
 
 
-def permutation_test(rows: DataFrame, permutations: int, seed: str | int, unit: Sequence[str]) -> DataFrame:
+def permutation_test(rows: DataFrame, seed: str | int, unit: Sequence[str], permutations: int = 200) -> DataFrame:
     observed = detection_scores(rows, []).select("auroc")
     null = permuted_auroc(rows, permutations, seed, unit).withColumn("_obs", observed.scalar())
     return null.agg(F.max("_obs").alias("observed"), F.avg("auroc").alias("null_mean"), F.percentile("auroc", F.lit(0.95)).alias("null_p95"),

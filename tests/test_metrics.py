@@ -73,7 +73,7 @@ def test_bootstrap_equals_scoring_the_repeated_rows(spark):
     r = random.Random(5)
     rows = [(p, r.randint(0, 1), r.randint(0, 4) / 4, f"{p}_{i % 2}") for p in range(9) for i in range(6)]
     d = spark.createDataFrame(rows, "pid long, label int, score double, event string")
-    got = {b.replicate: b for b in metrics.bootstrap(d, 4, "s").collect()}
+    got = {b.replicate: b for b in metrics.bootstrap(d, "s", 4).collect()}
     w = metrics.resample_weights(d, 4, "s").collect()
     for rep, b in got.items():
         mult = {x.pid: x.w for x in w if x.replicate == rep}
@@ -89,7 +89,7 @@ def test_bootstrap_equals_scoring_the_repeated_rows(spark):
 
 def test_permuting_a_constant_score_gives_one_half(spark):
     d = frame(spark, [1, 0, 0, 1, 0], [0.4] * 5, pid=[1, 2, 3, 4, 5])
-    r = metrics.permutation_test(d, 5, "s", ["pid"]).first()
+    r = metrics.permutation_test(d, "s", ["pid"], 5).first()
     assert (r.observed, r.null_mean, r.p_value, r.permutations) == (0.5, 0.5, 1.0, 5)
 
 
