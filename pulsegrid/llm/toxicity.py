@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from pulsegrid.llm.common import held_out, map_arrow, table, utf8
 from pulsegrid.sources.stage import materialise
@@ -295,13 +295,16 @@ def with_scores(docs: DataFrame, grammar: Grammar, text: str = "text") -> DataFr
         return pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array([grammar.score_of(m) for m in found], pa.float64()),
                                            pa.array([sum(m.values()) for m in found], pa.int32())], names=[*names, "_score", "_clauses"])
 
-    schema = docs.schema.add("_score", DoubleType()).add("_clauses", IntegerType())
+    schema = StructType([*docs.schema.fields, StructField("_score", DoubleType()), StructField("_clauses", IntegerType())])
     return map_arrow(docs.select("*", F.col(text).cast("string").cast("binary").alias("_bytes")), run, schema, text="_bytes")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of `docs` that score below `threshold`."""
-    return with_scores(docs, learn(docs, labels, doc_id, text), text).where(F.col("_score") < threshold).drop("_score", "_clauses")
+    """The rows of `docs`, all columns, that score below `threshold`. Columns of any name are carried."""
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    scored = with_scores(plain, learn(docs.select(doc_id, text), labels, doc_id, text), f"c{names.index(text)}")
+    return scored.where(F.col("_score") < threshold).drop("_score", "_clauses").toDF(*names)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
