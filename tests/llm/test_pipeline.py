@@ -4,7 +4,7 @@ import numpy as np
 import public_tokenizers
 
 import corpus_pipeline
-from tests.llm.test_operators import WORD, brute_components, brute_fingerprint, words
+from .test_operators import WORD, brute_components, brute_fingerprint, words
 
 SCHEMA = "doc_id long, source string, lang string, text string, n_chars int, _score string, fp long, _text string, n long"
 
