@@ -23,12 +23,14 @@ INNER = bytes(range(0x80, 0xC0))
 
 @dataclass(frozen=True)
 class Limits:
-    """Shares above which a text is refused. Twice the limits published for long web pages, by n-gram length, so that a
-    text of sixty words stays if it says one line twice."""
-
-    duplicate_ngrams: dict[int, float] = field(default_factory=lambda: {5: 0.30, 6: 0.28, 7: 0.26, 8: 0.24, 9: 0.22, 10: 0.20})
-    duplicate_lines: float = 0.50
-    duplicate_line_chars: float = 0.30
+    """Shares above which a text is refused: the limits published for web text, by n-gram length. They are made for long pages: in
+    a text of under `short_words` words one repetition of at most `one_repeat` words is not held against it."""
+
+    duplicate_ngrams: dict[int, float] = field(default_factory=lambda: {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10})
+    duplicate_lines: float = 0.30
+    duplicate_line_chars: float = 0.20
+    short_words: int = 300
+    one_repeat: int = 20
     min_words: int = 50
     max_repeat_percent: int = 50
 
@@ -37,6 +39,16 @@ def characters(b: bytes) -> int:
     return len(b.translate(None, INNER))
 
 
+def but_one(again: np.ndarray, first: np.ndarray, k: int, most: int) -> np.ndarray:
+    """The windows of k words seen `again`, without those of the longest passage of at most `most` words that repeats an earlier one."""
+    at = np.flatnonzero(again)
+    ends = np.flatnonzero((np.diff(at) != 1) | (np.diff(first[at]) != 1))
+    begins, ends = np.concatenate([[0], ends + 1]), np.concatenate([ends + 1, [len(at)]])
+    sizes = np.where(ends - begins + k - 1 <= most, ends - begins, 0)
+    x = int(sizes.argmax())
+    return np.delete(at, np.s_[begins[x]:ends[x]]) if sizes[x] else at
+
+
 def measure(text: bytes, limits: Limits) -> tuple:
     words = text.split()
     n = len(words)
@@ -44,11 +56,15 @@ def measure(text: bytes, limits: Limits) -> tuple:
     n_symbols = len(text) - len(text.translate(None, SYMBOLS))
     lines = [x for x in text.split(b"\n") if x.strip(SPACE)]
     seen: set[bytes] = set()
-    n_dup, dup_chars = 0, 0
+    n_dup, dup_chars, spared = 0, 0, 0
+    short = n < limits.short_words
     for x in lines:
         if x in seen:
             n_dup += 1
-            dup_chars += characters(x.translate(None, SPACE))
+            size = characters(x.translate(None, SPACE))
+            dup_chars += size
+            if short and size > spared and len(x.split()) <= limits.one_repeat:
+                spared = size
         seen.add(x)
     h = word_hashes(words)
     g = window_hashes(h, 3)
@@ -58,16 +74,19 @@ def measure(text: bytes, limits: Limits) -> tuple:
         n_repeat = int(covered(n, np.flatnonzero(times[back] > 1), 3).sum())
     failed = n < limits.min_words or 100 * n_repeat > limits.max_repeat_percent * n
     sizes = np.fromiter((characters(w) for w in words), dtype=np.int64, count=n) if n_repeat else np.zeros(n, dtype=np.int64)
-    shares = {}
+    shares, held = {}, {}
     for k in limits.duplicate_ngrams:
         # an n-gram of three or more words that repeats holds three-word windows that repeat
         g = window_hashes(h, k) if n_repeat else np.empty(0, dtype=np.uint64)
         again = np.ones(len(g), dtype=bool)
-        again[np.unique(g, return_index=True)[1]] = False
-        shares[k] = int(sizes[covered(n, np.flatnonzero(again), k)].sum()) / word_chars if again.any() else 0.0
-    line_share, line_chars = n_dup / max(1, len(lines)), dup_chars / max(1, word_chars)
-    repetitive = line_share > limits.duplicate_lines or line_chars > limits.duplicate_line_chars or any(
-        shares[k] > most for k, most in limits.duplicate_ngrams.items())
+        _, first, back = np.unique(g, return_index=True, return_inverse=True) if short else (*np.unique(g, return_index=True), None)
+        again[first] = False
+        shares[k] = held[k] = int(sizes[covered(n, np.flatnonzero(again), k)].sum()) / word_chars if again.any() else 0.0
+        if short and shares[k]:
+            held[k] = int(sizes[covered(n, but_one(again, first[back], k, limits.one_repeat), k)].sum()) / word_chars
+    line_chars = dup_chars / max(1, word_chars)
+    repetitive = (n_dup - bool(spared)) / max(1, len(lines)) > limits.duplicate_lines or (dup_chars - spared) / max(1, word_chars) > limits.duplicate_line_chars or any(
+        held[k] > most for k, most in limits.duplicate_ngrams.items())
     return n, word_chars, n_symbols, n_dup, n_repeat, failed, not failed and not repetitive, line_chars, max(shares.values(), default=0.0)
 
 
@@ -76,7 +95,8 @@ COLUMNS = ("n_words long", "word_chars long", "n_symbols long", "n_dup_lines lon
 
 
 def repetition_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", limits: Limits | None = None) -> DataFrame:
-    """One row per row of `docs`: the counts, the base rule and the verdict. `kept` is false if the base rule failed or a repetition limit is passed.
+    """One row per row of `docs`: the counts, the base rule and the verdict. `kept` is false if the base rule failed or a repetition limit is passed;
+    the shares are those of all repetitions, also of the one that a short text is forgiven.
 
     Null and empty texts have no words: all counts are 0, shares 0, the base rule fails. Texts of any length are measured whole.
     Repeated rows come back as often; an empty table gives none; a null doc_id stays null. Other columns are not read.

@@ -138,6 +138,19 @@ def test_repetition_is_measured():
     assert not quality_rules.measure("\n".join([words(40, 8), line, words(5, 7), line, line]).encode(), limits)[6]
 
 
+def test_repetitive_long_texts_are_refused_and_short_ones_forgiven_one_line():
+    kept = lambda t: quality_rules.measure(t.encode(), quality_rules.Limits())[6]
+    few, ten, line = [words(6, 100 + i) for i in range(30)], [words(10, 200 + i) for i in range(25)], words(12, 9)
+    assert kept(words(1000, 8))
+    assert not kept(" ".join([words(445, 8), *few, words(110, 7), *(x + " " + words(1, i) for i, x in enumerate(few))]))  # a fifth in 5-grams
+    assert not kept(" ".join([words(1000, 8), *ten, *(x + " " + words(1, i) for i, x in enumerate(ten))]))  # 10-grams
+    lines = [words(2, i) for i in range(12)]
+    assert not kept("\n".join([words(30, 500 + i) for i in range(15)] + lines + lines))  # lines: 12 of 39
+    assert kept("\n".join([words(40, 8), line, words(10, 7), line]))
+    assert not kept("\n".join([words(40, 8), line, words(10, 7), line, line])) and not kept("\n".join([words(90, 8), words(30, 5), words(9, 7), words(30, 5)]))
+    assert not kept("\n".join([words(300, 8), words(45, 5), words(9, 7), words(45, 5)]))
+
+
 def test_packing(docs, texts, empty):
     from tokenizers import Tokenizer
 
