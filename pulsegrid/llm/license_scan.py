@@ -1,9 +1,8 @@
 """License scan: TF-IDF cosine of notices to templates, then inheritance from the nearest ancestor directory.
 
-Built-in functions only. A file's sections are its lines, and for a licence file also the whole text. Inverse document frequencies
-are counted over the sections of all files. Only terms of the templates can add to a cosine, so sections are kept sparse: the
-weight of their template terms against their whole weight is an upper bound of every cosine, and the sections that
-pass it are joined with the templates term by term.
+Built-in functions only. A file's sections are its lines, and for a licence file also the whole text. The document frequency of every
+term is counted over the lines of all files. Of each template the rarest terms are anchors: what the others weigh cannot reach
+the least cosine, so only sections with an anchor are compared, exactly, by joins on their terms.
 """
 
 from __future__ import annotations
@@ -45,47 +44,64 @@ def directory(path: Column) -> Column:
     return F.regexp_replace(path, r"/?[^/]*$", "")
 
 
-def sections(files: DataFrame, path: str, text: str) -> DataFrame:
-    """(_path, words): the sections that have a term."""
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    parts = F.when(F.col(path).rlike(LICENCE_FILE), F.array_append(F.split(body, "\n"), body)).otherwise(F.split(body, "\n"))
+def lines_of(files: DataFrame, path: str, text: str) -> DataFrame:
+    """(_path, lines): the terms of every line that has one, in order."""
+    body = F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), "\n")
+    lines = F.filter(F.transform(body, terms), lambda x: F.size(x) > 0)
     # split inside the generator: what stands above it reads the words instead of splitting anew
-    return files.select(F.col(path).alias("_path"), F.explode(F.transform(parts, terms)).alias("words")).where(F.size("words") > 0)
+    return files.select(F.col(path).alias("_path"), F.explode(F.array(lines)).alias("lines"))
+
+
+def term_counts(lines: DataFrame) -> DataFrame:
+    """(term, n): in how many lines a term stands, for every term; the term "" counts the lines."""
+    line = lines.select(F.explode("lines").alias("words"))
+    return line.select(F.explode(F.array_append(F.array_distinct("words"), F.lit(""))).alias("term")).groupBy("term").agg(F.count("term").alias("n"))
+
+
+def needed(words: dict[str, float], df: dict[str, int], least: float) -> set[str]:
+    """Terms of a unit vector of which a section of cosine `least` holds one: what the others weigh is too little."""
+    rest, out = 1.0, set()
+    for w in sorted(words, key=lambda w: (df.get(w, 0), w)):
+        if rest < least ** 2 - 1e-9:
+            break
+        rest -= words[w] ** 2
+        out.add(w)
+    return out
+
+
+def sections(lines: DataFrame, anchors: list[str]) -> DataFrame:
+    """(_path, section, words): the lines that hold an anchor; of a licence file that holds one also the whole text."""
+    known = F.array(*[F.lit(w) for w in anchors]).cast("array<string>")
+    close = F.filter("lines", lambda x: F.arrays_overlap(x, known))
+    found = lines.select("_path", "lines", F.explode(F.array(close)).alias("close")).where(F.size("close") > 0)
+    parts = F.when(F.col("_path").rlike(LICENCE_FILE), F.array_append(F.col("close"), F.flatten("lines"))).otherwise(F.col("close"))
+    return found.select("_path", F.explode(parts).alias("words")).withColumn("section", F.monotonically_increasing_id())
 
 
 def own_licenses(files: DataFrame, path: str, text: str, templates: dict[str, str], least: float) -> DataFrame:
     """(_path, own_license, similarity) of the files that hold a notice."""
     spark = files.sparkSession
     words = {t: re.findall(r"[^\W_]+", x.lower()) for t, x in templates.items()}
-    vocabulary = sorted({w for ws in words.values() for w in ws})
-    known = F.array(*[F.lit(w) for w in vocabulary])
-    rows = sections(files, path, text)
-    counts = rows.agg(F.count("words").alias("n")).first()["n"]
-    seen = rows.select(F.explode(F.array_intersect("words", known)).alias("term")).groupBy("term").agg(F.count("term").alias("n"))
-    df = {r["term"]: r["n"] for r in seen.collect()}  # at most one row per term of the templates
-    weight = {w: float(_idf(counts, df.get(w, 0))) for w in vocabulary}
-    rare = float(_idf(counts, 1))
-    table_ = F.create_map(*[F.lit(x) for w in vocabulary for x in (w, weight[w])])
-
-    # a term's weight is tf * idf; a term of no template weighs as one that a single section has
-    tf = lambda w: F.size(F.filter("words", lambda x: x == w))
-    vector = F.transform(F.array_intersect("words", known), lambda w: F.struct(w.alias("term"), tf(w).alias("tf"), (tf(w) * F.element_at(table_, w)).alias("w")))
-    inside = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x["w"] * x["w"])
-    outside = F.size("words") - F.aggregate("vector", F.lit(0), lambda a, x: a + x["tf"])
-    others = F.aggregate(F.array_except("words", known), F.lit(0.0), lambda a, w: a + F.pow(tf(w) * F.lit(rare), F.lit(2.0)))
-    close = rows.where(F.arrays_overlap("words", known)).select("_path", "words", F.explode(F.array(vector)).alias("vector"))
-    # each word outside the templates adds at least rare ** 2
-    close = close.where(inside >= least ** 2 * (inside + outside * F.lit(rare ** 2)) - 1e-12)
-    close = close.select("_path", "vector", (inside + others).alias("norm2"), F.monotonically_increasing_id().alias("section"))
-    close = materialise(close, "license-sections")
-    rows_ = []
+    lines = lines_of(files, path, text)
+    counts = materialise(term_counts(lines), "license-terms")
+    vocabulary = spark.createDataFrame([(w,) for w in sorted({"", *(w for ws in words.values() for w in ws)})], "term string")
+    df = {r["term"]: r["n"] for r in counts.join(F.broadcast(vocabulary), "term").collect()}  # at most one row per term of the templates
+    n = df.pop("", 0)
+    rows, anchors = [], set()
     for t, ws in words.items():
-        v = {w: ws.count(w) * weight[w] for w in ws}
+        v = {w: ws.count(w) * _idf(n, df.get(w, 0)) for w in ws}
         norm = sum(x * x for x in v.values()) ** 0.5
-        rows_ += [(t, w, x / norm) for w, x in v.items()]
-    unit = spark.createDataFrame(rows_, "template string, term string, u double")
-    dots = close.select("_path", "section", "norm2", F.explode("vector").alias("x")).select("_path", "section", "norm2", "x.term", "x.w").join(F.broadcast(unit), "term")
-    cosines = dots.groupBy("_path", "section", "norm2", "template").agg((F.sum(F.col("w") * F.col("u"))).alias("dot"))
+        unit = {w: x / norm for w, x in v.items()}
+        anchors |= needed(unit, df, least)
+        rows += [(t, w, x) for w, x in unit.items()]
+    unit = spark.createDataFrame(rows, "template string, term string, u double")
+    close = materialise(sections(lines, sorted(anchors & set(df))), "license-sections")
+    tf = close.select("_path", "section", F.explode("words").alias("term")).groupBy("_path", "section", "term").agg(F.count("term").alias("tf"))
+    idf = F.log(F.lit(1.0 + n) / (1 + F.col("n"))) + 1
+    weights = materialise(tf.join(counts, "term").select("_path", "section", "term", (F.col("tf") * idf).alias("w")), "license-weights")
+    norms = weights.groupBy("section").agg(F.sum(F.col("w") * F.col("w")).alias("norm2"))
+    dots = weights.join(F.broadcast(unit), "term").groupBy("_path", "section", "template").agg(F.sum(F.col("w") * F.col("u")).alias("dot"))
+    cosines = dots.where(F.col("dot") > 0).join(norms, "section")
     cosines = cosines.select("_path", "template", F.least(F.lit(1.0), F.round(F.col("dot") / F.sqrt("norm2"), 9)).alias("similarity")).where(F.col("similarity") >= least)
     rank = F.struct(F.col("similarity"), F.lit(-1) * F.element_at(F.create_map(*[F.lit(x) for i, t in enumerate(words) for x in (t, i)]), F.col("template")))
     return cosines.groupBy("_path").agg(F.max_by("template", rank).alias("own_license"), F.max("similarity").alias("similarity"))

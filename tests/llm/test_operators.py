@@ -270,3 +270,17 @@ def test_licenses(spark):
     want = [("LICENSE", "MIT", "MIT", None), ("a/LICENSE.txt", None, "MIT", ""), ("a/x.py", None, "MIT", ""), ("a/b/COPYING", "GPL-3.0", "GPL-3.0", None), ("a/b/c/d.py", None, "GPL-3.0", "a/b"),
             ("a/b/c/e.py", "MIT", "MIT", None), ("z.py", None, "MIT", ""), (None, None, None, None), ("a/b/c/d.py", None, "GPL-3.0", "a/b")]
     assert got == sorted(map(repr, want))
+
+
+def test_license_similarity_is_the_cosine_with_counted_frequencies(spark):
+    gpl = license_scan.TEMPLATES["GPL-3.0"]
+    notice = "this is one of the files in this work: " + gpl
+    rows = [("x.py", notice + "\n" + words(5, 1)), *((f"{i}.txt", "this is one of the lines in the files\n" + words(9, i)) for i in range(60))]
+    split = lambda t: re.findall(r"[^\W_]+", t.lower())
+    lines = [split(x) for _, t in rows for x in t.split("\n")]
+    idf = lambda w: np.log((1 + len(lines)) / (1 + sum(w in x for x in lines))) + 1
+    a, b = ({w: n * idf(w) for w, n in Counter(split(t)).items()} for t in (notice, gpl))
+    want = sum(x * b.get(w, 0) for w, x in a.items()) / (sum(x * x for x in a.values()) * sum(x * x for x in b.values())) ** 0.5
+    got = {r.path: r for r in license_scan.license_scan(spark.createDataFrame(rows, "path string, text string"), templates=license_scan.TEMPLATES).collect()}
+    assert want > 0.7 and got["x.py"].own_license == "GPL-3.0" and abs(got["x.py"].similarity - want) < 1e-6
+    assert all(r.own_license is None for p, r in got.items() if p != "x.py")
