@@ -1,8 +1,9 @@
 """License scan: TF-IDF cosine of notices to templates, then inheritance from the nearest ancestor directory.
 
-Built-in functions only. A file's sections are its lines, and for a licence file also the whole text. The document frequency of every
+Built-in functions only. A file's sections are its lines, windows of joined neighbouring lines, and the whole text. The document frequency of every
 term is counted over the lines of all files. Of each template the rarest terms are anchors: what the others weigh cannot reach
-the least cosine, so only sections with an anchor are compared, exactly, by joins on their terms.
+the least cosine, so only sections with an anchor are compared, exactly, by joins on their terms. The
+bundled full texts, whose weight lies in words of all prose, add no anchors: they are compared with sections that hold one of a title or header.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.common import table
+from pulsegrid.llm.licence_templates import more
 from pulsegrid.sources.stage import materialise
 
 # How the licences are announced.
@@ -32,6 +34,8 @@ TEMPLATES = {
 }
 
 LEAST_COSINE = 0.7
+WINDOWS = (1, 2, 3, 4, 6, 8, 12, 16, 24)
+"""Lines that are joined to one section."""
 LICENCE_FILE = r"(?i)(?:^|/)(?:licen[sc]e|copying)[^/]*$"
 
 
@@ -70,41 +74,59 @@ def needed(words: dict[str, float], df: dict[str, int], least: float) -> set[str
 
 
 def sections(lines: DataFrame, anchors: list[str]) -> DataFrame:
-    """(_path, section, words): the lines that hold an anchor; of a licence file that holds one also the whole text."""
+    """(_path, section, words): every window of joined neighbouring lines that holds an anchor, and the whole text of a file with one.
+
+    Windows of up to six lines begin at every line, longer ones at every quarter of their length, the first and the last included.
+    """
     known = F.array(*[F.lit(w) for w in anchors]).cast("array<string>")
-    close = F.filter("lines", lambda x: F.arrays_overlap(x, known))
-    found = lines.select("_path", "lines", F.explode(F.array(close)).alias("close")).where(F.size("close") > 0)
-    parts = F.when(F.col("_path").rlike(LICENCE_FILE), F.array_append(F.col("close"), F.flatten("lines"))).otherwise(F.col("close"))
-    return found.select("_path", F.explode(parts).alias("words")).withColumn("section", F.monotonically_increasing_id())
+    n = F.size("lines")
+    here = F.filter(F.transform("lines", lambda x, i: F.when(F.arrays_overlap(x, known), i)), lambda i: i.isNotNull())
+    found = lines.select("_path", "lines", F.explode(F.array(here)).alias("here")).where(F.size("here") > 0)
+
+    def windows(size: int) -> Column:
+        last = F.greatest(n - size, F.lit(0))
+        starts = F.array_append(F.sequence(F.lit(0), last, F.lit(max(1, size // 4))), last) if size > 7 else F.sequence(F.lit(0), last)
+        held = F.filter(starts, lambda s: F.exists("here", lambda i: (i >= s) & (i < s + size)))
+        return F.transform(held, lambda s: F.struct(s.alias("start"), F.least(n, F.lit(size)).alias("size")))
+
+    spans = F.array_distinct(F.concat(*[windows(k) for k in WINDOWS], F.array(F.struct(F.lit(0).alias("start"), n.alias("size")))))
+    spans = found.select("_path", "lines", F.explode(spans).alias("span"))
+    return spans.select("_path", F.flatten(F.slice("lines", F.col("span.start") + 1, F.col("span.size"))).alias("words")).withColumn(
+        "section", F.monotonically_increasing_id())
 
 
-def own_licenses(files: DataFrame, path: str, text: str, templates: dict[str, str], least: float) -> DataFrame:
+def own_licenses(files: DataFrame, path: str, text: str, templates: list[tuple[str, str, str]], least: float) -> DataFrame:
     """(_path, own_license, similarity) of the files that hold a notice."""
     spark = files.sparkSession
-    words = {t: re.findall(r"[^\W_]+", x.lower()) for t, x in templates.items()}
+    words = [re.findall(r"[^\W_]+", x.lower()) for _, x, _ in templates]
     lines = lines_of(files, path, text)
     counts = materialise(term_counts(lines), "license-terms")
-    vocabulary = spark.createDataFrame([(w,) for w in sorted({"", *(w for ws in words.values() for w in ws)})], "term string")
+    vocabulary = spark.createDataFrame([(w,) for w in sorted({"", *(w for ws in words for w in ws)})], "term string")
     df = {r["term"]: r["n"] for r in counts.join(F.broadcast(vocabulary), "term").collect()}  # at most one row per term of the templates
     n = df.pop("", 0)
     rows, anchors = [], set()
-    for t, ws in words.items():
+    for t, ws in enumerate(words):
         v = {w: ws.count(w) * _idf(n, df.get(w, 0)) for w in ws}
         norm = sum(x * x for x in v.values()) ** 0.5
         unit = {w: x / norm for w, x in v.items()}
-        anchors |= needed(unit, df, least)
-        rows += [(t, w, x) for w, x in unit.items()]
-    unit = spark.createDataFrame(rows, "template string, term string, u double")
-    close = materialise(sections(lines, sorted(anchors & set(df))), "license-sections")
+        if templates[t][2] == "short":
+            anchors.add(min(unit, key=lambda w: (df.get(w, 0), w)))  # every term must be there
+        elif templates[t][2] != "full":
+            anchors |= needed(unit, df, least)
+        rows += [(t, w, x, len(unit) if templates[t][2] == "short" else 1) for w, x in unit.items()]
+    unit = spark.createDataFrame(rows, "template int, term string, u double, least_terms int")
+    close = sections(lines, sorted(anchors & set(df)))
     tf = close.select("_path", "section", F.explode("words").alias("term")).groupBy("_path", "section", "term").agg(F.count("term").alias("tf"))
     idf = F.log(F.lit(1.0 + n) / (1 + F.col("n"))) + 1
     weights = materialise(tf.join(counts, "term").select("_path", "section", "term", (F.col("tf") * idf).alias("w")), "license-weights")
     norms = weights.groupBy("section").agg(F.sum(F.col("w") * F.col("w")).alias("norm2"))
-    dots = weights.join(F.broadcast(unit), "term").groupBy("_path", "section", "template").agg(F.sum(F.col("w") * F.col("u")).alias("dot"))
-    cosines = dots.where(F.col("dot") > 0).join(norms, "section")
+    dots = weights.join(F.broadcast(unit), "term").groupBy("_path", "section", "template").agg(
+        F.sum(F.col("w") * F.col("u")).alias("dot"), F.count("term").alias("held"), F.first("least_terms").alias("least_terms"))
+    cosines = dots.where(F.col("held") >= F.col("least_terms")).join(norms, "section")
     cosines = cosines.select("_path", "template", F.least(F.lit(1.0), F.round(F.col("dot") / F.sqrt("norm2"), 9)).alias("similarity")).where(F.col("similarity") >= least)
-    rank = F.struct(F.col("similarity"), F.lit(-1) * F.element_at(F.create_map(*[F.lit(x) for i, t in enumerate(words) for x in (t, i)]), F.col("template")))
-    return cosines.groupBy("_path").agg(F.max_by("template", rank).alias("own_license"), F.max("similarity").alias("similarity"))
+    best = cosines.groupBy("_path").agg(F.max(F.struct(F.col("similarity"), (-F.col("template")).alias("after"))).alias("best"))
+    names = F.array(*[F.lit(t) for t, _, _ in templates])
+    return best.select("_path", F.get(names, -F.col("best.after")).alias("own_license"), "best.similarity")
 
 
 def _idf(n: int, df: int) -> float:
@@ -118,12 +140,13 @@ def license_scan(files: DataFrame, *, path: str = "path", text: str = "text", te
     file that was recognised; `inherited_from` names it. Of several in one directory the best match counts, then the template named
     first. Null and empty texts hold no notice. A null path has no directory and inherits nothing; its own notices are not looked for.
     Rows that share a path are one file. Empty tables give no rows. Notices are looked for in whole texts.
+    `templates` stands in place of the announcements, headers, titles, SPDX lines and full texts that are looked for otherwise.
 
     The ancestors are looked up once per directory, not once per file; a directory with very many files meets its one licence in a
     join that adaptive execution splits.
     """
-    templates = templates or TEMPLATES
-    own = materialise(own_licenses(files.where(F.col(path).isNotNull()), path, text, templates, least), "own-licenses")
+    known = [(k, x, "notice") for k, x in (templates or TEMPLATES).items()] + ([] if templates else more())
+    own = materialise(own_licenses(files.where(F.col(path).isNotNull()), path, text, known, least), "own-licenses")
     here = own.where(F.col("_path").rlike(LICENCE_FILE)).groupBy(directory(F.col("_path")).alias("_up")).agg(
         F.max_by("own_license", F.struct("similarity", "own_license")).alias("_got"))
     dirs = files.where(F.col(path).isNotNull()).select(directory(F.col(path)).alias("_dir")).distinct()

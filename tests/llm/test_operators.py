@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 import xxhash
 
-from pulsegrid.llm import decontamination, language_id, license_scan, packing, quality_rules, simhash_dedup, substring_dedup, toxicity, url_filters, warc
+from pulsegrid.llm import decontamination, language_id, licence_templates, license_scan, packing, quality_rules, simhash_dedup, substring_dedup, toxicity, url_filters, warc
 from pulsegrid.llm.graph import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -284,3 +284,25 @@ def test_license_similarity_is_the_cosine_with_counted_frequencies(spark):
     got = {r.path: r for r in license_scan.license_scan(spark.createDataFrame(rows, "path string, text string"), templates=license_scan.TEMPLATES).collect()}
     assert want > 0.7 and got["x.py"].own_license == "GPL-3.0" and abs(got["x.py"].similarity - want) < 1e-6
     assert all(r.own_license is None for p, r in got.items() if p != "x.py")
+
+
+def test_license_titles_headers_texts_and_wrapped_notices(spark):
+    texts = dict(licence_templates.full_texts())
+    header = dict(licence_templates.HEADERS)
+    code = "\n".join(words(6, i) for i in range(40))
+
+    def wrapped(t, n=9):
+        w = t.split()
+        return "\n".join("# " + " ".join(w[i:i + n]) for i in range(0, len(w), n))
+
+    cases = {f"{k}/LICENSE": (x, k) for k, x in texts.items()}
+    cases |= {"1.py": ("MIT License\n" + code, "MIT"), "2.py": ("GNU GENERAL PUBLIC LICENSE\n" + code, "GPL"), "3.py": ("Apache License\n" + code, "Apache-2.0"),
+              "4.py": ("# SPDX-License-Identifier: MIT\n" + code, "MIT"), "5.py": ("# SPDX-License-Identifier: Zlib\n" + code, None), "6.py": (code, None),
+              "7.py": (wrapped(header["Apache-2.0"]) + "\n" + code, "Apache-2.0"), "8.py": (code + "\n" + wrapped(header["MIT"]) + "\n" + code, "MIT"),
+              "9.py": (wrapped(header["AGPL-3.0"]) + "\n" + code, "AGPL-3.0"), "10.py": (code + "\n" + wrapped(license_scan.TEMPLATES["GPL-2.0"], 6) + "\n" + code, "GPL-2.0"),
+              "11.py": ("// Licensed under the Apache License, Version 2.0 (the \"License\"); you\n// may not use this file except in compliance with the License.\n" + code, "Apache-2.0"),
+              "12.py": (texts["MIT"] + "\n" + code, "MIT"), "13.py": ("mit\n" + code, None)}
+    rows = [(p, t) for p, (t, _) in cases.items()] + [(f"{i}.txt", words(9, i) + "\n" + words(5, 900 + i)) for i in range(200)]
+    got = {r.path: r.own_license for r in license_scan.license_scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert {p: got[p] for p in cases} == {p: k for p, (_, k) in cases.items()}
+    assert all(got[f"{i}.txt"] is None for i in range(200))
