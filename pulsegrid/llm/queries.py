@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pulsegrid.llm import decontamination, language_id, license_scan, packing, quality_rules, simhash_dedup, substring_dedup, toxicity, url_filters, warc
+from pulsegrid.llm import (
+    decontamination, language_id, license_scan, packing, periodic_runs, quality_rules, simhash_dedup, substring_dedup, token_counts, toxicity, url_filters,
+    vector_codes, warc,
+)
 
 QUERIES = {
     "op1_license_scans": license_scan.query,
@@ -15,8 +18,12 @@ QUERIES = {
     "op8_url_filters": url_filters.query,
     "op9_benchmark_decontamination": decontamination.query,
     "op10_language_id": language_id.query,
+    "op11_vector_codes": vector_codes.query,
+    "op12_token_counts": token_counts.query,
+    "op13_periodic_runs": periodic_runs.query,
 }
 
 SQL = {
     "op8_url_filters": url_filters.SQL,
+    "op11_vector_codes": vector_codes.SQL,
 }
