@@ -194,6 +194,24 @@ def d49(spark, sf):
     return metrics.permutation_test(S.scored_days(spark, sf), 5, ["pid", "date"])
 
 
+@query("d49_refit_test", "observed:f null_mean:f null_p95:f p_value:f permutations:l", """with v as (select vec_id as pid, cast(label < 5 as int) as y, cast(embedding[1] > 0 as int) as x from embeddings),
+ fo as (select *, (row_number() over (partition by y order by md5('5|0|' || cast(pid as varchar))) - 1) % 5 as fold from v),
+ pm as (select 0 as p, pid, x, fold, y from fo union all
+  select p, pid, x, fold, cast(row_number() over (partition by p order by md5('5|' || cast(p as varchar) || '|' || cast(pid as varchar))) <= (select sum(y) from v) as int) from fo, (select unnest(range(1, 201)) as p) q),
+ ks as (select unnest(range(5)) as k),
+ fits as (select p, k, sign(avg(y) filter (x = 1) - avg(y) filter (x = 0)) as s from pm join ks on fold <> k group by 1, 2),
+ au as (select pm.p, k, 0.5 + any_value(s) * (avg(x) filter (y = 1) - avg(x) filter (y = 0)) / 2 as auroc from pm join fits f on f.p = pm.p and f.k = pm.fold group by 1, 2),
+ me as (select p, avg(auroc) as auroc from au group by 1), ob as (select auroc as o from me where p = 0)
+select max(o) as observed, avg(auroc) as null_mean, quantile_cont(auroc, 0.95) as null_p95, avg(case when auroc >= o - 1e-12 then 1.0 else 0 end) as p_value, count(*) as permutations from me, ob where p > 0""")
+def d49b(spark, sf):
+    """One feature that is 0 or 1: a fold's model scores by the sign of the difference of its training shares, which SQL can say."""
+    from pulsegrid.operators import sampling
+    from pulsegrid.plans import refit
+
+    e = S.table(spark, sf, "embeddings").select(F.col("vec_id").alias("pid"), (F.col("label") < 5).cast("int").alias("label"), (F.col("embedding")[0] > 0).cast("int").alias("x"))
+    return refit.refit_test(sampling.folds(e, "label", 5, 5).drop("repeat"), ["x"], ["pid"], 200, 5)
+
+
 FOLDS = """un as (select pid, min(grp) as grp, max(label) as pos from scored group by 1), ux as (select *, pid % 2 as cls from un),
  fo as (select *, (row_number() over (partition by repeat, cls order by md5('3|' || cast(repeat as varchar) || '|' || cast(pid as varchar))) - 1) % 3 as fold from ux, (select unnest(range(0, 4)) as repeat) r)"""
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.operators.core import by_value, exact_quantiles
+from pulsegrid.operators.core import average_ranks, by_value, draw_key, exact_quantiles, join_null_safe, sweep
 
 
 def score_table(rows: DataFrame, keys: Sequence[str], score: str = "score", label: str = "label", weight: Column | None = None) -> DataFrame:
@@ -121,7 +121,7 @@ def resample_weights(units: DataFrame, replicates: int, seed: str | int, unit: s
     Units are numbered by md5 order, in pieces; each unit's number also serves
     as one draw of every replicate.
     """
-    from pulsegrid.operators.core import draw_key, draw_order
+    from pulsegrid.operators.core import draw_order
     from pulsegrid.operators.sampling import hex_number
 
     u = draw_order(units.select(unit).distinct().withColumn("_md5", draw_key(seed, unit)), [], "_md5", "_place")
@@ -160,15 +160,39 @@ def interval(replicates: DataFrame, keys: Sequence[str], scores: Sequence[str] =
         *[F.percentile(s, F.lit(low)).alias(f"{s}_lo") for s in scores], *[F.percentile(s, F.lit(high)).alias(f"{s}_hi") for s in scores])
 
 
+def permutation_cuts(rows: DataFrame, permutations: int, seed: str | int, unit: Sequence[str], digits: int = 3) -> DataFrame:
+    """(permutation, cut): the draw up to which a shuffle's rows count as positive, so that there are as many as before.
+
+    Only counts per leading digits of the draws are shuffled, and then the rows that share their digits with the cut. Without a positive row there is no cut.
+    """
+    positives = rows.agg(F.coalesce(F.sum("label"), F.lit(0)).alias("p")).scalar()
+    draws = rows.select(F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("permutation"), *unit)
+    draws = draws.select("permutation", draw_key(seed, "permutation", *unit).alias("_md5")).withColumn("_head", F.substring("_md5", 1, digits))
+    heads = draws.groupBy("permutation", "_head").agg(F.count(F.lit(1)).alias("_n"))
+    heads = sweep(heads, ["permutation"], "_head", sums={"_upto": F.col("_n")}, piece=F.substring("_head", 1, 1))
+    edge = heads.withColumn("_p", positives).where((F.col("_upto") >= F.col("_p")) & (F.col("_upto") - F.col("_n") < F.col("_p")))
+    edge = edge.select("permutation", "_head", (F.col("_p") - F.col("_upto") + F.col("_n")).alias("_rest"))
+    near = draws.join(edge, ["permutation", "_head"]).withColumn("_m", F.col("_md5"))
+    near = sweep(near, ["permutation"], "_md5", sums={"_place": F.lit(1)}, piece=F.substring("_m", digits + 1, 2))
+    return near.where(F.col("_place") == F.col("_rest")).select("permutation", F.col("_md5").alias("cut"))
+
+
 def permuted_auroc(rows: DataFrame, permutations: int, seed: str | int, unit: Sequence[str]) -> DataFrame:
-    """AUROC of each permutation: as many positives as before, placed by an md5 draw."""
-    from pulsegrid.operators.core import draw_key, draw_order
-
-    n1 = rows.agg(F.sum("label").alias("p"))
-    r = rows.select(*unit, "score", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("permutation"))
-    r = draw_order(r.withColumn("_md5", draw_key(seed, "permutation", *unit)), ["permutation"], "_md5")
-    r = r.withColumn("label", (F.col("draw_rank") <= n1.scalar()).cast("int"))
-    return detection_scores(r, ["permutation"]).select("permutation", "auroc")
+    """AUROC of each permutation: as many positives as before, placed by an md5 draw.
+
+    A row's rank by score is the same in all permutations, so the ranks are found once, and a permutation adds up those of its positives.
+    `unit` tells rows apart.
+    """
+    ranks = average_ranks(rows, [], "score").select("score", "avg_rank")
+    ranked = join_null_safe(rows.select(*unit, "score"), ranks, ["score"], "inner")
+    counts = rows.where("score is not null").agg(F.sum("label").cast("double").alias("p"), F.count(F.lit(1)).cast("double").alias("n"))
+    n1, n0 = counts.select("p").scalar(), counts.select(F.col("n") - F.col("p")).scalar()
+    cuts = permutation_cuts(rows.where("score is not null"), permutations, seed, unit)
+    draws = ranked.select(*unit, "avg_rank", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("permutation"))
+    draws = draws.select("permutation", "avg_rank", draw_key(seed, "permutation", *unit).alias("_md5"))
+    sums = draws.join(cuts, "permutation").where(F.col("_md5") <= F.col("cut")).groupBy("permutation").agg(F.sum("avg_rank").alias("_r"))
+    all_of = rows.sparkSession.range(1, permutations + 1).select(F.col("id").cast("int").alias("permutation"))
+    return all_of.join(sums, "permutation", "left").select("permutation", F.try_divide(F.col("_r") - n1 * (n1 + 1) / 2, n1 * n0).alias("auroc"))
 
 
 def permutation_test(rows: DataFrame, seed: str | int, unit: Sequence[str], permutations: int = 200) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from pulsegrid.operators.core import CHUNK, Seen, floor_div, islands, sweep
+from pulsegrid.operators.core import CHUNK, Seen, floor_div, islands, join_null_safe, sweep
+from pulsegrid.operators.gapforest import kept_by_gap
 
 
 def missing_runs(grid: DataFrame, keys: Sequence[str], value: str = "hrv", slot: str = "slot", size: int = CHUNK) -> DataFrame:
@@ -92,15 +93,13 @@ def subject_summary(labelled: DataFrame, keys: Sequence[str], value: str = "hrv"
 def threshold_scan(grid: DataFrame, keys: Sequence[str], candidates: Sequence[int], min_slots: int, value: str = "hrv") -> DataFrame:
     """For each candidate gap: % of readings kept and % missing inside, per key and for all keys.
 
-    The candidates are exploded beside the key, so one pass scores them all.
+    All candidates are read off the merge forest of the readings, which is built once.
     The all-keys row has a null key (rollup).
     """
-    obs = grid.where(F.col(value).isNotNull()).withColumn("x", F.explode(F.array(*[F.lit(c) for c in candidates])))
-    both = ["x", *keys]
-    seg = segment_table(obs, both, F.col("x"), min_slots, value).select(
-        *both, (F.col("b") - F.col("a") + 1).alias("slots"), F.col("seen").alias("kept"), F.lit(0).alias("seen"))
-    seen = obs.groupBy(*both).agg(F.count(F.lit(1)).alias("seen")).select(*both, F.lit(0).alias("slots"), F.lit(0).alias("kept"), "seen")
-    t = seg.unionByName(seen).groupBy(*both).agg(F.sum("slots").alias("slots"), F.sum("kept").alias("kept"), F.sum("seen").alias("seen"))
+    obs = grid.where(F.col(value).isNotNull())
+    per = kept_by_gap(obs, keys, candidates, min_slots)
+    seen = obs.groupBy(*keys).agg(F.count(F.lit(1)).alias("seen"))
+    t = join_null_safe(per, seen, keys, "inner")
     t = t.groupingSets([[F.col("x"), *[F.col(k) for k in keys]], [F.col("x")]], F.col("x"), *[F.col(k) for k in keys]).agg(
         F.sum("slots").alias("slots"), F.sum("kept").alias("kept"), F.sum("seen").alias("seen"))
     return t.select("x", *keys, (100 * F.try_divide("kept", "seen")).alias("kept_pct"),

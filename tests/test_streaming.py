@@ -1,8 +1,11 @@
+import datetime
+
+import pytest
 from pyspark.sql import functions as F
 
-from pulsegrid.operators import timeline
+from pulsegrid.operators import baselines, timeline
 from pulsegrid.operators.core import slot_start
-from pulsegrid.streaming import rollups
+from pulsegrid.streaming import carried, rollups
 
 
 def run(spark, df, name, path):
@@ -41,3 +44,43 @@ def test_streamed_intervals_merge_by_start(spark, tmp_path):
     m.write.parquet(d)
     out = run(spark, rollups.merged_intervals(spark.readStream.schema(m.schema).parquet(d), ["pid"], "start", ["deep"], ["steps"]), "iv", str(tmp_path / "c3"))
     assert sorted((r.deep, r.steps or -1.0) for r in out.collect()) == [(0.0, -1.0), (3.0, 4.0)]
+
+
+def carried_rows(spark, rows, folder, **settings):
+    """Each list of rows is one file, hence one micro-batch; what the stream emits."""
+    schema = "pid string, ts timestamp_ntz, hrv double"
+    for k, part in enumerate(rows):
+        spark.createDataFrame([(p, datetime.datetime(2026, 1, 1) + datetime.timedelta(minutes=m), v) for p, m, v in part], schema).coalesce(1).write.parquet(f"{folder}/in/{k:03d}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(f"{folder}/in/*")
+    q = carried.last_value(stream, ["pid"], "ts", "hrv", 3, **settings).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/c")
+    q.outputMode("append").trigger(availableNow=True).start().awaitTermination(300)
+    return spark.read.schema("pid string, origin timestamp_ntz, h long, pred double").parquet(f"{folder}/out")
+
+
+@pytest.fixture
+def keyed_store(spark):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", carried.PROVIDER)
+    yield
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+END = [("end", 100_000, 1.0)]
+
+
+def test_streamed_last_value_equals_batch(spark, tmp_path, keyed_store):
+    parts = [[("a", 0, 5.0), ("a", 20, 7.0), ("b", 3, 1.0)], [("a", 15, 9.0), ("b", 40, None), ("c", 30, None)], [("a", 31, 8.0), ("a", 31, 6.0), ("b", 12, 2.0)], END]
+    got = carried_rows(spark, parts, str(tmp_path), quiet="2 hours")
+    flat = [(p, m, v) for part in parts[:-1] for p, m, v in part]
+    want = baselines.last_value(spark.createDataFrame(flat, "pid string, slot long, hrv double"), "pid", "slot", "hrv", 3).where("pid <> 'a'").select("pid", F.col("h").cast("long"), "pred")
+    rows = got.where("pid <> 'end'").select("pid", "h", "pred")
+    assert sorted(map(tuple, rows.where("pid <> 'a'").collect())) == sorted(map(tuple, want.collect()))
+    assert sorted(map(tuple, rows.where("pid = 'a'").collect())) == [("a", h, 8.0) for h in (1, 2, 3)]
+    assert {str(r.origin) for r in got.where("pid = 'a'").collect()} == {"2026-01-01 00:31:00"}
+
+
+def test_late_readings_are_dropped_and_a_quiet_series_starts_afresh(spark, tmp_path, keyed_store):
+    parts = [[("a", 0, 5.0), ("x", 500, 1.0)], [("a", 10, 99.0), ("x", 501, 1.0)], [("a", 700, 6.0), ("x", 701, 2.0)], END]
+    got = carried_rows(spark, parts, str(tmp_path), quiet="1 hour", late="30 minutes")
+    a = sorted((str(r.origin), r.pred) for r in got.where("pid = 'a' and h = 1").collect())
+    assert a == [("2026-01-01 00:00:00", 5.0), ("2026-01-01 11:40:00", 6.0)]
+    assert [r.pred for r in got.where("pid = 'x' and h = 3").collect()].count(2.0) == 1
