@@ -72,7 +72,7 @@ def h05(spark, sf):
     x = PF.day_window_vector(cells, d, 3, 360, ["hr"])
     rows = materialise(x.join(d, ["pid", "date"]).select("pid", "date", "label", array_to_vector("x").alias("features")), "windows")
     train = models.class_weights(rows.where("pid % 4 <> 0"), "label")
-    fitted = models.fit_classifier(train, "grad_boost")
+    fitted = models.fit_contender(train, models.contender("boosted trees", models.light()))
     return metrics.detection_scores(models.score_column(fitted.transform(models.class_weights(rows.where("pid % 4 = 0"), "label"))), [])
 
 
@@ -105,9 +105,8 @@ def h08(spark, sf):
     rows = labelled_vectors(spark, sf)
     train, test = rows.where("pid % 4 <> 0"), rows.where("pid % 4 = 0")
     out = None
-    for name in models.classifiers():
-        s = models.score_column(models.fit_classifier(train, name).transform(test))
-        m = metrics.detection_scores(s, [], 0.0 if name == "svm_linear" else 0.5).withColumn("model", F.lit(name))
+    for c in models.light():
+        m = metrics.detection_scores(models.score_column(models.fit_contender(train, c).transform(test)), []).withColumn("model", F.lit(c.name))
         out = m if out is None else out.unionByName(m)
     return out
 
@@ -131,10 +130,42 @@ def h10(spark, sf):
 
 @query("h11_nested_cv", "model:s auroc:f auroc_lo:f auroc_hi:f repeats:l")
 def h11(spark, sf):
-    rows = labelled_vectors(spark, sf).select("pid", "features", "label", "weight")
-    folded = sampling.folds(rows.select("pid", "label"), "label", 3, 3).select("pid", "repeat", "fold")
-    per = models.nested_cv(rows, ["logreg_l2", "decision_tree"], folded, "pid")
-    return metrics.repeated_cv_summary(per, ["model"], "auroc")
+    rows, names = feature_columns(spark, sf)
+    folded = sampling.folds(rows.select("pid", "label"), "label", 5, 3)
+    return metrics.repeated_cv_summary(models.nested_cv(rows, names, models.light(), folded, "pid"), ["model"], "auroc")
+
+
+def feature_columns(spark, sf):
+    """The vectors as columns with blanks: component i of vector v is missing where (v + i) mod 11 is 0."""
+    e = S.table(spark, sf, "embeddings")
+    names = [f"f_{i}" for i in range(64)]
+    cells = [F.when((F.col("vec_id") + i) % 11 != 0, F.col("embedding")[i].cast("double")).alias(n) for i, n in enumerate(names)]
+    return materialise(e.select(F.col("vec_id").alias("pid"), (F.col("label") < 5).cast("int").alias("label"), *cells), "feature-columns"), names
+
+
+CV_FOLDS = """v as (select vec_id as pid, cast(label < 5 as int) as y from embeddings),
+ fo as (select *, r.repeat as rep, (row_number() over (partition by r.repeat, y order by md5('3|' || cast(r.repeat as varchar) || '|' || cast(pid as varchar))) - 1) % 5 as fold from v, (select 0 as repeat) r)"""
+
+
+@query("h11_held_out_folds", "model:s repeat:l fold:l n:l n_pos:l half:l in_range:l", f"""with {CV_FOLDS} select model, rep as repeat, fold, count(*) as n, sum(y) as n_pos, cast(model = 'constant' as int) as half, 1 as in_range
+ from fo, (select unnest(['constant', 'logit, squared penalty', 'normal densities']) as model) m group by model, rep, fold""")
+def h11b(spark, sf):
+    """What SQL can say of every (model, repeat, fold): who is held out, that a constant scores 0.5 and others better than that on the whole."""
+    rows, names = feature_columns(spark, sf)
+    folded = sampling.folds(rows.select("pid", "label"), "label", 5, 3)
+    among = [models.contender(n, models.light()) for n in ("constant", "logit, squared penalty", "normal densities")]
+    per = models.nested_cv(rows, names, among, folded, "pid", inner_folds=2)
+    return per.withColumns({"half": (F.col("auroc") == 0.5).cast("int"), "in_range": F.col("auroc").between(0, 1).cast("int")})
+
+
+@query("i02_trained_classifier", "pid:l label:l scored:l constant:f", "select vec_id as pid, cast(label < 5 as int) as label, 1 as scored, (select avg(cast(label < 5 as int)) from embeddings where vec_id % 3 <> 0) as constant from embeddings where vec_id % 3 = 0")
+def i02b(spark, sf):
+    """Every trained classifier behind the contract gives each test row a score from 0 to 1; the constant one is the training share."""
+    rows, _ = feature_columns(spark, sf)
+    test, train = rows.where("pid % 3 = 0"), rows.where("pid % 3 <> 0")
+    score = lambda n, c: registry.get(registry.CLASSIFIERS, n, "detect")(test.withColumnRenamed("label", "truth"), train).select("pid", F.col("score").alias(c))
+    out = test.select("pid", "label").join(score("constant", "constant"), "pid").join(score("logit, squared penalty", "s"), "pid")
+    return out.withColumn("scored", F.col("s").between(0, 1).cast("int"))
 
 
 @query("h12_event_target", "pid:l target:l followup_days:l", """with ev as (select distinct user_id as pid from events where event_type = 'error' and value > 200), un as (select distinct user_id as pid from events where event_type = 'error' and value > 150),

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.operators.core import average_ranks, by_value, draw_key, exact_quantiles, join_null_safe, sweep
+from pulsegrid.operators.core import average_ranks, by_value, draw_key, exact_quantiles, sweep
+from pulsegrid.sources.stage import materialise
 
 
 def score_table(rows: DataFrame, keys: Sequence[str], score: str = "score", label: str = "label", weight: Column | None = None) -> DataFrame:
@@ -160,42 +161,52 @@ def interval(replicates: DataFrame, keys: Sequence[str], scores: Sequence[str] =
         *[F.percentile(s, F.lit(low)).alias(f"{s}_lo") for s in scores], *[F.percentile(s, F.lit(high)).alias(f"{s}_hi") for s in scores])
 
 
+def _shuffles(rows: DataFrame, permutations: int, seed: str | int, unit: Sequence[str], keep: Sequence[str] = (), digits: int = 3) -> DataFrame:
+    """(permutation, draw, head) and the `keep` columns: every row once per shuffle, dealt out before it is multiplied."""
+    many = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wide = rows.select(*unit, *keep).repartition(many, *unit).select("*", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("permutation"))
+    return wide.select("permutation", *keep, draw_key(seed, "permutation", *unit).alias("_draw")).withColumn("_head", F.substring("_draw", 1, digits))
+
+
+def _at_the_cut(draws: DataFrame, positives: Column, digits: int, weight: Column) -> tuple[DataFrame, DataFrame]:
+    """Where each shuffle's positives end: (permutation, head of the cut, positives left there, weight of the heads before), and the draws of that
+    head with their place. Only sums per head are shuffled, and the few draws that share the cut's head."""
+    heads = draws.groupBy("permutation", "_head").agg(F.count(F.lit(1)).alias("_n"), F.sum(weight).alias("_w"))
+    heads = sweep(materialise(heads, "shuffle-heads"), ["permutation"], "_head", sums={"_upto": F.col("_n"), "_w_upto": F.col("_w")}, piece=F.substring("_head", 1, 1))
+    edge = heads.withColumn("_p", positives).where((F.col("_upto") >= F.col("_p")) & (F.col("_upto") - F.col("_n") < F.col("_p")))
+    edge = materialise(edge.select("permutation", "_head", (F.col("_p") - F.col("_upto") + F.col("_n")).alias("_rest"), (F.col("_w_upto") - F.col("_w")).alias("_before")), "shuffle-cuts")
+    near = materialise(draws.join(edge, ["permutation", "_head"]).drop("_head"), "shuffle-edges")
+    return edge, sweep(near, ["permutation"], "_draw", sums={"_place": F.lit(1)}, piece=F.substring("_draw", digits + 1, 2))
+
+
 def permutation_cuts(rows: DataFrame, permutations: int, seed: str | int, unit: Sequence[str], digits: int = 3) -> DataFrame:
-    """(permutation, cut): the draw up to which a shuffle's rows count as positive, so that there are as many as before.
+    """(permutation, cut): the draw up to which a shuffle's rows count as positive, so that there are as many as before. `unit` tells rows apart.
 
-    Only counts per leading digits of the draws are shuffled, and then the rows that share their digits with the cut. Without a positive row there is no cut.
+    Without a positive row there is no cut.
     """
     positives = rows.agg(F.coalesce(F.sum("label"), F.lit(0)).alias("p")).scalar()
-    draws = rows.select(F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("permutation"), *unit)
-    draws = draws.select("permutation", draw_key(seed, "permutation", *unit).alias("_md5")).withColumn("_head", F.substring("_md5", 1, digits))
-    heads = draws.groupBy("permutation", "_head").agg(F.count(F.lit(1)).alias("_n"))
-    heads = sweep(heads, ["permutation"], "_head", sums={"_upto": F.col("_n")}, piece=F.substring("_head", 1, 1))
-    edge = heads.withColumn("_p", positives).where((F.col("_upto") >= F.col("_p")) & (F.col("_upto") - F.col("_n") < F.col("_p")))
-    edge = edge.select("permutation", "_head", (F.col("_p") - F.col("_upto") + F.col("_n")).alias("_rest"))
-    near = draws.join(edge, ["permutation", "_head"]).withColumn("_m", F.col("_md5"))
-    near = sweep(near, ["permutation"], "_md5", sums={"_place": F.lit(1)}, piece=F.substring("_m", digits + 1, 2))
-    return near.where(F.col("_place") == F.col("_rest")).select("permutation", F.col("_md5").alias("cut"))
+    _, near = _at_the_cut(_shuffles(rows, permutations, seed, unit, (), digits), positives, digits, F.lit(0))
+    return near.where(F.col("_place") == F.col("_rest")).select("permutation", F.col("_draw").alias("cut"))
 
 
-def permuted_auroc(rows: DataFrame, permutations: int, seed: str | int, unit: Sequence[str]) -> DataFrame:
-    """AUROC of each permutation: as many positives as before, placed by an md5 draw.
+def permuted_auroc(rows: DataFrame, permutations: int, seed: str | int, unit: Sequence[str], digits: int = 3) -> DataFrame:
+    """AUROC of each permutation: as many positives as before, placed by an md5 draw. `unit` tells rows apart.
 
     A row's rank by score is the same in all permutations, so the ranks are found once, and a permutation adds up those of its positives.
-    `unit` tells rows apart.
     """
-    ranks = average_ranks(rows, [], "score").select("score", "avg_rank")
-    ranked = join_null_safe(rows.select(*unit, "score"), ranks, ["score"], "inner")
-    counts = rows.where("score is not null").agg(F.sum("label").cast("double").alias("p"), F.count(F.lit(1)).cast("double").alias("n"))
-    n1, n0 = counts.select("p").scalar(), counts.select(F.col("n") - F.col("p")).scalar()
-    cuts = permutation_cuts(rows.where("score is not null"), permutations, seed, unit)
-    draws = ranked.select(*unit, "avg_rank", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("permutation"))
-    draws = draws.select("permutation", "avg_rank", draw_key(seed, "permutation", *unit).alias("_md5"))
-    sums = draws.join(cuts, "permutation").where(F.col("_md5") <= F.col("cut")).groupBy("permutation").agg(F.sum("avg_rank").alias("_r"))
-    all_of = rows.sparkSession.range(1, permutations + 1).select(F.col("id").cast("int").alias("permutation"))
-    return all_of.join(sums, "permutation", "left").select("permutation", F.try_divide(F.col("_r") - n1 * (n1 + 1) / 2, n1 * n0).alias("auroc"))
+    rows = materialise(rows.where("score is not null").select(*unit, "score", "label"), "shuffled-rows")
+    ranked = rows.join(average_ranks(rows, [], "score").select("score", "avg_rank"), "score")
+    counts = rows.agg(F.coalesce(F.sum("label"), F.lit(0)).alias("p"), F.count(F.lit(1)).alias("n"))
+    positives, n1, n0 = counts.select("p").scalar(), counts.select(F.col("p").cast("double")).scalar(), counts.select((F.col("n") - F.col("p")).cast("double")).scalar()
+    edge, near = _at_the_cut(_shuffles(ranked, permutations, seed, unit, ["avg_rank"], digits), positives, digits, F.col("avg_rank"))
+    inside = near.where(F.col("_place") <= F.col("_rest")).groupBy("permutation").agg(F.sum("avg_rank").alias("_inside"))
+    sums = edge.join(inside, "permutation").select("permutation", (F.coalesce("_before", F.lit(0.0)) + F.col("_inside")).alias("_r"))
+    every = rows.sparkSession.range(1, permutations + 1).select(F.col("id").cast("int").alias("permutation"))
+    return every.join(sums, "permutation", "left").select("permutation", F.try_divide(F.col("_r") - n1 * (n1 + 1) / 2, n1 * n0).alias("auroc"))
 
 
 def permutation_test(rows: DataFrame, seed: str | int, unit: Sequence[str], permutations: int = 200) -> DataFrame:
+    rows = materialise(rows.select(*unit, "score", "label"), "permuted")
     observed = detection_scores(rows, []).select("auroc")
     null = permuted_auroc(rows, permutations, seed, unit).withColumn("_obs", observed.scalar())
     return null.agg(F.max("_obs").alias("observed"), F.avg("auroc").alias("null_mean"), F.percentile("auroc", F.lit(0.95)).alias("null_p95"),

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 from itertools import product
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
-from pyspark.ml import Pipeline, Transformer
+from pyspark import inheritable_thread_target
+from pyspark.ml import Estimator, Pipeline, Transformer
 from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes, RandomForestClassifier,
 )
@@ -15,16 +18,16 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from pulsegrid.functions.scaling import from_z, log_stats, to_z
 from pulsegrid.operators import features as feat
-from pulsegrid.operators import fills, ledger, metrics
-from pulsegrid.operators.core import draw_key, exact_quantiles
+from pulsegrid.operators import fills, ledger, metrics, sampling
+from pulsegrid.operators.core import draw_key
 from pulsegrid.plans import features as PF
+from pulsegrid.plans.preparation import ClassWeights, MedianScaler, Prior, apply_scaling, class_weights, fit_scaling  # noqa: F401  used as models.*
 from pulsegrid.sources.stage import materialise
 
 
@@ -79,84 +82,116 @@ def predict_forecast(model: Transformer, feats: DataFrame, names: Sequence[str],
     return model.transform(rows).withColumn("pred", from_z(F.col("z_pred"))).select("segment", "origin", "h", "pred")
 
 
-# --------------------------------------------------------------- class imbalance
-def class_weights(rows: DataFrame, label: str, how: str = "ratio", out: str = "weight") -> DataFrame:
-    """`ratio`: positives weigh n_neg / n_pos; `balanced`: every class weighs n / (2 n_class)."""
-    c = rows.agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(label).cast("double").alias("p"))
-    n, p = c.select("n").scalar(), c.select("p").scalar()
-    pos = F.try_divide(n - p, p) if how == "ratio" else F.try_divide(n, 2 * p)
-    neg = F.lit(1.0) if how == "ratio" else F.try_divide(n, 2 * (n - p))
-    return rows.withColumn(out, F.coalesce(F.when(F.col(label) == 1, pos).otherwise(neg), F.lit(1.0)))
+# ------------------------------------------------------------------- classifiers
+@dataclass(frozen=True)
+class Contender:
+    """A classifier of (features, label, weight) and the settings among which inner folds choose."""
 
+    name: str
+    make: Callable[[], Estimator]
+    settings: tuple[dict[str, float], ...] = ({},)
 
-# ---------------------------------------------------------- in-fold preparation
-def fit_scaling(train: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(name, median, mean, sd) per feature from the training rows: mean and population sd after filling blanks with the median."""
-    long = train.unpivot([], list(columns), "name", "x")
-    med = exact_quantiles(long, ["name"], "x", {"median": 0.5}).select("name", "median")
-    j = long.join(med, "name").withColumn("x", F.coalesce("x", "median"))
-    return j.groupBy("name", "median").agg(F.avg("x").alias("mean"), F.coalesce(F.nullif(F.stddev_pop("x"), F.lit(0.0)), F.lit(1.0)).alias("sd"))
+    def maps(self, estimator: Estimator) -> list[dict]:
+        return [{estimator.getParam(k): v for k, v in s.items()} for s in self.settings]
 
 
-def apply_scaling(rows: DataFrame, scaling: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Impute and standardise with the training fold's values (one small row per feature)."""
-    one = scaling.groupBy().pivot("name", list(columns)).agg(F.first(F.struct("median", "mean", "sd")))
-    get = lambda c, f: one.select(F.col(f"{c}.{f}")).scalar()
-    return rows.withColumns({c: (F.coalesce(F.col(c), get(c, "median")) - get(c, "mean")) / get(c, "sd") for c in columns})
+def all_of(**values: Sequence[float]) -> tuple[dict[str, float], ...]:
+    """Every combination of the values."""
+    return tuple(dict(zip(values, v, strict=True)) for v in product(*values.values()))
 
 
-# ------------------------------------------------------------------- classifiers
-def classifiers(seed: int = 0) -> dict[str, tuple]:
-    """Name → (estimator, small settings grid builder)."""
-    lr = lambda l1: LogisticRegression(elasticNetParam=l1, weightCol="weight", maxIter=30)
-    return {
-        "logreg_l2": (lr(0.0), lambda e: [{e.regParam: v} for v in (0.01, 0.1, 1.0)]),
-        "logreg_l1": (lr(1.0), lambda e: [{e.regParam: v} for v in (0.001, 0.01)]),
-        "gaussian_nb": (NaiveBayes(modelType="gaussian", weightCol="weight"), lambda e: [{}]),
-        "decision_tree": (DecisionTreeClassifier(weightCol="weight", seed=seed), lambda e: [{e.maxDepth: v} for v in (2, 4)]),
-        "random_forest": (RandomForestClassifier(weightCol="weight", numTrees=20, seed=seed), lambda e: [{e.maxDepth: v} for v in (3, 5)]),
-        "grad_boost": (GBTClassifier(weightCol="weight", maxIter=8, seed=seed), lambda e: [{e.maxDepth: v} for v in (2, 3)]),
-        "grad_boost_slow": (GBTClassifier(weightCol="weight", maxIter=12, stepSize=0.05, seed=seed), lambda e: [{e.maxDepth: 2}]),
-        "svm_linear": (LinearSVC(weightCol="weight", maxIter=30), lambda e: [{e.regParam: v} for v in (0.01, 0.1)]),
-    }
+def contenders(seed: int = 0, trees: int = 300, rounds: Sequence[int] = (50, 150)) -> list[Contender]:
+    """The constant reference, three linear models, a density model and four of trees; the defaults are the full settings."""
+    weighed = {"weightCol": "weight"}
+    return [
+        Contender("constant", Prior),
+        Contender("logit, squared penalty", lambda: LogisticRegression(elasticNetParam=0.0, maxIter=100, **weighed), all_of(regParam=(0.001, 0.01, 0.1, 1.0))),
+        Contender("logit, absolute penalty", lambda: LogisticRegression(elasticNetParam=1.0, maxIter=100, **weighed), all_of(regParam=(0.001, 0.01, 0.1))),
+        Contender("linear margin", lambda: LinearSVC(maxIter=100, **weighed), all_of(regParam=(0.001, 0.01, 0.1, 1.0))),
+        Contender("normal densities", lambda: NaiveBayes(modelType="gaussian", **weighed)),
+        Contender("one tree", lambda: DecisionTreeClassifier(seed=seed, **weighed), all_of(maxDepth=(2, 3, 4), minInstancesPerNode=(2, 4))),
+        Contender("many trees", lambda: RandomForestClassifier(numTrees=trees, seed=seed, **weighed), all_of(maxDepth=(2, 3, 10), minInstancesPerNode=(1, 2, 4))),
+        Contender("boosted trees", lambda: GBTClassifier(seed=seed, **weighed), all_of(maxIter=tuple(rounds), maxDepth=(1, 2), stepSize=(0.05, 0.1))),
+        Contender("boosted trees, sampled", lambda: GBTClassifier(seed=seed, subsamplingRate=0.8, **weighed), all_of(maxIter=tuple(rounds), maxDepth=(1, 2), stepSize=(0.05, 0.1))),
+    ]
+
+
+def light(settings: int = 2, trees: int = 20, rounds: int = 8, seed: int = 0) -> list[Contender]:
+    """All contenders with fewer trees and rounds, the first few settings each, and one setting for those of many trees."""
+    return [replace(c, settings=c.settings[:1 if "trees" in c.name else settings]) for c in contenders(seed, trees, (rounds,))]
+
+
+def contender(name: str, among: Sequence[Contender] | None = None) -> Contender:
+    return next(c for c in among or contenders() if c.name == name)
 
 
 def score_column(scored: DataFrame, out: str = "score") -> DataFrame:
-    """Probability of the positive class; a linear machine has only its margin, cut at 0."""
+    """Probability of the positive class; a linear machine has only its margin, squeezed so that margin 0 is 0.5."""
     if "probability" in scored.columns:
         return scored.withColumn(out, vector_to_array("probability")[1])
-    return scored.withColumn(out, vector_to_array("rawPrediction")[1])
+    return scored.withColumn(out, 1 / (1 + F.exp(-vector_to_array("rawPrediction")[1])))
+
 
+def fit_contender(train: DataFrame, c: Contender, settings: dict[str, float] | None = None) -> Transformer:
+    est = c.make()
+    return est.fit(train, params={est.getParam(k): v for k, v in (settings or c.settings[0]).items()})
 
-def fit_classifier(train: DataFrame, name: str, seed: int = 0, inner_folds: int = 1, parallelism: int = 4) -> Transformer:
-    """Fit one classifier on (features, label, weight); with inner folds the settings are chosen by AUROC."""
-    est, grid = classifiers(seed)[name]
-    est = est.setFeaturesCol("features").setLabelCol("label")
-    maps = grid(est)
-    if inner_folds < 2 or len(maps) < 2:
-        return est.fit(train, params=maps[0])
-    ev = BinaryClassificationEvaluator(rawPredictionCol="rawPrediction", labelCol="label")
-    return CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=ev, numFolds=inner_folds, parallelism=parallelism, seed=seed).fit(train)
 
+def preparation(columns: Sequence[str]) -> Pipeline:
+    """What stands before every contender: blanks filled, features scaled, classes weighed, all from the rows it is fitted on."""
+    return Pipeline(stages=[MedianScaler(inputCols=list(columns), outputCol="features"), ClassWeights(labelCol="label", weightCol="weight")])
 
-def nested_cv(rows: DataFrame, names: Sequence[str], folded: DataFrame, unit: str, seed: int = 0, inner_folds: int = 2) -> DataFrame:
-    """Outer folds score, inner folds choose; scores are kept per (model, repeat, fold) and never pooled.
 
-    `rows` holds features, label and weight; `folded` gives each unit's fold
-    per repeat. Only the loop over models and folds is on the driver.
+def in_threads(spark, jobs: Sequence[Callable], threads: int) -> list:
+    """Results of jobs that run side by side: a single small fit leaves most of a cluster idle."""
+    with ThreadPool(max(1, threads)) as pool:
+        return pool.map(lambda job: inheritable_thread_target(spark)(job)(), list(jobs))
+
+
+def nested_cv(rows: DataFrame, columns: Sequence[str], among: Sequence[Contender], folded: DataFrame, unit: str, seed: int = 0, inner_folds: int = 3,
+              threads: int = 8) -> DataFrame:
+    """(model, repeat, fold) with the held-out scores: outer folds score, inner folds choose, and folds are never pooled.
+
+    `rows` has the feature `columns` and `label`, `folded` each unit's fold per repeat. Blanks, scales and class weights are fitted anew on every set of training rows, outer
+    and inner, and serve all contenders. Fits run side by side; tables stay distributed.
     """
-    table = materialise(rows.join(folded, unit), "cv-rows")
+    table = materialise(rows.select(unit, "label", *columns).join(folded.select(unit, "repeat", "fold"), unit), "cv-rows")
     plan = [(r["repeat"], r["fold"]) for r in table.select("repeat", "fold").distinct().orderBy("repeat", "fold").collect()]
-    out = None
-    for name, (rep, fold) in product(names, plan):
+
+    def outer(rep: int, fold: int) -> tuple[DataFrame, DataFrame]:
         one = table.where(F.col("repeat") == rep)
-        model = fit_classifier(one.where(F.col("fold") != fold).repartition(8, unit).sortWithinPartitions(unit), name, seed, inner_folds)
-        s = score_column(model.transform(one.where(F.col("fold") == fold)))
-        cut = 0.0 if name == "svm_linear" else 0.5
-        m = metrics.detection_scores(s.select("score", "label"), [], cut).select(
-            F.lit(name).alias("model"), F.lit(rep).alias("repeat"), F.lit(fold).alias("fold"), "n", "auroc", "balanced_accuracy", "sensitivity", "specificity", "f1")
-        out = m if out is None else out.unionByName(m)
-    return out
+        inner = sampling.folds(one.where(F.col("fold") != fold).drop("repeat", "fold"), "label", inner_folds, f"{seed}|inner|{rep}|{fold}", unit=unit)
+        return materialise(inner.withColumnRenamed("fold", "inner"), "cv-train"), one.where(F.col("fold") == fold)
+
+    def prepared(train: DataFrame, test: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Both tables as (unit, features, label, weight), with the values of the training rows."""
+        fitted = preparation(columns).fit(train)
+        sides = [materialise(fitted.transform(t).select(unit, "features", "label", "weight"), "cv-prepared") for t in (train, test)]
+        return sides[0].sortWithinPartitions(unit), sides[1]
+
+    outers = in_threads(table.sparkSession, [lambda p=p: outer(*p) for p in plan], threads)
+    tuned = any(len(c.settings) > 1 for c in among)
+    wanted = [(k, j) for k in range(len(plan)) for j in ([-1, *range(inner_folds)] if tuned else [-1])]
+
+    def sides(k: int, j: int) -> tuple[DataFrame, DataFrame]:
+        train, test = outers[k]
+        return prepared(train, test) if j < 0 else prepared(train.where(F.col("inner") != j), train.where(F.col("inner") == j))
+
+    ready = dict(zip(wanted, in_threads(table.sparkSession, [lambda w=w: sides(*w) for w in wanted], threads), strict=True))
+    evaluator = BinaryClassificationEvaluator(rawPredictionCol="rawPrediction", labelCol="label")
+
+    def run(c: Contender, k: int) -> DataFrame:
+        best = c.settings[0]
+        if len(c.settings) > 1:
+            aurocs = [sum(evaluator.evaluate(fit_contender(ready[k, j][0], c, s).transform(ready[k, j][1])) for j in range(inner_folds)) for s in c.settings]
+            best = c.settings[max(range(len(aurocs)), key=lambda i: (aurocs[i], -i))]
+        train, test = ready[k, -1]
+        scored = score_column(fit_contender(train, c, best).transform(test)).select("score", "label")
+        rep, fold = plan[k]
+        return materialise(scored.select(F.lit(c.name).alias("model"), F.lit(rep).alias("repeat"), F.lit(fold).alias("fold"), "score", F.col("label").cast("int").alias("label")), "cv-scores")
+
+    scores = in_threads(table.sparkSession, [lambda c=c, k=k: run(c, k) for c in among for k in range(len(plan))], threads)
+    return metrics.detection_scores(reduce(DataFrame.unionByName, scores), ["model", "repeat", "fold"])
 
 
 # -------------------------------------------------------- linear discriminant

@@ -2,7 +2,7 @@
 
 * filler:     (rows with segment, slot, visible; period) -> rows with `filled`
 * forecaster: (train rows, period, horizon) -> (segment or pid, h, pred)
-* classifier: (test rows, train rows) -> test rows with `score`
+* classifier: (test rows, train rows) -> test rows with `score`; trained ones read the columns whose name begins with `f_`
 """
 
 from __future__ import annotations
@@ -10,12 +10,16 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 
 from pulsegrid.operators import baselines, fills
 from pulsegrid.plans import models, rhythm
 
 
+FEATURE = "f_"
+
+
 @dataclass(frozen=True)
 class Entry:
     family: str
@@ -50,6 +54,23 @@ CLASSIFIERS = {
 }
 
 
+def fitted_on(train: DataFrame, contender: models.Contender) -> PipelineModel:
+    """Preparation and classifier as one model, fitted on the training rows; it can be saved and loaded."""
+    columns = [c for c in train.columns if c.startswith(FEATURE)]
+    prepared = models.preparation(columns).fit(train)
+    return PipelineModel([*prepared.stages, models.fit_contender(prepared.transform(train), contender)])
+
+
+def _trained(contender: models.Contender) -> Callable[..., DataFrame]:
+    def run(test: DataFrame, train: DataFrame) -> DataFrame:
+        return models.score_column(fitted_on(train, contender).transform(test)).select(*test.columns, "score")
+
+    return run
+
+
+CLASSIFIERS.update({c.name: Entry("trained", ("detect",), _trained(c)) for c in models.contenders()})
+
+
 def register(kind: dict[str, Entry], name: str, family: str, tasks: tuple[str, ...], run: Callable[..., DataFrame]) -> None:
     if name in kind:
         raise ValueError(f"{name} is taken")
