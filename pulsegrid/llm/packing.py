@@ -10,6 +10,7 @@ every task continues it where its rows lie in their queues; nothing is simulated
 from __future__ import annotations
 
 import functools
+import re
 import struct
 import unicodedata
 import zlib
@@ -26,7 +27,7 @@ from pulsegrid.sources.stage import materialise
 CAPACITY = 4096
 END = 2
 KEPT_WORDS = 300_000
-"""Words as written, and lower-case words, whose ids a Python worker remembers; beyond, it starts afresh. A question of speed and memory only."""
+"""Words as written, and lower-case words, whose ids a Python worker remembers; beyond, it keeps those of the batch at hand. A question of speed and memory only."""
 
 
 def struct_of(ids: list[int]) -> bytes:
@@ -34,6 +35,13 @@ def struct_of(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
+PROBE = "Hello, world... unbelievably  stra\u00dfe \u00c9\u00e0\u00fc** ci\u00f3n\u00f1. \u039f\u0394\u039f\u03a3 it's don't 3rd 12,5 a\u00b2 x_y \u8a9e\u8a00 e\u0301t\u00e9 <b>T\u00eate</b>\n\t'quoted' end.'"
+"""A text on which encoding word by word must give the whole encoding, else whole texts are encoded."""
+
+SIMPLE = re.compile(r"^(?:([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)|.*)$", re.MULTILINE)
+"""Letters, then ASCII marks without the apostrophe: the splitter makes at most two parts of such a word."""
+
+
 class WordTokenizer:
     """Ids of a text by a tokenizer whose words end at white space: each distinct word is encoded once and remembered."""
 
@@ -41,54 +49,64 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
+        self.model = self.whole.model
         self.seen: dict[bytes, bytes] = {}
         self.plain: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = dict(zip(".,", self._encode([".", ","]), strict=True))
+        self.tails: dict[str, bytes] = {"": b""}
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         spare = iter(range(256, 512))
         self.byte_chars = [chr(b) if b in printable else chr(next(spare)) for b in range(256)]
         self.one_pass = '"type":"BPE"' in self.whole.to_str().replace(" ", "") and self._agrees()
+        self.by_words = self.ids([PROBE.encode()]) == self._encode([PROBE])
 
     def _agrees(self) -> bool:
         """Does the short way give the tokenizer's own ids?"""
         return all(self._letters(w) == self._encode([w])[0] for w in ("hello", "straße", "éàü", "ciónñ", "unbelievably"))
 
     def _encode(self, words: list[str]) -> list[bytes]:
-        return [struct_of(e.ids) for e in self.whole.encode_batch(words, add_special_tokens=False)]
+        return [struct_of(e.ids) for e in self.whole.encode_batch_fast(words, add_special_tokens=False)]
 
     def _letters(self, word: str) -> bytes:
         """Ids of a lower-case word of letters only: neither normalizer nor splitter has anything to do."""
         mapped = word if word.isascii() else "".join(map(self.byte_chars.__getitem__, word.encode()))
-        return struct_of([t.id for t in self.whole.model.tokenize(mapped)])
-
-    def _word(self, raw: bytes) -> bytes | None:
-        """The short way, with one full stop or comma at the end; None if the word is of another kind."""
-        word = raw.decode("utf-8", "replace")
-        tail = word[-1] if word[-1] in ".," else ""
-        base = word[:len(word) - len(tail)].lower()
-        known = self.plain.get(base)
-        if known is None:
-            if not base.isalpha() or "ς" in base or not (base.isascii() or unicodedata.is_normalized("NFC", base)):
-                return None
-            known = self.plain[base] = self._letters(base)
-        return known + self.tails[tail] if tail else known
+        return struct_of([t.id for t in self.model.tokenize(mapped)])
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Remember the ids of new words: letters and a few marks the short way, others by the tokenizer."""
+        text = b"\n".join(words).decode("utf-8", "replace")
+        lower = text.lower()
+        parts = SIMPLE.findall(lower) if self.one_pass else []
+        if len(parts) != len(words):
+            parts = [("", "")] * len(words)
+        normal = lower.isascii() or unicodedata.is_normalized("NFC", lower)
+        other = []
+        for w, (base, tail) in zip(words, parts, strict=True):
+            known = self.plain.get(base)
+            if known is None:
+                if not base.isalpha() or "ς" in base or not (normal or unicodedata.is_normalized("NFC", base)):
+                    other.append(w)
+                    continue
+                known = self.plain[base] = self._letters(base)
+            end = self.tails.get(tail)
+            if end is None:
+                end = self.tails[tail] = self._encode([tail])[0]
+            self.seen[w] = known + end
+        if other:
+            self.seen.update(zip(other, self._encode([w.decode("utf-8", "replace") for w in other]), strict=True))
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
+        if not getattr(self, "by_words", True):
+            return self._encode([t.decode("utf-8", "replace") for t in texts])
         split = [t.split() for t in texts]
+        own = set().union(*split)
         if len(self.seen) > KEPT_WORDS:
-            self.seen.clear()
+            self.seen = {w: self.seen[w] for w in own & self.seen.keys()}
         if len(self.plain) > KEPT_WORDS:
             self.plain.clear()
-        other = []
-        for w in set().union(*split) - self.seen.keys():
-            got = self._word(w) if self.one_pass else None
-            if got is None:
-                other.append(w)
-            else:
-                self.seen[w] = got
-        if other:
-            self.seen.update(zip(other, self._encode([w.decode("utf-8", "replace") for w in other]), strict=True))
+        if len(self.tails) > KEPT_WORDS:
+            self.tails = {"": b""}
+        self._learn(list(own - self.seen.keys()))
         return [b"".join(map(self.seen.__getitem__, words)) for words in split]
 
 

@@ -222,3 +222,19 @@ def test_periodic_runs_query(spark, tmp_path):
 
 def test_periodic_runs_of_an_empty_table(spark):
     assert periodic_runs.periodic_runs(documents(spark, [])).count() == 0
+
+
+def test_word_tokenizer_equals_whole_texts():
+    from tokenizers import Tokenizer
+
+    from pulsegrid.llm import packing
+
+    rng = random.Random(1)
+    bits = ["the ", "Straße ", "ΑΣ ", "étÉ, ", "\n", "²", "½", "x²", "語言", "🙂", "don't", "'s", " ", "...", "***", "<|endoftext|>", "é", "İ", "ſ", "ﬁ", "_", "12", "ab", "#", "　", "\x1c", "$$$ "]
+    texts = ["".join(rng.choice(bits) for _ in range(40)) for _ in range(800)] + [""]
+    for name, by_words in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):
+        lib = Tokenizer.from_file(public_tokenizers.path(name))
+        own = packing.WordTokenizer(public_tokenizers.path(name))
+        assert own.by_words == by_words
+        want = [np.array(lib.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+        assert own.ids([t.encode() for t in texts]) == want
