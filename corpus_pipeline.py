@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.llm import decontamination, packing, simhash_dedup, substring_dedup, toxicity
+from pulsegrid.llm.common import neutral
 from pulsegrid.sources.stage import materialise
 
 TOKENIZER = "word_bpe_49k.json"
@@ -32,12 +33,14 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words inside repeated windows go; a document without any keeps its text as it is."""
-    out = substring_dedup.drop_repeats(docs)
-    text = F.when(F.col("_n_removed") > 0, F.col("_kept_text")).otherwise(F.col("text"))
-    out = out.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    names, plain = docs.columns, neutral(docs)
+    own = dict(zip(names, plain.columns, strict=True))
+    out = substring_dedup.drop_repeats(plain, own["doc_id"], own["text"])
+    cut = F.col("_n_removed") > 0
+    new = {own["text"]: F.when(cut, F.col("_kept_text")).otherwise(F.col(own["text"]))}
+    if "n_chars" in names:
+        new[own["n_chars"]] = F.when(cut, F.length("_kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col(own["n_chars"]))
+    return out.withColumns(new).select(*plain.columns).toDF(*names)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,6 +26,11 @@ def utf8(text: str = "text") -> Column:
     return F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
 
 
+def neutral(docs: DataFrame) -> DataFrame:
+    """The same rows with columns named c0, c1, …, which no helper column is named like."""
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """Is crc32 of the id's decimal text a multiple of five? A null id counts as held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(True))

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import map_arrow, table, utf8, window_hashes, word_hashes
+from pulsegrid.llm.common import map_arrow, neutral, table, utf8, window_hashes, word_hashes
 from pulsegrid.sources.stage import materialise
 
 SHINGLE = 5
@@ -185,7 +185,8 @@ def hamming_pairs(probes: DataFrame, items: DataFrame) -> DataFrame:
 def drop_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `docs`, all columns, without the documents that hold a benchmark passage. Rows without a doc_id are judged together."""
     bad = leaks(docs, items, doc_id=doc_id, text=text).select(F.col("doc_id").alias("_bad"), F.lit(True).alias("_leaks")).distinct()
-    return docs.join(bad, F.col(doc_id).cast("long").eqNullSafe(F.col("_bad")), "left_anti")
+    names = docs.columns
+    return neutral(docs).join(bad, F.col(f"c{names.index(doc_id)}").cast("long").eqNullSafe(F.col("_bad")), "left_anti").toDF(*names)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -8,6 +8,8 @@ bundled full texts, whose weight lies in words of all prose, add no anchors: the
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import re
 from math import log
 
@@ -133,8 +135,9 @@ def _idf(n: int, df: int) -> float:
     return log((1 + n) / (1 + df)) + 1
 
 
-def license_scan(files: DataFrame, *, path: str = "path", text: str = "text", templates: dict[str, str] | None = None, least: float = LEAST_COSINE) -> DataFrame:
-    """(path, own_license, similarity, license, inherited_from): one row per row of `files`.
+def license_scan(files: DataFrame, *, path: str = "path", text: str = "text", templates: dict[str, str] | None = None, least: float = LEAST_COSINE,
+                 keep: Sequence[str] = ()) -> DataFrame:
+    """(path, own_license, similarity, license, inherited_from) and the `keep` columns: one row per row of `files`.
 
     `license` is the file's own or else that of the nearest ancestor directory (its own directory first, "" is the root) with a licence
     file that was recognised; `inherited_from` names it. Of several in one directory the best match counts, then the template named
@@ -155,19 +158,21 @@ def license_scan(files: DataFrame, *, path: str = "path", text: str = "text", te
     near = dirs.select("_dir", F.explode(F.array_distinct(ups)).alias("_up")).join(here, "_up").groupBy("_dir").agg(
         F.max_by(F.struct("_got", "_up"), F.length("_up")).alias("_near"))
     near = materialise(near.select("_dir", "_near._got", "_near._up"), "inherited-licenses")
-    rows = files.select(F.col(path).alias("_path"), directory(F.col(path)).alias("_dir")).join(own, "_path", "left").join(near, "_dir", "left")
+    kept = {f"_keep_{i}": F.col(c) for i, c in enumerate(keep)}
+    rows = files.select(F.col(path).alias("_path"), directory(F.col(path)).alias("_dir"), *[c.alias(n) for n, c in kept.items()]).join(own, "_path", "left").join(near, "_dir", "left")
     got = F.col("own_license").isNull()
-    return rows.select(F.col("_path").alias("path"), "own_license", "similarity", F.coalesce("own_license", "_got").alias("license"), F.when(got, F.col("_up")).alias("inherited_from"))
+    return rows.select(F.col("_path").alias("path"), "own_license", "similarity", F.coalesce("own_license", "_got").alias("license"), F.when(got, F.col("_up")).alias("inherited_from"), *[F.col(n).alias(c) for n, c in zip(kept, keep, strict=True)])
 
 
 def paths_of(docs: DataFrame) -> DataFrame:
-    """`documents` as a tree of files: source, then thousands and hundreds of the id; every fiftieth document is its directory's licence file."""
+    """`documents` as a tree of files: source, then ten-thousands and five-hundreds of the id; every fiftieth document is its directory's licence
+    file. A document without an id has no path."""
     i = F.col("doc_id")
     name = F.when(i % 50 == 0, F.concat(F.lit("LICENSE-"), i)).otherwise(F.concat(F.lit("doc-"), i))
-    return docs.withColumn("path", F.concat_ws("/", F.coalesce("source", F.lit("none")), F.floor(i / 10_000).cast("string"), F.floor(i / 500).cast("string"), F.concat(name, F.lit(".txt"))))
+    return docs.withColumn("path", F.when(i.isNotNull(), F.concat_ws("/", F.coalesce("source", F.lit("none")), F.floor(i / 10_000).cast("string"), F.floor(i / 500).cast("string"), F.concat(name, F.lit(".txt")))))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = paths_of(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    out = license_scan(docs)
-    return out.select(F.regexp_extract("path", r"-(\d+)\.txt$", 1).cast("long").alias("doc_id"), "path", "own_license", F.round("similarity", 6).alias("similarity"), "license", "inherited_from")
+    out = license_scan(docs, keep=["doc_id"])
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), "path", "own_license", F.round("similarity", 6).alias("similarity"), "license", "inherited_from")

@@ -10,14 +10,15 @@ every task continues it where its rows lie in their queues; nothing is simulated
 from __future__ import annotations
 
 import functools
-import re
 import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +28,7 @@ from pulsegrid.sources.stage import materialise
 CAPACITY = 4096
 END = 2
 KEPT_WORDS = 300_000
-"""Words as written, and lower-case words, whose ids a Python worker remembers; beyond, it keeps those of the batch at hand. A question of speed and memory only."""
+"""Lower-case words whose ids a Python worker remembers; beyond, it starts afresh. A question of speed and memory only."""
 
 
 def struct_of(ids: list[int]) -> bytes:
@@ -38,8 +39,20 @@ def struct_of(ids: list[int]) -> bytes:
 PROBE = "Hello, world... unbelievably  stra\u00dfe \u00c9\u00e0\u00fc** ci\u00f3n\u00f1. \u039f\u0394\u039f\u03a3 it's don't 3rd 12,5 a\u00b2 x_y \u8a9e\u8a00 e\u0301t\u00e9 <b>T\u00eate</b>\n\t'quoted' end.'"
 """A text on which encoding word by word must give the whole encoding, else whole texts are encoded."""
 
-SIMPLE = re.compile(r"^(?:([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)|.*)$", re.MULTILINE)
-"""Letters, then ASCII marks without the apostrophe: the splitter makes at most two parts of such a word."""
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+"""ASCII marks without the apostrophe: after letters, the splitter makes one part of any number of them."""
+
+
+def texts_of(words: pa.Array) -> list[str]:
+    return words.to_numpy(zero_copy_only=False).tolist()
+
+
+def gathered(blob: np.ndarray, size: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs `codes` name, one after another, out of runs of these sizes in `blob`; and where each begins, with the end."""
+    begin = np.cumsum(size) - size
+    n = size[codes]
+    upto = np.concatenate([[0], np.cumsum(n)])
+    return blob[np.repeat(begin[codes] - upto[:-1], n) + np.arange(upto[-1])], upto
 
 
 class WordTokenizer:
@@ -50,13 +63,13 @@ class WordTokenizer:
 
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
-        self.seen: dict[bytes, bytes] = {}
         self.plain: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {"": b""}
+        self.tails: dict[str, bytes] = {}
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         spare = iter(range(256, 512))
         self.byte_chars = [chr(b) if b in printable else chr(next(spare)) for b in range(256)]
         self.one_pass = '"type":"BPE"' in self.whole.to_str().replace(" ", "") and self._agrees()
+        self.by_words = True
         self.by_words = self.ids([PROBE.encode()]) == self._encode([PROBE])
 
     def _agrees(self) -> bool:
@@ -71,43 +84,73 @@ class WordTokenizer:
         mapped = word if word.isascii() else "".join(map(self.byte_chars.__getitem__, word.encode()))
         return struct_of([t.id for t in self.model.tokenize(mapped)])
 
-    def _learn(self, words: list[bytes]) -> None:
-        """Remember the ids of new words: letters and a few marks the short way, others by the tokenizer."""
-        text = b"\n".join(words).decode("utf-8", "replace")
-        lower = text.lower()
-        parts = SIMPLE.findall(lower) if self.one_pass else []
-        if len(parts) != len(words):
-            parts = [("", "")] * len(words)
-        normal = lower.isascii() or unicodedata.is_normalized("NFC", lower)
-        other = []
-        for w, (base, tail) in zip(words, parts, strict=True):
-            known = self.plain.get(base)
-            if known is None:
-                if not base.isalpha() or "ς" in base or not (normal or unicodedata.is_normalized("NFC", base)):
-                    other.append(w)
-                    continue
-                known = self.plain[base] = self._letters(base)
-            end = self.tails.get(tail)
-            if end is None:
-                end = self.tails[tail] = self._encode([tail])[0]
-            self.seen[w] = known + end
-        if other:
-            self.seen.update(zip(other, self._encode([w.decode("utf-8", "replace") for w in other]), strict=True))
-
-    def ids(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        if not getattr(self, "by_words", True):
-            return self._encode([t.decode("utf-8", "replace") for t in texts])
-        split = [t.split() for t in texts]
-        own = set().union(*split)
-        if len(self.seen) > KEPT_WORDS:
-            self.seen = {w: self.seen[w] for w in own & self.seen.keys()}
+    def _bases(self, bases: list[str]) -> list[bytes | None]:
+        """Ids of lower-case words of letters; None where a normal form may differ."""
+        got = list(map(self.plain.get, bases))
+        new = [i for i, x in enumerate(got) if x is None]
+        normal = unicodedata.is_normalized("NFC", "\n".join([bases[i] for i in new]))
+        for i in new:
+            w = bases[i]
+            if normal or unicodedata.is_normalized("NFC", w):
+                got[i] = self.plain[w] = self._letters(w)
+        return got
+
+    def _distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct words one after another, and their numbers. Letters with marks after them are two units, found once each; other
+        words go through the whole tokenizer."""
+        lower = pc.utf8_lower(words)
+        base = pc.utf8_rtrim(lower, MARKS)
+        plain = pc.and_not(pc.utf8_is_alpha(base), pc.match_substring(words, "İ")).to_numpy(zero_copy_only=False)
+        if not self.one_pass:
+            plain[:] = False
+        coded = base.dictionary_encode()
+        base_code, names = coded.indices.to_numpy().astype(np.int64), texts_of(coded.dictionary)
+        used = np.zeros(len(names), dtype=bool)
+        used[base_code[plain]] = True
+        units: list[bytes] = [b""] * len(names)
+        at = np.flatnonzero(used).tolist()
+        for i, x in zip(at, self._bases([names[i] for i in at]), strict=True):
+            if x is None:
+                used[i] = False
+            else:
+                units[i] = x
+        plain &= used[base_code]
+        extra = (pc.binary_length(lower).to_numpy() - pc.binary_length(base).to_numpy()).astype(np.int64)
+        tailed, odd = np.flatnonzero(plain & (extra > 0)), np.flatnonzero(~plain)
+        code = np.full((len(words), 2), len(names), dtype=np.int64)  # a unit without ids
+        code[plain, 0] = base_code[plain]
+        units.append(b"")
+        tails = [w[-n:] for w, n in zip(texts_of(lower.take(pa.array(tailed))), extra[tailed].tolist(), strict=True)]
+        number = {t: len(units) + i for i, t in enumerate(dict.fromkeys(tails))}
+        new = [t for t in number if t not in self.tails]
+        self.tails.update(zip(new, self._encode(new), strict=True))
+        units += [self.tails[t] for t in number]
+        code[tailed, 1] = [number[t] for t in tails]
+        code[odd, 0] = np.arange(len(units), len(units) + len(odd))
+        units += self._encode(texts_of(words.take(pa.array(odd))))
+        size = np.fromiter(map(len, units), dtype=np.int64, count=len(units)) // 4
+        ids, upto = gathered(np.frombuffer(b"".join(units), dtype="<u4"), size, code.ravel())
+        return ids, np.diff(upto[::2])
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (UTF-8, none null) one after another, and where each text's begin; the last entry is their number."""
+        if not self.by_words:
+            each = [np.frombuffer(x, dtype="<u4") for x in self._encode(texts_of(texts.cast(pa.string())))]
+            return np.concatenate([np.empty(0, dtype="<u4"), *each]), np.cumsum([0, *map(len, each)])
         if len(self.plain) > KEPT_WORDS:
             self.plain.clear()
         if len(self.tails) > KEPT_WORDS:
-            self.tails = {"": b""}
-        self._learn(list(own - self.seen.keys()))
-        return [b"".join(map(self.seen.__getitem__, words)) for words in split]
+            self.tails.clear()
+        split = pc.ascii_split_whitespace(texts.cast(pa.string()))
+        coded = split.flatten().dictionary_encode()
+        ids, upto = gathered(*self._distinct(coded.dictionary), coded.indices.to_numpy())
+        place = split.offsets.to_numpy()
+        return ids, upto[place - place[0]]
+
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        ids, at = self.encode(pa.array(texts, pa.binary()))
+        return [ids[a:b].tobytes() for a, b in pairwise(at.tolist())]
 
 
 @functools.cache
@@ -174,12 +217,15 @@ def tokens(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
         t = tokenizer(path)
         for batch in batches:
             for part in slices(batch, "_text", 4_000_000):
-                ids = [x + np.uint32(END).tobytes() for x in t.ids(part.column("_text").to_pylist())]
+                ids, at = t.encode(part.column("_text"))
+                ids = np.insert(ids, at[1:], END).astype("<u4")
+                ends = at + np.arange(len(at))
                 before = []
-                for s, x in zip(part.column("source").to_pylist(), ids, strict=True):
+                for s, n in zip(part.column("source").to_pylist(), np.diff(ends).tolist(), strict=True):
                     before.append(queue.get(s, 0))
-                    queue[s] = before[-1] + len(x) // 4
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("source"), pa.array(ids, pa.binary()), part.column("part"), pa.array(before, pa.int64())],
+                    queue[s] = before[-1] + n
+                ids = pa.Array.from_buffers(pa.large_binary(), len(before), [None, pa.py_buffer((4 * ends).astype("<i8")), pa.py_buffer(ids)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("source"), ids, part.column("part"), pa.array(before, pa.int64())],
                                                  names=["doc_id", "source", "ids", "part", "before"])
 
     name = F.coalesce(F.col(source).cast("string"), F.lit("")) if source else F.lit("")

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import map_arrow, table, utf8
+from pulsegrid.llm.common import map_arrow, neutral, table, utf8
 from pulsegrid.llm.graph import components
 from pulsegrid.sources.stage import materialise
 
@@ -126,13 +126,15 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
     Rows without a doc_id cannot be told apart and stay. Of repeated rows with one doc_id one stays.
     """
+    names, docs = docs.columns, neutral(docs)
+    doc_id, text = f"c{names.index(doc_id)}", f"c{names.index(text)}"
     groups = simhash_groups(docs, doc_id, text)
     stays = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_stay")).distinct()
     kept = docs.join(stays, F.col(doc_id).cast("long") == F.col("_stay"), "left_semi")
     again = materialise(docs.groupBy(doc_id).count().where("count > 1").select(F.col(doc_id).alias("_again")), "repeated-ids")
     once = kept.join(again, F.col(doc_id) == F.col("_again"), "left_anti")
     more = kept.join(again, F.col(doc_id) == F.col("_again"), "left_semi").dropDuplicates([doc_id])
-    return once.unionByName(more).unionByName(docs.where(F.col(doc_id).isNull()))
+    return once.unionByName(more).unionByName(docs.where(F.col(doc_id).isNull())).toDF(*names)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

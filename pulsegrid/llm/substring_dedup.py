@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import BATCH_BYTES, map_arrow, mix, parts_for, slices, table, utf8, window_hashes, word_hashes
+from pulsegrid.llm.common import BATCH_BYTES, map_arrow, mix, neutral, parts_for, slices, table, utf8, window_hashes, word_hashes
 
 WINDOW = 13
 SEED_WORDS = 5
@@ -192,13 +192,19 @@ def remaining(text: bytes, spans: list[bytes], window: int) -> tuple[list[bytes]
     return [w for w, g in zip(words, gone.tolist(), strict=True) if not g], len(words)
 
 
+ADDED = ("_kept_text", "_n_words", "_n_removed")
+
+
 def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, k: int = SEED_WORDS) -> DataFrame:
-    """All columns of `docs`, with `_kept_text` (kept words joined by one blank; null for a null text), `_n_words` and `_n_removed`.
+    """All columns of `docs`, of any name but those of the three that are added: `_kept_text` (kept words joined by one blank; null for a null text), `_n_words` and `_n_removed`.
 
     A word goes if it lies in a window of `window` words that also starts in a document with a smaller id. Null and empty texts
     have no words. A null id is later than every other and removes nothing; rows that share an id remove nothing from one
     another. Texts shorter than the window are kept. Long texts and documents with thousands of copies are handled whole.
     """
+    own = [c for c in docs.columns if c not in ADDED]
+    docs = neutral(docs.select(*own))
+    doc_id, text = f"c{own.index(doc_id)}", f"c{own.index(text)}"
     crc = F.crc32(utf8(text)).alias("_crc")
     spans = repeats(docs, doc_id, text, window, k).groupBy(F.col("doc_id").alias("_id"), F.col("crc").alias("_crc")).agg(F.collect_list("spans").alias("_spans"))
     key = F.coalesce(F.col(doc_id).cast("long"), F.lit(int(NO_ID)).cast("long")).alias("_id")
@@ -220,7 +226,7 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
 
     schema = docs.select(*names, F.col(text).cast("string").alias(text), F.lit(None).cast("string").alias("_kept_text"), F.lit(0).cast("long").alias("_n_words"), F.lit(0).cast("long").alias("_n_removed")).schema
     rows = joined.select(*names, "_zip", "_spans")
-    return map_arrow(rows, cut, schema, text="_zip", limit=BATCH_BYTES // 4).select(*docs.columns, "_kept_text", "_n_words", "_n_removed")
+    return map_arrow(rows, cut, schema, text="_zip", limit=BATCH_BYTES // 4).select(*docs.columns, *ADDED).toDF(*own, *ADDED)
 
 
 def squeezed(docs: DataFrame, text: str) -> DataFrame:

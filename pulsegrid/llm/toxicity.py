@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from pulsegrid.llm.common import held_out, map_arrow, table, utf8
+from pulsegrid.llm.common import held_out, map_arrow, neutral, table, utf8
 from pulsegrid.sources.stage import materialise
 
 # The word classes the grammar starts from, in English, German, French and Spanish.
@@ -296,7 +296,8 @@ def with_scores(docs: DataFrame, grammar: Grammar, text: str = "text") -> DataFr
                                            pa.array([sum(m.values()) for m in found], pa.int32())], names=[*names, "_score", "_clauses"])
 
     schema = StructType([*docs.schema.fields, StructField("_score", DoubleType()), StructField("_clauses", IntegerType())])
-    return map_arrow(docs.select("*", F.col(text).cast("string").cast("binary").alias("_bytes")), run, schema, text="_bytes")
+    plain = neutral(docs).withColumn("_bytes", F.col(f"c{names.index(text)}").cast("string").cast("binary"))
+    return map_arrow(plain, run, schema, text="_bytes")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:

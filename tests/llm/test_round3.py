@@ -238,3 +238,45 @@ def test_word_tokenizer_equals_whole_texts():
         assert own.by_words == by_words
         want = [np.array(lib.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
         assert own.ids([t.encode() for t in texts]) == want
+
+
+HELPERS = ("_id", "_crc", "_zip", "_spans", "_stay", "_again", "_bad", "_leaks", "_bytes", "_score", "_clauses", "_kept_text", "_n_words", "_n_removed", "c0", "c1", "fp", "part")
+
+
+def test_stages_carry_columns_of_any_name(spark, tmp_path):
+    import corpus_pipeline
+
+    w = lambda n, seed: " ".join(f"w{x}" for x in np.random.default_rng(seed).integers(0, 10**6, n))
+    texts = [w(40, 1), w(40, 1), w(30, 2) + " " + w(20, 3), w(20, 3) + " " + w(30, 4), None, ""]
+    rows = [(*[f"h{i}" for i, _ in enumerate(HELPERS)], i, t, None if t is None else len(t), "en", "s") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, ", ".join(f"`{h}` string" for h in HELPERS) + ", doc_id long, text string, n_chars long, lang string, source string")
+    spark.createDataFrame([(0, 0)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "none of these words")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        got = out.collect()
+        assert all([r[h] for h in HELPERS] == [f"h{i}" for i, _ in enumerate(HELPERS)] for r in got) and len(got) >= 4, name
+        if name == "substring_dedup":
+            assert {r.doc_id: r.text for r in got}[3] == w(30, 4) and {r.doc_id: r.n_chars for r in got}[3] == len(w(30, 4))
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == len(texts)
+
+
+def test_license_query_with_null_and_negative_ids(spark, tmp_path):
+    from pulsegrid.llm import license_scan
+
+    rows = [(None, "Licensed under the Apache License, Version 2.0", "s"), (-7, "plain words", "s"), (50, "Licensed under the Apache License, Version 2.0", "s"), (51, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in license_scan.query(spark, str(tmp_path)).collect()}
+    assert set(got) == {None, -7, 50, 51} and got[None].path is None and got[None].license is None and got[50].own_license
+
+
+def test_encoding_batches_of_null_free_texts():
+    import pyarrow as pa
+
+    from pulsegrid.llm import packing
+
+    own = packing.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    ids, at = own.encode(pa.array([b"", b" ", b"a b", b"a"], pa.binary()))
+    assert at.tolist()[:3] == [0, 0, 0] and at[-1] == len(ids) == 3
+    assert own.encode(pa.array([], pa.binary()))[1].tolist() == [0]
