@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.catalog import standins as S
 from pulsegrid.catalog.registry import query
-from pulsegrid.operators import segments, timeline
+from pulsegrid.operators import coverage, segments, timeline
 from pulsegrid.operators.core import slot_start
 from pulsegrid.plans import hubs
 from pulsegrid.sources.stage import materialise
@@ -59,6 +59,14 @@ def sparse_hub(spark, sf):
                                                ["hr", "hrv", "temp", "spo2"]), "minutes")
 
 
+def slot_hub(spark, sf):
+    """Ten-minute slots from readings and intervals; spo2 stands for steps."""
+    st = S.stretches(spark, sf)
+    points = S.signals(spark, sf).withColumn("vital", F.when(F.col("vital") == "spo2", "steps").otherwise(F.col("vital")))
+    flags = {n: st.where(F.col("vital") == n) for n in ("rest", "active")}
+    return coverage.slot_hub(points, flags, ["hr", "hrv", "temp", "steps"], ["pid"], "hrv", ["hr", "temp"], ["steps"])
+
+
 @query("c02_minute_hub", "pid:l date:d minutes:l hr:l hrv:f rest:l active:l", f"""with {HUB} select pid, cast(make_timestamp(slot * 60 * 1000000) as date) as date, count(*) as minutes, count(hr) as hr, sum(hrv) as hrv, sum(rest) as rest, sum(active) as active from minutes group by 1, 2""")
 def c02b(spark, sf):
     return minute_hub(spark, sf).groupBy("pid", F.to_date(slot_start("slot", 60)).alias("date")).agg(
@@ -74,7 +82,7 @@ GRID10 = HUB + """, ms as (select pid, (min(slot) // 10) as a, max(slot) as b fr
 select pid, cast(make_timestamp(slot * 600 * 1000000) as date) as date, count(*) as slots, avg(hrv) as hrv, sum(hrv_n) as hrv_n, sum(hr_n) as hr_n, avg(temp) as temp,
  sum(steps) as steps, sum(rest_frac) as rest, sum(active_frac) as active from grid10 group by 1, 2""")
 def d03b(spark, sf):
-    g = timeline.multi_grid(sparse_hub(spark, sf).withColumnRenamed("spo2", "steps"), ["pid"], "hrv", ["hr", "temp"], ["steps"], ["rest", "active"])
+    g = slot_hub(spark, sf)
     return g.groupBy("pid", F.to_date(slot_start("slot", 600)).alias("date")).agg(
         F.count(F.lit(1)).alias("slots"), F.avg("hrv").alias("hrv"), F.sum("hrv_n").alias("hrv_n"), F.sum("hr_n").alias("hr_n"),
         F.avg("temp").alias("temp"), F.sum("steps").alias("steps"), F.sum("rest_frac").alias("rest"), F.sum("active_frac").alias("active"))
@@ -89,7 +97,7 @@ DAILY = GRID10 + """, daily as (select pid, cast(make_timestamp(slot * 600 * 100
 select pid, date, hrv_median, hrv_n, hr_mean, temp_mean, steps_total, rest_hours as rest_frac_hours, 100.0 * least(hrv_n, 144) / 144 as coverage_pct,
  case when i < (c * 80) // 100 then 'train' else 'test' end as split from n""")
 def d04(spark, sf):
-    g = timeline.multi_grid(sparse_hub(spark, sf).withColumnRenamed("spo2", "steps"), ["pid"], "hrv", ["hr", "temp"], ["steps"], ["rest", "active"])
+    g = slot_hub(spark, sf)
     d = timeline.daily_rollup(g, ["pid"], 600, means=["hr", "temp"], totals=["steps"], fractions=["rest_frac"])
     return segments.split_days(d, ["pid"])
 
