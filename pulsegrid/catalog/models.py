@@ -13,6 +13,7 @@ from pulsegrid.catalog.windows import LINE
 from pulsegrid.operators import baselines, daystore, fills, joins, metrics, sampling
 from pulsegrid.plans import features as PF
 from pulsegrid.plans import hubs, models, registry, rhythm
+from pulsegrid.plans.neighbours import neighbour_votes
 from pulsegrid.sources.stage import materialise
 
 PERIOD = 4  # six-hour slots per day
@@ -124,8 +125,7 @@ select id, avg(y) as uniform, sum(y / sqrt(d)) / sum(1 / sqrt(d)) as by_distance
 def h10(spark, sf):
     rows = labelled_vectors(spark, sf).select("pid", "x", "label")
     test, train = rows.where("pid % 4 = 0"), rows.where("pid % 4 <> 0")
-    u = models.nearest_vote(test, train, "pid", "x", "label", 5, block=128).withColumnRenamed("score", "uniform")
-    return u.join(models.nearest_vote(test, train, "pid", "x", "label", 5, "distance", block=128).withColumnRenamed("score", "by_distance"), "id")
+    return neighbour_votes(test, train, "pid", "x", "label", 5)
 
 
 @query("h11_nested_cv", "model:s auroc:f auroc_lo:f auroc_hi:f repeats:l")
