@@ -125,7 +125,7 @@ select id, avg(y) as uniform, sum(y / sqrt(d)) / sum(1 / sqrt(d)) as by_distance
 def h10(spark, sf):
     rows = labelled_vectors(spark, sf).select("pid", "x", "label")
     test, train = rows.where("pid % 4 = 0"), rows.where("pid % 4 <> 0")
-    return neighbour_votes(test, train, "pid", "x", "label", 5)
+    return neighbour_votes(test, train, "pid", "x", "label", 5, pivots=8, rings=4)
 
 
 @query("h11_nested_cv", "model:s auroc:f auroc_lo:f auroc_hi:f repeats:l")
