@@ -58,6 +58,10 @@ def rule_of(host: Column, path: Column, rules: tuple[Rule, ...], what: str) -> C
     return F.coalesce(*picks) if picks else F.lit(None).cast("string")
 
 
+BLOCKS_TO_SEND = 1 << 21
+"""Blocks of a filter that is broadcast: at most 32 MB of longs."""
+
+
 def _block(key: Column, blocks: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(blocks))
 
@@ -76,30 +80,33 @@ def bloom_blocks(listed: DataFrame, key: str, blocks: int, probes: int) -> DataF
 
 
 def url_filter(pages: DataFrame, listed: DataFrame, rules: tuple[Rule, ...] = RULES, *, page_id: str = "page_id", url: str = "url",
-               listed_url: str = "url", keys_per_block: int = 4, probes: int = 4) -> DataFrame:
+               listed_url: str = "url", keys_per_block: int = 4, probes: int = 4, blocks_to_send: int = BLOCKS_TO_SEND) -> DataFrame:
     """(page_id, host, path, rule, verdict, listed) for every row of `pages`.
 
     The longest rule that fits gives the verdict; else a page whose canonical URL is in `listed` is blocked, the others
     are allowed. Null or odd URLs have an empty host and path, fit no rule, and are never listed. Repeated rows are
     judged each. Other columns are not read. An empty list lists nothing.
 
-    The list and the filter are written before they are joined, so Spark knows their sizes: it broadcasts them below its
-    own threshold and shuffles, with adaptive splitting of a hot URL, above it. The number of blocks follows from the
-    list's length.
+    The list and the filter are written before they are joined, so Spark knows their sizes. A filter of up to `blocks_to_send`
+    blocks (16 bytes each) is broadcast, a larger one is shuffled. Only pages that the filter lets through meet the list; the
+    others, nearly all, are never shuffled for it. The number of blocks follows from the list's length.
     """
     keys = listed.select(canonical(F.col(listed_url)).alias("key"), host_of(F.col(listed_url)).alias("h")).where("h <> ''").select("key").distinct()
     keys = materialise(keys, "listed-urls")
     blocks = max(1, keys.count() // keys_per_block)
     bloom = materialise(bloom_blocks(keys, "key", blocks, probes), "url-bloom")
+    if blocks <= blocks_to_send:
+        bloom = F.broadcast(bloom)
     u = F.col("_u")
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("_u")).select(
         "page_id", host_of(u).alias("host"), path_of(u).alias("path"), canonical(u).alias("_key"))
     rows = rows.withColumn("_block", _block(F.col("_key"), blocks)).join(bloom.select(F.col("block").alias("_block"), F.col("bits").alias("_bits")), "_block", "left")
     mask = _mask(F.col("_key"), probes)
     maybe = F.coalesce((F.col("_bits").bitwiseAND(mask) == mask) & (F.col("host") != ""), F.lit(False))
-    # a page that the filter rejects carries no key into the exact join
-    rows = rows.select("page_id", "host", "path", F.when(maybe, F.col("_key")).alias("_key"))
-    hits = rows.join(keys.select(F.col("key").alias("_key"), F.lit(True).alias("_hit")), "_key", "left")
+    rows = rows.select("page_id", "host", "path", "_key", maybe.alias("_maybe"))
+    met = rows.where("_maybe").join(keys.select(F.col("key").alias("_key"), F.lit(True).alias("_hit")), "_key", "left")
+    hits = met.select("page_id", "host", "path", "_hit").unionByName(
+        rows.where("not _maybe").select("page_id", "host", "path", F.lit(None).cast("boolean").alias("_hit")))
     host, path, hit = F.col("host"), F.col("path"), F.coalesce(F.col("_hit"), F.lit(False))
     return hits.select("page_id", "host", "path", rule_of(host, path, rules, "name").alias("rule"),
                        F.coalesce(rule_of(host, path, rules, "verdict"), F.when(hit, "block").otherwise("allow")).alias("verdict"), hit.alias("listed"))
