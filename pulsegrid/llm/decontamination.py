@@ -155,11 +155,14 @@ def leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: st
 
     probes = map_arrow(distinct, windows, "key binary, start long, end long, n long, fp long", text="bag")
     pairs = hamming_pairs(probes, bench.select("item_id", "n", F.col("fp").alias("item_fp")))
-    pairs = pairs.join(distinct, "key").join(bench.select("item_id", F.col("bag").alias("item_bag")), "item_id")
+    # a pair carries the shingles of its window, not those of the whole region
+    own = F.substring("bag", (8 * F.col("start") + 1).cast("int"), (8 * (F.col("end") - F.col("start"))).cast("int")).alias("bag")
+    pairs = pairs.join(distinct, "key").select("key", "item_id", "start", "end", own).join(
+        bench.select("item_id", F.col("bag").alias("item_bag")), "item_id")
 
     def verify(batch: pa.RecordBatch) -> pa.RecordBatch:
-        bags = zip(*(batch.column(c).to_pylist() for c in ("bag", "item_bag", "start", "end")), strict=True)
-        sims = [jaccard(np.frombuffer(x, dtype="<u8")[a:b], np.frombuffer(y, dtype="<u8")) for x, y, a, b in bags]
+        bags = zip(*(batch.column(c).to_pylist() for c in ("bag", "item_bag")), strict=True)
+        sims = [jaccard(np.frombuffer(x, dtype="<u8"), np.frombuffer(y, dtype="<u8")) for x, y in bags]
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "item_id", "start", "end")), pa.array(sims, pa.float64())], names=["key", "item_id", "start", "end", "similarity"])
 
     sure = map_arrow(pairs, verify, "key binary, item_id long, start long, end long, similarity double", text="item_bag").where(F.col("similarity") >= similarity)
@@ -170,13 +173,18 @@ def leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: st
 
 
 def hamming_pairs(probes: DataFrame, items: DataFrame) -> DataFrame:
-    """Probes with the items of their size whose fingerprints differ in at most RADIUS bits."""
+    """Probes with the items of their size whose fingerprints differ in at most RADIUS bits.
+
+    The listing holds 2,788 rows an item. It is written before the join, so Spark sees its real size and shuffles it, by size
+    of item, block and value, where it is too large to broadcast.
+    """
     width = 64 // BLOCKS
     flips = [0, *(sum(1 << i for i in c) for r in range(1, RADIUS // BLOCKS + 1) for c in combinations(range(width), r))]
     block = lambda fp, i: F.shiftrightunsigned(fp, width * i).bitwiseAND(F.lit((1 << width) - 1))
     listed = items.select("item_id", "n", "item_fp", F.posexplode(F.array(*[block(F.col("item_fp"), i) for i in range(BLOCKS)])).alias("block", "own"))
     listed = listed.select("item_id", "n", "item_fp", "block", "own", F.explode(F.lit(flips).cast("array<long>")).alias("flip")).select(
         "item_id", "n", "item_fp", "block", F.col("own").bitwiseXOR(F.col("flip")).alias("value"))
+    listed = materialise(listed, "benchmark-listing")
     asked = probes.select("key", "start", "end", "n", "fp", F.posexplode(F.array(*[block(F.col("fp"), i) for i in range(BLOCKS)])).alias("block", "value"))
     near = asked.join(listed, ["n", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
     return near.select("key", "start", "end", "item_id").distinct()
