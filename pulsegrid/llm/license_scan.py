@@ -86,13 +86,24 @@ def sections(lines: DataFrame, anchors: list[str]) -> DataFrame:
     found = lines.select("_path", "lines", F.explode(F.array(here)).alias("here")).where(F.size("here") > 0)
 
     def windows(size: int) -> Column:
-        last = F.greatest(n - size, F.lit(0))
-        starts = F.array_append(F.sequence(F.lit(0), last, F.lit(max(1, size // 4))), last) if size > 7 else F.sequence(F.lit(0), last)
-        held = F.filter(starts, lambda s: F.exists("here", lambda i: (i >= s) & (i < s + size)))
-        return F.transform(held, lambda s: F.struct(s.alias("start"), F.least(n, F.lit(size)).alias("size")))
-
-    spans = F.array_distinct(F.concat(*[windows(k) for k in WINDOWS], F.array(F.struct(F.lit(0).alias("start"), n.alias("size")))))
-    spans = found.select("_path", "lines", F.explode(spans).alias("span"))
+        """Coded starts and sizes of the windows of one size: each anchored line names those it lies in, so the work grows with the lines."""
+        last, step = F.greatest(n - size, F.lit(0)), max(1, size // 4) if size > 7 else 1
+
+        def around(i: Column) -> Column:
+            low, high = F.greatest(i - (size - 1), F.lit(0)), F.least(i, last)
+            first, final = F.ceil(low / step).cast("int") * step, F.floor(high / step).cast("int") * step
+            on_grid = F.when(first <= final, F.sequence(first, final, F.lit(step))).otherwise(F.array().cast("array<int>"))
+            return F.when((last >= low) & (last <= i), F.array_append(on_grid, last)).otherwise(on_grid)
+
+        starts = F.array_distinct(F.flatten(F.transform("here", around)))
+        return F.transform(starts, lambda s: coded(s, F.least(n, F.lit(size))))
+
+    # one number for each window: Spark tells numbers apart by hashing, but compares structs in pairs
+    coded = lambda start, size: start.cast("long") * (1 << 31) + size
+    codes = F.array_distinct(F.concat(*[windows(k) for k in WINDOWS], F.array(coded(F.lit(0), n))))
+    code = F.col("code")
+    spans = found.select("_path", "lines", F.explode(codes).alias("code")).select("_path", "lines", F.struct(
+        F.shiftright(code, 31).cast("int").alias("start"), code.bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("size")).alias("span"))
     return spans.select("_path", F.flatten(F.slice("lines", F.col("span.start") + 1, F.col("span.size"))).alias("words")).withColumn(
         "section", F.monotonically_increasing_id())
 
