@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from pulsegrid.operators.core import average_ranks, epoch_seconds, exact_quantiles, floor_div, with_halo
+from pulsegrid.operators.core import epoch_seconds, exact_quantiles, floor_div, pieces_wanted, sweep, with_halo, with_value_piece
+from pulsegrid.sources.stage import materialise
 
 
 # ------------------------------------------------------------------ presence
@@ -176,24 +177,36 @@ def events_per_subject(roster: DataFrame, events: DataFrame, pid: str = "pid") -
 def correlations(df: DataFrame, columns: Sequence[str], min_n: int = 10) -> DataFrame:
     """Pearson and Spearman for every pair of columns, each on the pair's complete rows.
 
-    Ranks come from value-ordered pieces of distinct values, so neither a
-    column's length nor a very common value lands in one task.
+    No row is copied for a pair. One order of a column's distinct values serves all its pairs: it carries, for each
+    partner, how many rows with that partner filled lie at or below the value, which gives the rank within the pair. All
+    pairs' co-moments are then one aggregate, merged on the map side. Neither a column's length nor a very common value
+    lands in one task.
     """
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
-    long = df.select(F.explode(F.array(*[F.struct(
-        F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for a, b in pairs])).alias("p"))
-    long = long.select("p.*").where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    merged = long.groupBy("a", "b", "x", "y").agg(F.count(F.lit(1)).alias("w"))
-    ranks = lambda v, r: average_ranks(long, ["a", "b"], v, r).select("a", "b", v, r)
-    m = merged.join(ranks("x", "rx"), ["a", "b", "x"]).join(ranks("y", "ry"), ["a", "b", "y"])
-    n = long.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.corr("x", "y").alias("pearson"))
-    mid = (F.col("n") + 1) / 2  # the mean rank, so sums stay centred
-    s = m.join(n, ["a", "b"]).groupBy("a", "b", "n", "pearson").agg(
-        F.sum(F.col("w") * (F.col("rx") - mid) * (F.col("ry") - mid)).alias("_xy"),
-        F.sum(F.col("w") * F.pow(F.col("rx") - mid, 2)).alias("_xx"), F.sum(F.col("w") * F.pow(F.col("ry") - mid, 2)).alias("_yy"))
-    enough = F.col("n") >= min_n
-    return s.select("a", "b", "n", F.when(enough, F.col("pearson")).alias("pearson"),
-                    F.when(enough, F.try_divide(F.col("_xy"), F.sqrt(F.col("_xx") * F.col("_yy")))).alias("spearman"))
+    many = range(len(columns))
+    pairs = [(i, j) for i in many for j in many if i < j]
+    rows = materialise(df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)]), "correlated")
+    ranked = rows
+    for i in many:
+        filled = {f"p{j}": F.count_if(F.col(f"c{j}").isNotNull()) for j in many if j != i}
+        counts = rows.where(F.col(f"c{i}").isNotNull()).groupBy(f"c{i}").agg(*[c.alias(n) for n, c in filled.items()])
+        pieces = with_value_piece(counts, rows.where(F.col(f"c{i}").isNotNull()), f"c{i}", pieces_wanted(rows))
+        order = sweep(pieces, [], f"c{i}", piece=F.col("_range"), sums={f"{n}_upto": F.col(n) for n in filled})
+        rank = [(F.col(f"p{j}_upto") - (F.col(f"p{j}") - 1) / 2).alias(f"r{i}_{j}") for j in many if j != i]
+        ranked = ranked.join(order.select(f"c{i}", *rank), f"c{i}", "left")
+
+    def facts(i: int, j: int) -> Column:
+        both = F.col(f"c{i}").isNotNull() & F.col(f"c{j}").isNotNull()
+        at = lambda c: F.when(both, F.col(c))
+        return F.struct(F.lit(columns[i]).alias("a"), F.lit(columns[j]).alias("b"), F.count_if(both).alias("n"),
+                        linear(at(f"c{i}"), at(f"c{j}")).alias("pearson"), linear(at(f"r{i}_{j}"), at(f"r{j}_{i}")).alias("spearman"))
+
+    def linear(x: Column, y: Column) -> Column:
+        """Null where a side is constant; Spark's own `corr` stops there."""
+        return F.try_divide(F.covar_pop(x, y), F.sqrt(F.var_pop(x) * F.var_pop(y)))
+
+    found = ranked.agg(*[facts(i, j).alias(f"f{i}_{j}") for i, j in pairs])
+    out = found.select(F.explode(F.array(*[F.col(f"f{i}_{j}") for i, j in pairs])).alias("p")).select("p.*").where("n > 0")
+    return out.select("a", "b", "n", *[F.when(F.col("n") >= min_n, F.col(c)).alias(c) for c in ("pearson", "spearman")])
 
 
 def agreement(df: DataFrame, a: str, b: str) -> DataFrame:

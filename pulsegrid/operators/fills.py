@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from pulsegrid.operators.core import CHUNK, Seen, drop_halo, floor_div, sweep, with_halo
+from pulsegrid.operators.core import CHUNK, Seen, drop_halo, floor_div, join_null_safe, sweep, with_halo
 
 
 def reading_gaps(readings: DataFrame, keys: Sequence[str], ts: str = "ts", piece_s: int = 6 * 3600) -> DataFrame:
@@ -109,50 +110,81 @@ def since_last(tokens: DataFrame, day_keys: Sequence[str], minute: str, signals:
 def hourly_state(tokens: DataFrame, day_keys: Sequence[str], minute: str, value: str, rate: float, hours: int = 24) -> DataFrame:
     """Carried state at the end of every hour: each reading fades by exp(-rate per minute); null before the first.
 
-    Readings are first summed per hour (faded to the hour's last minute), so
-    only `hours` rows per window are ordered.
+    Readings are first summed per hour (faded to the hour's last minute); a day
+    then holds at most `hours` sums, which are folded hour by hour.
     """
     hour = floor_div(minute, 60)
     to_end = hour * 60 + 59 - F.col(minute)
-    per = tokens.where(F.col(value).isNotNull()).groupBy(*day_keys, hour.alias("hour")).agg(
-        F.sum(F.col(value) * F.exp(-rate * to_end)).alias("_add"))
-    axis = tokens.select(*day_keys).distinct().withColumn(
-        "hour", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(hours - 1).cast("long"))))
-    h = axis.join(per, [*day_keys, "hour"], "left")
-    upto = W.partitionBy(*day_keys).orderBy("hour").rowsBetween(W.unboundedPreceding, 0)
-    grown = F.sum(F.col("_add") * F.exp(F.lit(rate * 60) * F.col("hour"))).over(upto)
-    return h.select(*day_keys, "hour", (grown * F.exp(F.lit(-rate * 60) * F.col("hour"))).alias("state"))
+    per = tokens.groupBy(*day_keys, hour.alias("hour")).agg(F.sum(F.col(value) * F.exp(-rate * to_end)).alias("_add"))
+    days = per.groupBy(*day_keys).agg(F.map_from_entries(F.collect_list(F.struct("hour", "_add"))).alias("_adds"))
+    fade = F.lit(math.exp(-60.0 * rate))  # at most 1, however fast a reading fades
+
+    def state(h: Column) -> Column:
+        def step(before: Column, j: Column) -> Column:
+            here = F.try_element_at("_adds", j)
+            return F.coalesce(before * fade + F.coalesce(here, F.lit(0.0)), here)
+
+        return F.aggregate(F.sequence(F.lit(0).cast("long"), h), F.lit(None).cast("double"), step)
+
+    states = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(hours - 1).cast("long")), lambda h: F.struct(h.alias("hour"), state(h).alias("state")))
+    return days.select(*day_keys, F.explode(states).alias("_s")).select(*day_keys, "_s.hour", "_s.state")
 
 
 # --------------------------------------------------------- decay on any span
+REACH = 745.0
+"""Exponent at which a double weight becomes zero."""
+
+GROWTH = 30.0
+"""Exponent up to which weights are grown inside a piece."""
+
+
+def decayed_before(ends: DataFrame, keys: Sequence[str], part: str, step: float, sums: Sequence[str]) -> DataFrame:
+    """Add `<sum>_before`: the sums of all earlier parts, faded by `step` a part, as they stand at the end of the part before.
+
+    A prefix of (factor, sums) pairs, which compose: (f, s) then (g, t) is (fg, sg + t). Parts are scanned in groups
+    short enough for their weights to stay finite; the groups' own ends go through the same scan one level up, until a
+    part fades so far that a few dozen before it are all that counts. No window holds all parts of a key.
+    """
+    width = min(CHUNK, int(GROWTH / step))
+    fresh = [f"{s}_before" for s in sums]
+    if width < 2:
+        back = int(REACH / step) + 1
+        h, own, group = with_halo(ends, keys, part, back=back)
+        w = W.partitionBy(*group).orderBy(part).rangeBetween(-back, -1)
+        h = h.withColumn("_past", F.collect_list(F.struct(F.col(part).alias("at"), *sums)).over(w)).where(own)  # at most `back` rows
+
+        def faded(s: str) -> Column:
+            return F.aggregate("_past", F.lit(0.0), lambda a, x: a + x[s] * F.exp(-step * (F.col(part) - 1 - x["at"])))
+
+        return h.select(*ends.columns, *[faded(s).alias(n) for s, n in zip(sums, fresh, strict=True)])
+    up = f"{part}_up"
+    rows = ends.withColumn(up, floor_div(part, width))
+    place = F.col(part) - F.col(up) * width
+    tops = rows.groupBy(*keys, up).agg(*[F.sum(F.col(s) * F.exp(-step * (width - 1 - place))).alias(s) for s in sums])
+    tops = decayed_before(tops, keys, up, step * width, sums).select(*keys, up, *[F.col(n).alias(f"{n}_up") for n in fresh])
+    earlier = W.partitionBy(*keys, up).orderBy(part).rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumns({n: F.coalesce(F.sum(F.col(s) * F.exp(step * place)).over(earlier), F.lit(0.0)) * F.exp(-step * (place - 1)) for s, n in zip(sums, fresh, strict=True)})
+    return join_null_safe(rows, tops, [*keys, up], "inner").select(*ends.columns, *[(F.col(n) + F.col(f"{n}_up") * F.exp(-step * place)).alias(n) for n in fresh])
+
+
 def decayed_average(grid: DataFrame, keys: Sequence[str], rate: float, value: str = "hrv", slot: str = "slot",
                     eps: float = 1e-6) -> DataFrame:
     """Time-decayed mean of the real readings up to each slot, and the decayed count.
 
-    Weights are exp(-rate * slots ago). They are grown from the start of a
-    piece that is short enough not to overflow; earlier pieces come in through
-    their end states, as far back as a double can still tell from zero.
+    Weights are exp(-rate * slots ago), for any rate above zero. They are grown from the start of a
+    piece that is short enough not to overflow; earlier pieces come in through `decayed_before`.
     """
-    size = max(1, min(CHUNK, int(30 / rate)))
-    back = max(1, int(745 / (rate * size)) + 1)
+    size = max(1, min(CHUNK, int(GROWTH / rate)))
     seen = F.when(F.col(value).isNotNull(), 1.0).otherwise(0.0)
     x = F.coalesce(F.col(value), F.lit(0.0))
-    df = grid.withColumn("_piece", floor_div(slot, size))
-    place = F.col(slot) - F.col("_piece") * size
-    ends = df.groupBy(*keys, "_piece").agg(
-        F.sum(x * F.exp(-rate * (size - 1 - place))).alias("num"), F.sum(seen * F.exp(-rate * (size - 1 - place))).alias("den"))
-    earlier = W.partitionBy(*keys).orderBy("_piece").rangeBetween(-back, -1)
-    past = F.collect_list(F.struct("_piece", "num", "den")).over(earlier)  # at most `back` small rows
-
-    def carried(field: str) -> Column:
-        return F.aggregate(F.col("_past"), F.lit(0.0), lambda a, s: a + s[field] * F.exp(
-            -rate * size * (F.col("_piece") - 1 - s["_piece"])))
-
-    ends = ends.withColumn("_past", past).select(*keys, "_piece", carried("num").alias("_num0"), carried("den").alias("_den0"))
-    w = W.partitionBy(*keys, "_piece").orderBy(slot).rowsBetween(W.unboundedPreceding, 0)
+    df = grid.withColumn("_part", floor_div(slot, size))
+    place = F.col(slot) - F.col("_part") * size
+    to_end = F.exp(-rate * (size - 1 - place))
+    ends = df.groupBy(*keys, "_part").agg(F.sum(x * to_end).alias("_num"), F.sum(seen * to_end).alias("_den"))
+    ends = decayed_before(ends, keys, "_part", rate * size, ["_num", "_den"]).select(*keys, "_part", "_num_before", "_den_before")
+    w = W.partitionBy(*keys, "_part").orderBy(slot).rowsBetween(W.unboundedPreceding, 0)
     local = df.withColumns({"_n": F.sum(x * F.exp(rate * place)).over(w), "_d": F.sum(seen * F.exp(rate * place)).over(w)})
-    j = local.join(ends, [*keys, "_piece"])
-    fade = F.exp(-rate * place)
-    num = F.col("_n") * fade + F.col("_num0") * F.exp(-rate * (place + 1))
-    den = F.col("_d") * fade + F.col("_den0") * F.exp(-rate * (place + 1))
-    return j.select(*[c for c in grid.columns], (num / (den + eps)).alias("decayed_mean"), F.log1p(den).alias("decayed_count"))
+    j = join_null_safe(local, ends, [*keys, "_part"], "inner")
+    num = F.col("_n") * F.exp(-rate * place) + F.col("_num_before") * F.exp(-rate * (place + 1))
+    den = F.col("_d") * F.exp(-rate * place) + F.col("_den_before") * F.exp(-rate * (place + 1))
+    return j.select(*grid.columns, (num / (den + eps)).alias("decayed_mean"), F.log1p(den).alias("decayed_count"))
