@@ -150,15 +150,13 @@ def a09(spark, sf):
 def a10(spark, sf):
     path = stage.new_path(spark, "runs")
     e = S.table(spark, sf, "events")
+    score = lambda p: p.agg(F.avg(F.abs(F.col("pred") - F.col("truth"))).alias("mae"), F.count(F.lit(1)).alias("n"))
     for m in ("click", "view", "error", "signup", "purchase"):
         p = e.where(F.col("event_type") == m).select("event_id", F.lit(50.0).alias("truth"), F.col("value").alias("pred"))
-        R.write_run(p, p.agg(F.avg(F.abs(F.col("pred") - F.col("truth"))).alias("mae"), F.count(F.lit(1)).alias("n")),
-                    path, {"model": m})
-    preds = spark.read.parquet(f"{path}/predictions").groupBy("model").agg(F.count(F.lit(1)).alias("rows"))
-    nested = spark.read.schema("model string, metrics struct<mae double, n long>").json(f"{path}/metrics").select(
-        "model", "metrics.mae", "metrics.n")
-    ledger = spark.read.parquet(f"{path}/ledger").groupBy("model").agg(F.count(F.lit(1)).alias("ledger_rows"))
-    return preds.join(nested, "model").join(ledger, "model")
+        R.write_run(p, score, path, {"model": m})
+    preds = R.read_run(spark, path).groupBy("model").agg(F.count(F.lit(1)).alias("rows"))
+    ledger = R.read_run(spark, path, "ledger").groupBy("model").agg(F.count(F.lit(1)).alias("ledger_rows"), F.max("mae").alias("mae"), F.max("n").alias("n"))
+    return preds.join(ledger, "model")
 
 
 @query("a11_last_run_wins", "model:s test:s run:l mae:f", f"""with {S.RUNS}, r as (select *, row_number() over (partition by model, test order by finished desc, run desc) as n from runs)

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pulsegrid.operators import cohort, fills, joins
+from pulsegrid.sources import readings as R
 
 
 @pytest.mark.parametrize("rate, span", [(1e-6, 60_000_000), (1e-3, 200_000), (0.004, 60_000), (0.3, 2_000)])
@@ -74,3 +75,46 @@ def test_correlations_of_many_columns_with_their_own_blanks(spark):
         else:
             assert r.pearson == pytest.approx(np.corrcoef(x, y)[0, 1]) and r.spearman == pytest.approx(np.corrcoef(ranks(x), ranks(y))[0, 1])
     assert cohort.correlations(df.limit(0), names).count() == 0
+
+
+def test_a_killed_run_is_written_once(spark, tmp_path):
+    path = str(tmp_path / "runs")
+    preds = spark.createDataFrame([(1, 50.0, 48.0), (2, 50.0, 53.0)], "id long, truth double, pred double")
+    score = lambda p: p.agg(F.avg(F.abs(F.col("pred") - F.col("truth"))).alias("mae"))
+
+    def killed(p):
+        raise RuntimeError("lost after the predictions were written")
+
+    with pytest.raises(RuntimeError):
+        R.write_run(preds, killed, path, {"model": "m"})
+    assert R.committed(spark, path).count() == 0
+    assert R.write_run(preds, score, path, {"model": "m"}) and not R.write_run(preds, score, path, {"model": "m"})
+    assert R.write_run(preds.limit(1), score, path, {"model": "other"}) and R.write_run(preds, score, path, {"model": "m"}, run="2")
+    assert sorted(r.model for r in R.read_run(spark, path).collect()) == ["m", "m", "m", "m", "other"]
+    assert sorted((r.model, r.mae) for r in R.read_run(spark, path, "ledger").collect()) == [("m", 2.5), ("m", 2.5), ("other", 2.0)]
+    assert len(list((tmp_path / "runs" / "predictions").glob("run=*/attempt=*"))) == 4
+
+
+def test_asked_subjects_prune_the_folders(spark, tmp_path):
+    path = str(tmp_path / "minutes")
+    rows = spark.range(4000).select((F.col("id") % 50).alias("pid"), F.col("id").alias("minute"), F.lit(1.5).alias("value"))
+    R.write_minutes(rows, path, buckets=16)
+    files = list((tmp_path / "minutes").glob("buckets=16/bucket=*/*.parquet"))
+    assert len(files) == len({f.parent for f in files}) <= 16
+    roster = spark.createDataFrame([(3, "x"), (7, "x"), (8, "y"), (None, "x")], "pid long, ward string").where("ward = 'x'")
+    got = R.read_minutes(spark, path, ["pid", "value"], roster)
+    assert sorted({r.pid for r in got.collect()}) == [3, 7] and got.count() == 160 and got.columns == ["pid", "value"]
+    assert [r.pid for r in R.patients(spark, path).collect()] == list(range(50))
+    stored = str(tmp_path / "roster")
+    spark.range(50).select(F.col("id").alias("pid"), F.when(F.col("id") < 2, "x").otherwise("y").alias("ward")).write.parquet(stored)
+    pruned = R.read_minutes(spark, path, ["pid", "value"], spark.read.parquet(stored).where("ward = 'x'"))
+    assert "dynamicpruning" in pruned._jdf.queryExecution().executedPlan().toString()
+    assert pruned.count() == 160
+
+
+def test_short_numbers_of_a_batch(spark):
+    values = [1234.5, 0.00012345, None, -2.5, 1e20, 0.0, float("inf"), 12345678.0]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+    want = sorted([None if v is None else "%.4g" % v for v in values] + [None], key=str)
+    assert sorted([r.v for r in R.short_text(df).collect()], key=str) == want
+    assert R.short_text(df.where("v is null")).collect() == [(None,)] * 2 and R.short_text(df.limit(0)).count() == 0
