@@ -2,16 +2,19 @@
 
 Seeds: every five-word run is hashed and winnowed, so that the least hash of any nine neighbouring runs is an anchor. A
 window of 13 words is nine such runs, so each window has one anchor, fixed by its own words: documents that share a window
-share its anchor, and they are joined on it. Extension: around an anchor, the windows that hold it reach both ways, and
-each is compared in full (64 bits of anchor, 64 of the window) with the windows of the other documents that met there.
-Only the first document of a window matters, so a window never makes pairs: each task names the first document it has
-seen, and the tasks' firsts meet in the anchor's part. Matched windows that touch form the maximal repeats.
+share its anchor. Slices of documents are joined on their distinct anchors, and an anchor that no other slice holds is done
+with. Extension: around each shared anchor the windows that hold it reach both ways, and each is compared in full (64 bits
+of the window, 32 of its anchor) with those that met at the same anchor. The windows of one anchor are dealt by their own
+hash, so a phrase that stands in every document spreads over all parts as its surroundings differ; where they do not, a
+slice asks once. Only the first document of a window matters, so a window never makes pairs. Matched windows that touch
+form the maximal repeats, and as each is a whole window, none is shorter than the threshold.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -22,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.common import BATCH_BYTES, map_arrow, mix, neutral, parts_for, slices, table, utf8, window_hashes, word_hashes
+from pulsegrid.sources.stage import materialise
 
 WINDOW = 13
 SEED_WORDS = 5
@@ -29,11 +33,17 @@ SEED_WORDS = 5
 CHARS_PER_PART = 16_000_000
 """Text whose windows meet in one part: bounds what a task holds."""
 
+SEED_CHARS_PER_PART = 4 * CHARS_PER_PART
+"""The same for anchors, of which there is about one in five words."""
+
 NO_ID = np.iinfo(np.int64).max
 """Stands for a null id: later than every document."""
 
-ASKS = "part int, slice long, known boolean, runs binary, anchors binary, windows binary"
-FOUND = "slice long, runs binary"
+SLICES = "slice long, chars long, ids binary, crcs binary, sizes binary, lengths binary, seeds binary, zip binary"
+SEEDS = "part int, slice long, seeds binary"
+SHARED = "slice long, seeds binary"
+ASKS = "part int, slice long, known boolean, places binary, ids binary, tags binary, windows binary"
+FOUND = "slice long, places binary"
 SPANS = "doc_id long, crc long, spans binary"
 
 
@@ -70,93 +80,105 @@ def run_firsts(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def bundle(ids: np.ndarray, crcs: np.ndarray, start: np.ndarray, count: np.ndarray) -> bytes:
-    """Runs of windows (id and crc of their document, start, count), compressed. Runs of one document lie together."""
-    docs = run_firsts(ids, crcs)
-    place = np.zeros(len(ids), dtype="<i4")
-    place[docs[1:]] = 1
-    parts = (ids[docs].astype("<i8"), crcs[docs].astype("<i8"), place, start.astype("<i4"), count.astype("<i4"))
-    head = np.array([len(docs), len(ids)], dtype="<i8").tobytes()
-    return zstandard.compress(head + b"".join(p.tobytes() for p in parts), 1)
+def packed(x: np.ndarray) -> bytes:
+    """Numbers as compressed steps from one to the next."""
+    return zstandard.compress(np.diff(x.astype("<i8"), prepend=np.int64(0)).tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zstandard.decompress(data), dtype="<i8"))
 
 
-def unbundle(data: bytes) -> tuple[np.ndarray, ...]:
-    """(id, crc, start, count) of every run."""
-    raw = zstandard.decompress(data)
-    docs, runs = np.frombuffer(raw, dtype="<i8", count=2).tolist()
-    ids, crcs = np.frombuffer(raw, dtype="<i8", offset=16, count=2 * docs).reshape(2, docs)
-    step, start, count = np.frombuffer(raw, dtype="<i4", offset=16 + 16 * docs, count=3 * runs).reshape(3, runs)
-    place = np.cumsum(step)
-    return ids[place], crcs[place], start, count
+def record(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)], names=[n for n, _ in fields])
+
+
+def by_part(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(part, its places in ascending order) of every part that occurs."""
+    order = np.argsort(part, kind="stable")
+    cuts = np.flatnonzero(np.diff(part[order])) + 1
+    for at in np.split(order, cuts):
+        if len(at):
+            yield int(part[at[0]]), at
 
 
-def _asks(batch: pa.RecordBatch, number: int, parts: int, window: int, k: int) -> pa.RecordBatch | None:
-    """What one slice of documents knows: its matches inside the slice, and its first documents' windows, one row for each part."""
-    ids = np.array([NO_ID if i is None else i for i in batch.column("doc_id").to_pylist()], dtype=np.int64)
+def _slice(batch: pa.RecordBatch, number: int, window: int, k: int) -> pa.RecordBatch | None:
+    """One row for a slice of documents: their ids and texts, how many windows each has, and the slice's distinct anchors."""
+    ids = np.array([NO_ID if i is None else i for i in batch.column("doc_id").to_pylist()], dtype="<i8")
     texts = batch.column("_text").to_pylist()
-    crcs = np.array([zlib.crc32(t) for t in texts], dtype=np.int64)
-    pieces = [seeds_and_windows(t.split(), window, k) for t in texts]
-    sizes = np.array([len(w) for _, w in pieces])
+    pieces = [seeds_and_windows(t.split(), window, k)[0] for t in texts]
+    sizes, lengths = (np.fromiter(map(len, x), dtype="<i8", count=len(texts)) for x in (pieces, texts))
     if not sizes.sum():
         return None
+    crcs = np.fromiter(map(zlib.crc32, texts), dtype="<i8", count=len(texts))
+    seeds = np.unique(np.concatenate(pieces)).astype("<u8")
+    return record([(number, int(lengths.sum()), *(x.tobytes() for x in (ids, crcs, sizes, lengths, seeds)), zstandard.compress(b"".join(texts), 1))], SLICES)
+
+
+def _seeds(number: int, seeds: bytes, parts: int) -> pa.RecordBatch:
+    own = np.frombuffer(seeds, dtype="<u8")
+    return record([(part, number, own[at].tobytes()) for part, at in by_part((own % np.uint64(parts)).astype(np.int64))], SEEDS)
+
+
+def _shared(group: pd.DataFrame) -> pd.DataFrame:
+    """One part of the anchors: those that two slices hold, for each slice that holds them."""
+    each = [np.frombuffer(b, dtype="<u8") for b in group["seeds"]]
+    seeds = np.concatenate(each)
+    _, place, n = np.unique(seeds, return_inverse=True, return_counts=True)
+    cuts = np.cumsum([len(x) for x in each])[:-1]
+    kept = [x[m].tobytes() for x, m in zip(each, np.split(n[place] > 1, cuts), strict=True)]
+    return pd.DataFrame([(i, b) for i, b in zip(group["slice"], kept, strict=True) if b], columns=["slice", "seeds"])
+
+
+def _asks(number: int, row: dict, parts: int, window: int, k: int) -> pa.RecordBatch | None:
+    """What one slice asks: its first documents' windows around shared anchors, one row for each part; and its matches inside the slice."""
+    ids, lengths = (np.frombuffer(row[c], dtype="<i8") for c in ("ids", "lengths"))
+    text = zstandard.decompress(row["zip"])
+    ends = np.cumsum(lengths).tolist()
+    pieces = [seeds_and_windows(text[a:b].split(), window, k) for a, b in pairwise([0, *ends])]
     anchor, full = (np.concatenate([p[i] for p in pieces]) for i in (0, 1))
-    row = np.repeat(np.arange(len(ids)), sizes)
-    start = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    doc = ids[row]
+    doc = np.repeat(ids, [len(w) for _, w in pieces])
     early = first_document(anchor, full, doc) < doc
     out = []
-    known = np.flatnonzero(early)
-    if len(known):
-        first = run_firsts(row[known], start[known] - np.arange(len(known)))
-        count = np.diff(first, append=len(known))
-        own = row[known[first]]
-        out.append((number % parts, number, True, bundle(ids[own], crcs[own], start[known[first]], count), b"", b""))
-    asked = np.flatnonzero(~early)
-    part = (anchor[asked] % np.uint64(parts)).astype(np.int64)
-    asked = asked[np.argsort(part, kind="stable")]
-    part = np.sort(part, kind="stable")
-    for at in np.split(asked, np.flatnonzero(np.diff(part)) + 1):
-        if len(at):
-            # neighbouring windows mostly have one anchor: it is written once for each run of them
-            first = run_firsts(row[at], start[at] - np.arange(len(at)), anchor[at])
-            count = np.diff(first, append=len(at))
-            own = row[at[first]]
-            out.append((int(anchor[at[0]] % np.uint64(parts)), number, False, bundle(ids[own], crcs[own], start[at[first]], count), anchor[at[first]].tobytes(), full[at].tobytes()))
-    kinds = (pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[c.split()[0] for c in ASKS.split(", ")])
+    if early.any():
+        out.append((number % parts, number, True, packed(np.flatnonzero(early)), b"", b"", b""))
+    shared = np.frombuffer(b"".join(row["shared"] or []), dtype="<u8")
+    asked = np.flatnonzero(~early & np.isin(anchor, shared))
+    for part, i in by_part((full[asked] % np.uint64(parts)).astype(np.int64)):
+        at = asked[i]
+        out.append((part, number, False, packed(at), packed(doc[at]), anchor[at].astype("<u4").tobytes(), full[at].astype("<u8").tobytes()))
+    return record(out, ASKS) if out else None
 
 
 def _answers(group: pd.DataFrame) -> pd.DataFrame:
     """One part: which of the windows that each slice asks for an earlier document has. Matches known before ride along."""
-    out = group.loc[group["known"], ["slice", "runs"]]
+    out = group.loc[group["known"], ["slice", "places"]]
     rows = group[~group["known"]]
     if not len(rows):
         return out
-    asked = [unbundle(b) for b in rows["runs"]]
-    ids, crcs, start, count = (np.concatenate(c) for c in zip(*asked, strict=True))
-    slice_ = np.repeat(rows["slice"].to_numpy(), [len(a[0]) for a in asked])
-    anchor = np.repeat(np.frombuffer(b"".join(rows["anchors"]), dtype="<u8"), count)
-    run = np.repeat(np.arange(len(ids)), count)
-    doc = ids[run]
-    found = np.flatnonzero(first_document(anchor, np.frombuffer(b"".join(rows["windows"]), dtype="<u8"), doc) < doc)
-    if not len(found):
-        return out
-    at = start[run[found]] + (found - (np.cumsum(count) - count)[run[found]])
-    first = run_firsts(run[found], at - np.arange(len(found)))
-    own, count = run[found[first]], np.diff(first, append=len(found))
-    cuts = [*run_firsts(slice_[own]), len(own)]
-    new = [(int(slice_[own[a]]), bundle(ids[own[a:b]], crcs[own[a:b]], at[first[a:b]], count[a:b])) for a, b in zip(cuts, cuts[1:], strict=False)]
-    return pd.concat([out, pd.DataFrame(new, columns=["slice", "runs"])])
-
-
-def _by_document(group: pd.DataFrame) -> pd.DataFrame:
-    """One slice: the runs that all parts found, one row for each of its documents."""
-    ids, crcs, start, count = (np.concatenate(c) for c in zip(*map(unbundle, group["runs"]), strict=True))
-    order = np.lexsort((start, crcs, ids))
-    ids, crcs = ids[order], crcs[order]
-    first = run_firsts(ids, crcs)
-    pairs = np.stack([start[order], count[order]]).T.astype("<i8")
-    return pd.DataFrame({"doc_id": ids[first], "crc": crcs[first], "spans": [x.tobytes() for x in np.split(pairs, first[1:])]})
+    places = [unpacked(b) for b in rows["places"]]
+    doc = np.concatenate([unpacked(b) for b in rows["ids"]])
+    tag, full = np.frombuffer(b"".join(rows["tags"]), dtype="<u4"), np.frombuffer(b"".join(rows["windows"]), dtype="<u8")
+    found = np.split(first_document(tag, full, doc) < doc, np.cumsum([len(p) for p in places])[:-1])
+    new = [(i, packed(p[m])) for i, p, m in zip(rows["slice"], places, found, strict=True) if m.any()]
+    return pd.concat([out, pd.DataFrame(new, columns=["slice", "places"])])
+
+
+def _by_document(row: dict) -> pa.RecordBatch:
+    """One slice: the runs that all parts found, one row for each of its documents that has any."""
+    ids, crcs, sizes = (np.frombuffer(row[c], dtype="<i8") for c in ("ids", "crcs", "sizes"))
+    at = np.sort(np.concatenate([unpacked(b) for b in row["found"]]))
+    ends = np.cumsum(sizes)
+    doc = np.searchsorted(ends, at, side="right")
+    first = run_firsts(doc, at - np.arange(len(at)))
+    count = np.diff(first, append=len(at))
+    own = doc[first]
+    pairs = np.stack([at[first] - (ends - sizes)[own], count]).T.astype("<i8")
+    begins = run_firsts(own)
+    spans = [x.tobytes() for x in np.split(pairs, begins[1:])]
+    return record(list(zip(ids[own[begins]].tolist(), crcs[own[begins]].tolist(), spans, strict=True)), SPANS)
 
 
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, k: int = SEED_WORDS) -> DataFrame:
@@ -165,18 +187,39 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window:
     `crc` is that of the whole text and tells rows with one id apart; the null id is written as the largest number.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), utf8(text).alias("_text"))
-    parts = parts_for(rows, F.length("_text"), CHARS_PER_PART)
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32  # the same if the task is run again
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in slices(batch, "_text", BATCH_BYTES):
                 number += 1
-                out = _asks(part, number, parts, window, k)
+                out = _slice(part, number, window, k)
+                if out is not None:
+                    yield out
+
+    pieces = materialise(rows.mapInArrow(cut, SLICES), "dedup-slices")
+    parts = parts_for(pieces, F.col("chars"), CHARS_PER_PART)
+    seed_parts = parts_for(pieces, F.col("chars"), SEED_CHARS_PER_PART)
+
+    seeds = per_row(pieces.select("slice", "seeds"), lambda r: _seeds(r["slice"], r["seeds"], seed_parts), SEEDS)
+    shared = seeds.groupBy("part").applyInPandas(_shared, SHARED).groupBy("slice").agg(F.collect_list("seeds").alias("shared"))
+    meeting = pieces.select("slice", "ids", "lengths", "zip").join(shared, "slice", "left")
+    asks = per_row(meeting, lambda r: _asks(r["slice"], r, parts, window, k), ASKS)
+    found = asks.groupBy("part").applyInPandas(_answers, FOUND).groupBy("slice").agg(F.collect_list("places").alias("found"))
+    return per_row(pieces.select("slice", "ids", "crcs", "sizes").join(found, "slice"), _by_document, SPANS)
+
+
+def per_row(df: DataFrame, fn: Callable[[dict], pa.RecordBatch | None], schema: str) -> DataFrame:
+    """`fn` over each row, which is one slice: several rows, or None, come back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                out = fn(batch.slice(i, 1).to_pylist()[0])
                 if out is not None:
                     yield out
 
-    return rows.mapInArrow(ask, ASKS).groupBy("part").applyInPandas(_answers, FOUND).groupBy("slice").applyInPandas(_by_document, SPANS)
+    return df.mapInArrow(run, schema)
 
 
 def remaining(text: bytes, spans: list[bytes], window: int) -> tuple[list[bytes], int]:

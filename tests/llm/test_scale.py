@@ -4,9 +4,11 @@ import random
 import time
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import decontamination, license_scan, url_filters
+from pulsegrid.llm import decontamination, license_scan, substring_dedup, url_filters
 
 
 def spans_by_hand(lines, anchors):
@@ -96,3 +98,41 @@ def test_listing_of_many_items(spark):
     docs = items.where("item_id % 20 = 0").select(F.col("item_id").alias("doc_id"), F.concat(F.lit("before it all "), F.col("text"), F.lit(" and after")).alias("text"))
     got = {(r.doc_id, r.item_id) for r in decontamination.leaks(docs, items).collect()}
     assert got == {(i, i) for i in range(0, 2000, 20)}
+
+
+def test_phrase_of_every_document_spreads_over_the_parts():
+    phrase, rng = b" ".join(b"common%d" % i for i in range(5)), np.random.default_rng(5)
+    texts = [b" ".join([*(b"w%d" % x for x in rng.integers(0, 10**9, 12)), phrase, *(b"w%d" % x for x in rng.integers(0, 10**9, 12))]) for _ in range(3000)]
+    parts, load = 64, np.zeros(64, dtype=np.int64)
+    for n in range(3):
+        own = texts[1000 * n:1000 * n + 1000]
+        batch = pa.RecordBatch.from_arrays([pa.array(range(1000 * n, 1000 * n + 1000), pa.int64()), pa.array(own, pa.binary())], names=["doc_id", "_text"])
+        row = substring_dedup._slice(batch, n, 13, 5).to_pylist()[0]
+        everything = substring_dedup._asks(n, row | {"shared": [row["seeds"]]}, parts, 13, 5).to_pylist()
+        for r in everything:
+            load[r["part"]] += len(r["windows"]) // 8
+    assert load.sum() == 3000 * 17 and load.max() < 1.3 * np.median(load)
+
+
+def test_repeats_across_many_slices(spark):
+    """Documents of many partitions: a hot phrase with differing neighbours, a passage that many share, copies, ties of ids."""
+    rng = np.random.default_rng(11)
+    some = lambda n: [f"w{x}" for x in rng.integers(0, 10**8, n)]
+    phrase, passage, copy = some(5), some(40), some(60)
+    rows = [(i, " ".join(some(int(rng.integers(0, 30))) + phrase + some(20) + (passage[:int(rng.integers(5, 41))] if i % 3 == 0 else []))) for i in range(400)]
+    rows += [(i % 50, " ".join(copy)) for i in range(400, 520)] + [(600, None), (601, ""), (None, " ".join(copy)), (None, " ".join(copy[5:]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(13)
+    order = lambda i: float("inf") if i is None else i
+    first = {}
+    for i, t in rows:
+        w = (t or "").split()
+        for j in range(len(w) - 12):
+            key = tuple(w[j:j + 13])
+            first[key] = min(first.get(key, float("inf")), order(i))
+    want = []
+    for i, t in rows:
+        w = (t or "").split()
+        gone = {x for j in range(len(w) - 12) if first[tuple(w[j:j + 13])] < order(i) for x in range(j, j + 13)}
+        want.append((i, len(w), len(gone), None if t is None else " ".join(x for j, x in enumerate(w) if j not in gone)))
+    got = [(r.doc_id, r._n_words, r._n_removed, r._kept_text) for r in substring_dedup.drop_repeats(docs).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and sum(r[2] for r in got) > 1000
