@@ -36,12 +36,15 @@ CHARS_PER_PART = 16_000_000
 SEED_CHARS_PER_PART = 4 * CHARS_PER_PART
 """The same for anchors, of which there is about one in five words."""
 
+SEED_BITS = np.uint64((1 << 48) - 1)
+"""What is kept of an anchor until windows are compared."""
+
 NO_ID = np.iinfo(np.int64).max
 """Stands for a null id: later than every document."""
 
 SLICES = "slice long, chars long, ids binary, crcs binary, sizes binary, lengths binary, seeds binary, zip binary"
 SEEDS = "part int, slice long, seeds binary"
-SHARED = "slice long, seeds binary"
+SHARED = "slice long, part long, seeds binary"
 ASKS = "part int, slice long, known boolean, places binary, ids binary, tags binary, windows binary"
 FOUND = "slice long, places binary"
 SPANS = "doc_id long, crc long, spans binary"
@@ -81,12 +84,20 @@ def run_firsts(*columns: np.ndarray) -> np.ndarray:
 
 
 def packed(x: np.ndarray) -> bytes:
-    """Numbers as compressed steps from one to the next."""
-    return zstandard.compress(np.diff(x.astype("<i8"), prepend=np.int64(0)).tobytes(), 1)
+    """Numbers as steps from one to the next, all first bytes before all second ones, compressed: small steps take few bytes."""
+    steps = np.diff(x.astype("<i8"), prepend=np.int64(0))
+    return zstandard.compress(steps.view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(zstandard.decompress(data), dtype="<i8"))
+    planes = np.frombuffer(zstandard.decompress(data), dtype=np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<i8").ravel())
+
+
+def seed_places(anchor: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The part where an anchor meets its like, and its 32-bit name there. Two anchors of one name cost a needless comparison, no match."""
+    low = anchor & SEED_BITS
+    return (low % np.uint64(parts)).astype(np.int64), (low // np.uint64(parts)).astype("<u4")
 
 
 def record(rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -113,26 +124,26 @@ def _slice(batch: pa.RecordBatch, number: int, window: int, k: int) -> pa.Record
     if not sizes.sum():
         return None
     crcs = np.fromiter(map(zlib.crc32, texts), dtype="<i8", count=len(texts))
-    seeds = np.unique(np.concatenate(pieces)).astype("<u8")
-    return record([(number, int(lengths.sum()), *(x.tobytes() for x in (ids, crcs, sizes, lengths, seeds)), zstandard.compress(b"".join(texts), 1))], SLICES)
+    seeds = np.unique(np.concatenate(pieces) & SEED_BITS)
+    return record([(number, int(lengths.sum()), *(x.tobytes() for x in (ids, crcs, sizes, lengths)), packed(seeds), zstandard.compress(b"".join(texts), 1))], SLICES)
 
 
 def _seeds(number: int, seeds: bytes, parts: int) -> pa.RecordBatch:
-    own = np.frombuffer(seeds, dtype="<u8")
-    return record([(part, number, own[at].tobytes()) for part, at in by_part((own % np.uint64(parts)).astype(np.int64))], SEEDS)
+    part, name = seed_places(unpacked(seeds).astype(np.uint64), parts)
+    return record([(p, number, np.unique(name[at]).tobytes()) for p, at in by_part(part)], SEEDS)
 
 
 def _shared(group: pd.DataFrame) -> pd.DataFrame:
     """One part of the anchors: those that two slices hold, for each slice that holds them."""
-    each = [np.frombuffer(b, dtype="<u8") for b in group["seeds"]]
+    each = [np.frombuffer(b, dtype="<u4") for b in group["seeds"]]
     seeds = np.concatenate(each)
     _, place, n = np.unique(seeds, return_inverse=True, return_counts=True)
     cuts = np.cumsum([len(x) for x in each])[:-1]
     kept = [x[m].tobytes() for x, m in zip(each, np.split(n[place] > 1, cuts), strict=True)]
-    return pd.DataFrame([(i, b) for i, b in zip(group["slice"], kept, strict=True) if b], columns=["slice", "seeds"])
+    return pd.DataFrame([(i, p, b) for i, p, b in zip(group["slice"], group["part"], kept, strict=True) if b], columns=["slice", "part", "seeds"])
 
 
-def _asks(number: int, row: dict, parts: int, window: int, k: int) -> pa.RecordBatch | None:
+def _asks(number: int, row: dict, parts: int, seed_parts: int, window: int, k: int) -> pa.RecordBatch | None:
     """What one slice asks: its first documents' windows around shared anchors, one row for each part; and its matches inside the slice."""
     ids, lengths = (np.frombuffer(row[c], dtype="<i8") for c in ("ids", "lengths"))
     text = zstandard.decompress(row["zip"])
@@ -144,8 +155,9 @@ def _asks(number: int, row: dict, parts: int, window: int, k: int) -> pa.RecordB
     out = []
     if early.any():
         out.append((number % parts, number, True, packed(np.flatnonzero(early)), b"", b"", b""))
-    shared = np.frombuffer(b"".join(row["shared"] or []), dtype="<u8")
-    asked = np.flatnonzero(~early & np.isin(anchor, shared))
+    key = lambda part, name: part << 32 | name.astype(np.int64)
+    shared = [key(r["part"], np.frombuffer(r["seeds"], dtype="<u4")) for r in row["shared"] or []]
+    asked = np.flatnonzero(~early & np.isin(key(*seed_places(anchor, seed_parts)), np.concatenate([np.empty(0, dtype=np.int64), *shared])))
     for part, i in by_part((full[asked] % np.uint64(parts)).astype(np.int64)):
         at = asked[i]
         out.append((part, number, False, packed(at), packed(doc[at]), anchor[at].astype("<u4").tobytes(), full[at].astype("<u8").tobytes()))
@@ -202,9 +214,9 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window:
     seed_parts = parts_for(pieces, F.col("chars"), SEED_CHARS_PER_PART)
 
     seeds = per_row(pieces.select("slice", "seeds"), lambda r: _seeds(r["slice"], r["seeds"], seed_parts), SEEDS)
-    shared = seeds.groupBy("part").applyInPandas(_shared, SHARED).groupBy("slice").agg(F.collect_list("seeds").alias("shared"))
+    shared = seeds.groupBy("part").applyInPandas(_shared, SHARED).groupBy("slice").agg(F.collect_list(F.struct("part", "seeds")).alias("shared"))
     meeting = pieces.select("slice", "ids", "lengths", "zip").join(shared, "slice", "left")
-    asks = per_row(meeting, lambda r: _asks(r["slice"], r, parts, window, k), ASKS)
+    asks = per_row(meeting, lambda r: _asks(r["slice"], r, parts, seed_parts, window, k), ASKS)
     found = asks.groupBy("part").applyInPandas(_answers, FOUND).groupBy("slice").agg(F.collect_list("places").alias("found"))
     return per_row(pieces.select("slice", "ids", "crcs", "sizes").join(found, "slice"), _by_document, SPANS)
 

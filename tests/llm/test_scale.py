@@ -108,7 +108,8 @@ def test_phrase_of_every_document_spreads_over_the_parts():
         own = texts[1000 * n:1000 * n + 1000]
         batch = pa.RecordBatch.from_arrays([pa.array(range(1000 * n, 1000 * n + 1000), pa.int64()), pa.array(own, pa.binary())], names=["doc_id", "_text"])
         row = substring_dedup._slice(batch, n, 13, 5).to_pylist()[0]
-        everything = substring_dedup._asks(n, row | {"shared": [row["seeds"]]}, parts, 13, 5).to_pylist()
+        own = substring_dedup._seeds(n, row["seeds"], 8).to_pylist()
+        everything = substring_dedup._asks(n, row | {"shared": own}, parts, 8, 13, 5).to_pylist()
         for r in everything:
             load[r["part"]] += len(r["windows"]) // 8
     assert load.sum() == 3000 * 17 and load.max() < 1.3 * np.median(load)
