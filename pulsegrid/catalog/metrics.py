@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pulsegrid.catalog import standins as S
 from pulsegrid.catalog.registry import query
 from pulsegrid.catalog.windows import INSIDE
-from pulsegrid.operators import daystore, episodes, joins, ledger, metrics, quality
+from pulsegrid.operators import daystore, episodes, features, joins, ledger, metrics, quality
 from pulsegrid.plans import hubs
 from pulsegrid.sources import readings as R
 from pulsegrid.sources.stage import materialise
@@ -140,7 +140,11 @@ def d46(spark, sf):
 
 
 THIRDS = S.SCORED + """, hd as (select s.pid, s.d, count(*) as history from scored s join scored h on h.pid = s.pid and h.d between s.d - 6 and s.d group by 1, 2),
- lg as (select s.pid, s.d, s.label, s.score, unnest(['coverage', 'history']) as kind, unnest([cast(s.coverage as double), cast(h.history as double)]) as info from scored s join hd h on h.pid = s.pid and h.d = s.d),
+ mi as (select user_id as pid, cast(ts as date) as d, cast(extract(hour from ts) * 60 + extract(minute from ts) as int) as m from events),
+ mu as (select distinct pid, d, m from mi union all select distinct pid, d, -1 from mi union all select distinct pid, d, 1440 from mi),
+ gp as (select pid, d, max(step) - 1 as longest_gap from (select pid, d, m - lag(m) over (partition by pid, d order by m) as step from mu) q group by 1, 2),
+ lg as (select s.pid, s.d, s.label, s.score, unnest(['coverage', 'history', 'longest_gap']) as kind, unnest([cast(s.coverage as double), cast(h.history as double), cast(g.longest_gap as double)]) as info
+  from scored s join hd h on h.pid = s.pid and h.d = s.d join gp g on g.pid = s.pid and g.d = s.d),
  ct as (select kind, quantile_cont(info, 1.0 / 3) as c1, quantile_cont(info, 2.0 / 3) as c2 from lg group by 1),
  pt as (select lg.*, case when c1 = c2 then (case when info >= c1 then 1 else 0 end) else (case when info >= c1 then 1 else 0 end) + (case when info >= c2 then 1 else 0 end) end as part from lg join ct on ct.kind = lg.kind),
  rk as (select *, rank() over (partition by kind, part order by score) + (count(*) over (partition by kind, part, score) - 1) / 2.0 as r from pt)"""
@@ -151,7 +155,9 @@ THIRDS = S.SCORED + """, hd as (select s.pid, s.d, count(*) as history from scor
 def d47(spark, sf):
     d = S.scored_days(spark, sf)
     hist = daystore.day_window(d.select("pid", "date"), 7, []).where("present").groupBy("pid", F.col("sample").alias("date")).agg(F.count(F.lit(1)).alias("history"))
-    return metrics.slices(materialise(d.join(hist, ["pid", "date"]), "slices"), ["coverage", "history"])
+    seen = S.table(spark, sf, "events").select(F.col("user_id").alias("pid"), F.to_date("ts").alias("date"), (F.hour("ts") * 60 + F.minute("ts")).alias("minute"))
+    gaps = features.longest_day_gap(seen, ["pid", "date"], "minute")
+    return metrics.slices(materialise(d.join(hist, ["pid", "date"]).join(gaps, ["pid", "date"]), "slices"), ["coverage", "history", "longest_gap"])
 
 
 BOOT = S.SCORED + """, un as (select distinct pid from scored), pl as (select pid, row_number() over (order by md5('9|' || cast(pid as varchar))) as place, count(*) over () as tot from un),
