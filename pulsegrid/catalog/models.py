@@ -12,9 +12,9 @@ from pulsegrid.catalog.sampling import MASK, UNITS, units
 from pulsegrid.catalog.windows import LINE
 from pulsegrid.operators import baselines, daystore, fills, joins, metrics, sampling
 from pulsegrid.plans import features as PF
-from pulsegrid.plans import hubs, models, registry, rhythm
+from pulsegrid.plans import grid, hubs, models, registry, rhythm
 from pulsegrid.plans.neighbours import neighbour_votes
-from pulsegrid.sources.stage import materialise
+from pulsegrid.sources.stage import materialise, new_path
 
 PERIOD = 4  # six-hour slots per day
 
@@ -215,6 +215,15 @@ def h17(spark, sf):
     return models.experiment_grid(S.scored_days(spark, sf), units(spark, sf), ["grp", "pos"], [0.2, 0.3, 0.4], [0, 1, 2])
 
 
+@query("h17_trained_grid", "task:s window:s horizon:s model:s share:s seed:s n:l n_pos:l auroc:f sensitivity:f")
+def h17_trained(spark, sf):
+    d = S.scored_days(spark, sf).withColumn("coverage", F.col("coverage").cast("double")).withColumn("strength", F.col("score"))
+    age = d.groupBy("pid").agg(F.datediff(F.max("date"), F.min("date")).cast("double").alias("known_days"))
+    among = [models.contender(n, models.light()) for n in ("constant", "logit, squared penalty", "one tree")]
+    out = grid.trained_grid(d, units(spark, sf), ["grp", "pos"], ["coverage", "strength"], among, new_path(spark, "grid"), shares=[0.3], windows=[1, 7], horizons=[3], static=age)
+    return out.select("task", "window", "horizon", "model", "share", "seed", "n", "n_pos", "auroc", "sensitivity")
+
+
 HIDDEN = MASK + """, vi as (select l.pid, l.segment, l.slot, l.hrv, case when m.slot is null then l.hrv end as visible, m.slot is not null as scored from labelled l left join mask m on m.segment = l.segment and m.slot = l.slot where l.segment is not null),
  nv as (select *, max(case when visible is not null then slot end) over (partition by segment order by slot rows between unbounded preceding and 1 preceding) as p, min(case when visible is not null then slot end) over (partition by segment order by slot rows between 1 following and unbounded following) as x from vi),
  li as (select n.*, coalesce(n.visible, a.visible + (b.visible - a.visible) * (n.slot - n.p) / (n.x - n.p), a.visible, b.visible) as filled from nv n left join vi a on a.segment = n.segment and a.slot = n.p left join vi b on b.segment = n.segment and b.slot = n.x)"""

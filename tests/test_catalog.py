@@ -10,7 +10,8 @@ from pulsegrid.catalog import load_all
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 # model fits and raw files have no SQL of the same meaning
 NO_SQL = {"a12_file_manifest", "h01_tree_filler", "h02_tree_forecaster", "h05_day_window_classifier", "h08_classifiers", "h09_discriminant",
-          "h11_nested_cv", "h13_settings_search", "h14_drop_one_family", "h15_importance", "h16_vector_head"}
+          "h11_nested_cv", "h13_settings_search", "h14_drop_one_family", "h15_importance", "h16_vector_head",
+          "h17_trained_grid"}
 SAMPLE = ["a02_column_maps", "a08_date_sheets", "b08_duration", "b25_scale_train_max", "c09_next_onset", "c11_history_window", "d04_daily", "d07_missingness", "d18_block_stages",
           "d30_segment_summary", "d45_all_and_groups", "d48_bootstrap", "e22_decayed_average", "e26_block_mask", "e33_training_pairs", "f02_strongest_pairs",
           "h04_rhythm_filler", "h17_experiment_grid"]
