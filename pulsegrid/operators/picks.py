@@ -44,7 +44,8 @@ def best_window(labelled: DataFrame, masked: DataFrame, width: int, step: int, m
     from pulsegrid.operators.core import floor_div
 
     inside = labelled.where(F.col("segment").isNotNull()).select("segment", "a", "b", slot, value)
-    m = inside.join(masked.select("segment", slot, F.lit(1).alias("_m")), ["segment", slot], "left")
+    # a stored mask packs well: merged, as its size on disk would have it broadcast
+    m = inside.join(masked.select("segment", slot, F.lit(1).alias("_m")).hint("merge"), ["segment", slot], "left")
     place = F.col(slot) - F.col("a")
     first, last = F.greatest(F.lit(0), -floor_div(F.lit(width - 1) - place, step)), floor_div(place, step)
     w = m.withColumn("_start", F.explode_outer(F.when(first <= last, F.sequence(first, last)))).where(

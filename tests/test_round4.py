@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from pulsegrid.operators import sampling
+from pulsegrid.operators import picks, sampling
+from pulsegrid.plans import features
 
 
 def plan(df):
@@ -51,3 +52,10 @@ def test_block_mask_counts_candidates_in_order(spark):
         start = int(hashlib.md5(f"5|s|{i}".encode()).hexdigest()[8:16], 16) % 26
         want |= set(range(start, start + 4))
     assert got == want
+
+
+def test_masks_are_merged_with_their_readings(spark, labelled, tmp_path):
+    labelled.where("slot % 7 = 0").select("segment", "slot").write.parquet(str(tmp_path / "mask"))
+    mask = spark.read.parquet(str(tmp_path / "mask"))
+    assert "Broadcast" not in plan(features.hidden(labelled, mask))
+    assert "Broadcast" not in plan(picks.best_window(labelled, mask, 8, 4))
