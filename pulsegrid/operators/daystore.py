@@ -41,7 +41,7 @@ def day_window(days: DataFrame, width: int, values: Sequence[str], pid: str = "p
     """
     wanted = days.select(pid, F.col(date).alias("sample"), F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("back"))
     wanted = wanted.withColumn(date, F.date_sub("sample", F.col("back")))
-    got = wanted.join(days.select(pid, date, *values, F.lit(True).alias("_there")), [pid, date], "left")
+    got = wanted.join(days.select(pid, date, *values, F.lit(True).alias("_there")).hint("merge"), [pid, date], "left")
     return got.select(pid, "sample", (F.lit(width - 1) - F.col("back")).alias("place"), date,
                       F.coalesce("_there", F.lit(False)).alias("present"), *values)
 

@@ -59,7 +59,7 @@ def onset_labels(days: DataFrame, horizon: int, pid: str = "pid", label: str = "
     last = days.groupBy(pid).agg(F.max("date").alias("_last"))
     ahead = days.where(F.col(label) == 1).select(pid, F.explode(F.transform(F.sequence(F.lit(1), F.lit(horizon)), lambda i: F.date_sub("date", i))).alias("date"))
     calm = days.where(F.col(label) == 0).join(last, pid).where(F.date_add("date", horizon) <= F.col("_last")).select(pid, "date")
-    return calm.join(ahead.distinct().withColumn("_hit", F.lit(1)), [pid, "date"], "left").select(pid, "date", F.coalesce("_hit", F.lit(0)).alias("label"))
+    return calm.join(ahead.distinct().withColumn("_hit", F.lit(1)).hint("merge"), [pid, "date"], "left").select(pid, "date", F.coalesce("_hit", F.lit(0)).alias("label"))
 
 
 def trained_grid(days: DataFrame, units: DataFrame, strata: Sequence[str], values: Sequence[str], among: Sequence[Contender], path: str, *,
@@ -85,7 +85,8 @@ def trained_grid(days: DataFrame, units: DataFrame, strata: Sequence[str], value
     def run(group: tuple, own: list[Cell]) -> None:
         window, horizon, share, seed = group
         table, names = features[window]
-        rows = table.join(labels[horizon], [pid, "date"]).join(split[share, seed], pid)
+        # a row per subject and day, and per subject, packs well: merged, as their sizes on disk would have them broadcast
+        rows = table.join(labels[horizon].hint("merge"), [pid, "date"]).join(split[share, seed].hint("merge"), pid)
         train = rows.where("part = 'train'")
         ready = preparation(names).fit(train)
         train, test = (materialise(ready.transform(rows.where(F.col("part") == p)), f"grid-{p}") for p in ("train", "test"))

@@ -3,8 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from pulsegrid.operators import picks, sampling
-from pulsegrid.plans import features
+from pulsegrid.operators import daystore, picks, sampling
+from pulsegrid.plans import features, grid
 
 
 def plan(df):
@@ -59,3 +59,13 @@ def test_masks_are_merged_with_their_readings(spark, labelled, tmp_path):
     mask = spark.read.parquet(str(tmp_path / "mask"))
     assert "Broadcast" not in plan(features.hidden(labelled, mask))
     assert "Broadcast" not in plan(picks.best_window(labelled, mask, 8, 4))
+
+
+def test_day_windows_and_onsets_are_merged(spark, tmp_path):
+    days = spark.range(300).select((F.col("id") % 10).alias("pid"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") / 10).cast("int")).alias("date"),
+                                   (F.col("id") % 7 == 0).cast("int").alias("label"), F.col("id").cast("double").alias("v"))
+    days.write.parquet(str(tmp_path / "days"))
+    days = spark.read.parquet(str(tmp_path / "days"))
+    assert "BroadcastHashJoin" not in plan(daystore.day_window(days, 3, ["v"]))
+    assert "LeftOuter, BuildRight" not in plan(grid.onset_labels(days, 2))
+    assert grid.onset_labels(days, 2).count() == days.where("label = 0 and date <= date'2024-01-28'").count()
