@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.operators.core import Seen, floor_div, join_null_safe, positions, slot_of, sweep
+from pulsegrid.operators.core import Seen, floor_div, join_null_safe, on_axis, slot_of, sweep
 from pulsegrid.operators.timeline import widen
 from pulsegrid.sources.stage import materialise
 
@@ -59,8 +59,7 @@ def slot_hub(points: DataFrame, intervals: Mapping[str, DataFrame], vitals: Sequ
     got = rows.groupBy(*keys, "slot").agg(
         *[F.avg(m).alias(m) for m in [main, *means]], *[F.count(m).alias(f"{m}_n") for m in counted], *[F.sum(s).alias(s) for s in sums],
         *[F.sum(F.when(F.col("_flag") == n, F.col("covered"))).alias(f"_{n}") for n in intervals])
-    axis = positions(span.withColumn("_b", floor_div("_hi", per_slot)), keys, "_a", "_b", "slot", keep=["_lo", "_hi"])
-    grid = join_null_safe(axis, got, [*keys, "slot"], "left")
+    grid = on_axis(span.withColumn("_b", floor_div("_hi", per_slot)), got, keys, "_a", "_b", "slot", keep=["_lo", "_hi"], null_safe=True)
     width = F.least(F.col("slot") * per_slot + (per_slot - 1), F.col("_hi")) - F.greatest(F.col("slot") * per_slot, F.col("_lo")) + 1
     return grid.select(*keys, "slot", main, *means, *[F.coalesce(f"{m}_n", F.lit(0)).alias(f"{m}_n") for m in counted], *sums,
                        *[F.coalesce(F.col(f"_{n}") / width, F.lit(0.0)).alias(f"{n}_frac") for n in intervals])
