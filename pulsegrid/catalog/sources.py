@@ -182,11 +182,11 @@ def a13(spark, sf):
     r = S.readings(spark, sf).withColumn("hr", F.col("value"))
     cells = daystore.minute_cells(r, "pid", "ts", ["value"], gate="hr")
     view = daystore.array_view(cells, "pid", "value")
-    hit = F.filter(F.sequence(F.lit(0), F.lit(1439)), lambda i: F.get(F.col("minutes"), i).isNotNull())
-    return view.select(
-        "pid", "date", F.size(hit).alias("filled"), F.get(hit, F.lit(0)).alias("first_minute"),
-        F.element_at(hit, -1).alias("last_minute"),
-        F.aggregate("minutes", F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0))).alias("total"))
+    hit = F.array_compact(F.transform("minutes", lambda v, i: F.when(v.isNotNull(), i)))
+    # a generator: the filled minutes are looked for once, not once per column
+    facts = F.inline(F.transform(F.array(hit), lambda h: F.struct(
+        F.size(h).alias("filled"), F.get(h, F.lit(0)).alias("first_minute"), F.element_at(h, -1).alias("last_minute"))))
+    return view.select("pid", "date", facts, F.aggregate(F.array_compact("minutes"), F.lit(0.0), lambda a, x: a + x).alias("total"))
 
 
 @query("a14_select_set", "pid:l date:d n:l", f"""with {S.DAYS} select pid, d as date, n from days

@@ -21,10 +21,14 @@ def array_view(cells: DataFrame, pid: str, signal: str, minutes: int = 1440) ->
 
     A day holds at most 1,440 cells, so the collected group is bounded.
     """
-    got = cells.groupBy(pid, "date").agg(
-        F.map_from_entries(F.collect_list(F.struct("minute", signal))).alias("_m"))
-    return got.select(pid, "date", F.transform(
-        F.sequence(F.lit(0), F.lit(minutes - 1)), lambda i: F.try_element_at(F.col("_m"), i)).alias("minutes"))
+    got = cells.groupBy(pid, "date").agg(F.map_from_entries(F.collect_list(F.struct("minute", signal))).alias("_m"))
+    # the few cells of a day with the blanks between them, rather than a look at the map for every minute
+    cell = F.filter(F.array_sort(F.map_entries("_m")), lambda c: c["key"].between(0, minutes - 1))
+    blanks = lambda n: F.array_repeat(F.lit(None).cast(cells.schema[signal].dataType), n.cast("int"))
+    got = got.select(pid, "date", F.transform(F.array(cell), lambda cs: F.concat(
+        F.flatten(F.transform(cs, lambda c, i: F.concat(blanks(c["key"] - F.coalesce(F.get(cs, i - 1)["key"], F.lit(-1)) - 1), F.array(c["value"])))),
+        blanks(F.lit(minutes - 1) - F.coalesce(F.get(cs, F.size(cs) - 1)["key"], F.lit(-1))))).alias("_v"))
+    return got.select(pid, "date", F.get("_v", F.lit(0)).alias("minutes"))
 
 
 def select_set(days: DataFrame, cohort: str, cohorts: Sequence, static: DataFrame | None = None, pid: str = "pid") -> DataFrame:

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from pulsegrid.operators import daystore, picks, sampling
+from pulsegrid.operators import core, daystore, picks, sampling, timeline
 from pulsegrid.plans import features, grid
 
 
@@ -69,3 +69,23 @@ def test_day_windows_and_onsets_are_merged(spark, tmp_path):
     assert "BroadcastHashJoin" not in plan(daystore.day_window(days, 3, ["v"]))
     assert "LeftOuter, BuildRight" not in plan(grid.onset_labels(days, 2))
     assert grid.onset_labels(days, 2).count() == days.where("label = 0 and date <= date'2024-01-28'").count()
+
+
+def test_dense_table_shuffles_only_its_rows(spark):
+    """Blank slots are made after the last shuffle; null keys and repeated slots are as in the join."""
+    rows = spark.createDataFrame([("a", 3, 1.0), ("a", 9, 2.0), ("a", 9, 3.0), ("b", -5, 4.0), (None, 1, 5.0), (None, 2, 6.0), ("c", None, 7.0)], "k string, slot long, v double")
+    also = spark.createDataFrame([("a", 1), ("b", 9000), ("d", 4)], "k string, slot long")
+    out = timeline.dense(rows, ["k"], also=also)
+    span = rows.select("k", "slot").unionByName(also)
+    want = core.spine(span, ["k"], "slot").join(rows, ["k", "slot"], "left")
+    assert out.columns == want.columns
+    assert sorted(map(str, out.collect())) == sorted(map(str, want.collect()))
+    assert "Join" not in plan(out)
+
+
+def test_a_days_minutes_are_built_from_its_cells(spark):
+    cells = spark.createDataFrame([(1, "x", 0, 1.0), (1, "x", 3, 2.0), (1, "x", 4, None), (2, "x", 9, 5.0), (2, "y", 99, 5.0)], "pid int, date string, minute int, v double")
+    view = daystore.array_view(cells, "pid", "v", 10)
+    got = {(r["pid"], r["date"]): r["minutes"] for r in view.collect()}
+    assert got == {(1, "x"): [1.0, None, None, 2.0, *[None] * 6], (2, "x"): [None] * 9 + [5.0], (2, "y"): [None] * 10}
+    assert "sequence(0, 9" not in plan(view)
