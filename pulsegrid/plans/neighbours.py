@@ -20,9 +20,12 @@ from pulsegrid.sources.stage import materialise
 
 PIVOTS = 64
 RINGS = 8
-GROUP = 2048
+GROUP = 8192
 """Rows of either side that meet in one task, about."""
 
+SCREEN = 256
+"""Asking rows screened at a time."""
+
 
 def _matrix(batch: pa.RecordBatch) -> np.ndarray:
     n = batch.num_rows
@@ -64,6 +67,32 @@ def needed(x: np.ndarray, pivots: np.ndarray, stats: np.ndarray, rings: int, k:
     return least <= bound[:, None], bound
 
 
+def k_best(q: np.ndarray, r: np.ndarray, rid: np.ndarray, limit: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of q, row of r, squared distance) of the k nearest rows of r within each row's limit; of equally near ones the smaller `rid` goes first.
+
+    Matrix products screen the pairs, with room for their rounding; what may be among the k best is measured again from the differences.
+    """
+    found, rr = [], (r * r).sum(axis=1)
+    for lo in range(0, len(q), SCREEN):
+        x, top = q[lo:lo + SCREEN], limit[lo:lo + SCREEN]
+        xx = (x * x).sum(axis=1)
+        if np.isfinite(xx).all() and np.isfinite(rr).all():
+            about = xx[:, None] + rr - 2 * (x @ r.T)
+            room = 1e-12 * x.shape[1] * (xx + rr.max())
+            last = min(k, len(r)) - 1
+            row, other = np.nonzero(about <= np.minimum(np.partition(about, last, axis=1)[:, last] + 2 * room, top ** 2 * (1 + 1e-12) + room)[:, None])
+        else:
+            row, other = (i.ravel() for i in np.indices((len(x), len(r))))
+        d = np.concatenate([((r[other[s:s + 65536]] - x[row[s:s + 65536]]) ** 2).sum(1) for s in range(0, len(row), 65536)] or [np.zeros(0)])
+        near = np.sqrt(d) <= top[row]
+        row, other, d = row[near], other[near], d[near]
+        order = np.lexsort((rid[other], d, row))
+        row, other, d = row[order], other[order], d[order]
+        first = np.arange(len(row)) - np.searchsorted(row, row) < k
+        found.append((row[first] + lo, other[first], d[first]))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
 def neighbour_votes(test: DataFrame, train: DataFrame, unit: str, features: str, label: str, k: int, pivots: int = PIVOTS, rings: int = RINGS, group: int = GROUP) -> DataFrame:
     """(id, uniform, by_distance, pairs): shares of positive votes among the k nearest training rows, each counted once or by 1 / distance, and
     how many training rows were looked at. Of equally near rows the smaller unit counts first.
@@ -103,14 +132,11 @@ def neighbour_votes(test: DataFrame, train: DataFrame, unit: str, features: str,
             return pd.DataFrame({"id": [], "d": [], "y": [], "rid": [], "n": []})
         q, r = np.stack(a["x"].to_numpy()).astype(float), np.stack(b["x"].to_numpy()).astype(float)
         y, rid, limit = b["y"].to_numpy(), b["rid"].to_numpy(), a["bound"].to_numpy()
-        out = []
-        for i in range(len(q)):  # one asking row at a time: memory stays at one block
-            d = ((r - q[i]) ** 2).sum(1)
-            near = np.flatnonzero(np.sqrt(d) <= limit[i])
-            o = near[np.lexsort((rid[near], d[near]))[:k]]
-            some = len(o) > 0  # a row without a find still tells how many were looked at
-            out.append(pd.DataFrame({"id": a["id"].iat[i], "d": d[o] if some else [np.inf], "y": y[o] if some else [0.0], "rid": rid[o] if some else [-1], "n": [len(r), *[0] * (max(len(o), 1) - 1)]}))
-        return pd.concat(out, ignore_index=True)
+        row, other, d = k_best(q, r, rid, limit, k)
+        none = np.setdiff1d(np.arange(len(q)), row)  # a row without a find still tells how many were looked at
+        return pd.DataFrame({
+            "id": a["id"].to_numpy()[np.r_[row, none]], "d": np.r_[d, np.full(len(none), np.inf)], "y": np.r_[y[other], np.zeros(len(none))], "rid": np.r_[rid[other], np.full(len(none), -1)],
+            "n": np.where(np.r_[np.diff(row, prepend=-1) > 0, np.ones(len(none), dtype=bool)], len(r), 0)})
 
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(best, "id long, d double, y double, rid long, n long")
     found = materialise(found, "neighbours-found")
