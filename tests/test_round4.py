@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pulsegrid.operators import core, daystore, metrics, picks, sampling, timeline
-from pulsegrid.plans import features, grid, neighbours
+from pulsegrid.plans import features, grid, models, neighbours
 
 
 def plan(df):
@@ -143,3 +143,15 @@ def test_screened_neighbours_are_those_of_the_differences():
         assert other[row == i].tolist() == o.tolist() and d[row == i].tolist() == e[o].tolist()
     t[0] = np.nan
     assert 0 not in neighbours.k_best(q, t, rid, limit, 400)[1]
+
+
+def test_families_share_their_features(spark, monkeypatch):
+    n = F.col("id")
+    rows = spark.range(400).select((n % 4).alias("pid"), F.format_string("s%d", n % 4).alias("segment"), F.floor(n / 4).alias("slot"), (50 + n % 16).cast("double").alias("hrv"), (n % 7 == 3).alias("scored"))
+    rows = models.materialise(rows.withColumn("visible", F.when(~F.col("scored"), F.col("hrv"))), "rows")
+    built, build = [], models.PF.fill_features
+    monkeypatch.setattr(models.PF, "fill_features", lambda *a, **kw: (built.append(1), build(*a, **kw))[1])
+    got = {r.dropped: r.mae for r in models.drop_one_family(rows, 1, 4, {"time of day": ["sin", "cos"]}, maxIter=2).collect()}
+    assert len(built) == 1
+    alone = models.fill_error(models.predict_fill(models.fit_filler(rows, 1, 4, drop=["sin", "cos"], maxIter=2))).first().mae
+    assert got["time of day"] == pytest.approx(alone)
