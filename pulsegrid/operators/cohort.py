@@ -202,7 +202,9 @@ def correlations(df: DataFrame, columns: Sequence[str], min_n: int = 10) -> Data
 
     def linear(x: Column, y: Column) -> Column:
         """Null where a side is constant; Spark's own `corr` stops there."""
-        return F.try_divide(F.covar_pop(x, y), F.sqrt(F.var_pop(x) * F.var_pop(y)))
+        # told by the extremes: a constant's variance is rounded to a little above 0 when parts are merged
+        flat = [(F.min(c) == F.max(c)) & (F.abs(F.min(c)) < float("inf")) for c in (x, y)]
+        return F.when(~F.coalesce(flat[0] | flat[1], F.lit(False)), F.try_divide(F.covar_pop(x, y), F.sqrt(F.var_pop(x) * F.var_pop(y))))
 
     found = ranked.agg(*[facts(i, j).alias(f"f{i}_{j}") for i, j in pairs])
     out = found.select(F.explode(F.array(*[F.col(f"f{i}_{j}") for i, j in pairs])).alias("p")).select("p.*").where("n > 0")
